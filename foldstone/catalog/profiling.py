@@ -40,7 +40,7 @@ def inventory_checks(spark, d):
     return found
 
 
-_INDEX = """idx AS (SELECT doc_id, 'f' || doc_id % 900 || '.wav' AS filename, 'p/' || doc_id AS filepath, source, 'g' || doc_id % 40 AS speaker_id,
+_INDEX = """idx AS (SELECT doc_id, 'f' || doc_id % 900 || '.wav' AS filename, 'p/' || doc_id AS filepath, source, 'g' || doc_id % 30 AS speaker_id,
    CASE WHEN doc_id % 97 = 0 THEN 'bored' ELSE ['neutral','calm','happy','sad','angry','fearful','disgust','surprised'][doc_id % 8 + 1] END AS emotion_label,
    (doc_id % 9 + 1)::INT AS label, (doc_id % 8 + CASE WHEN doc_id % 10 = 3 THEN 1 ELSE 0 END)::INT AS label_idx,
    CASE WHEN doc_id % 50 = 0 THEN NULL ELSE 'male' END AS gender FROM documents)"""
@@ -64,7 +64,7 @@ def index_checks(spark, d):
     index = read(spark, d, "documents").select(
         F.concat(F.lit("f"), (k % 900).cast("string"), F.lit(".wav")).alias("filename"),
         F.concat(F.lit("p/"), k.cast("string")).alias("filepath"), "source",
-        F.concat(F.lit("g"), (k % 40).cast("string")).alias("speaker_id"),
+        F.concat(F.lit("g"), (k % 30).cast("string")).alias("speaker_id"),
         F.when(k % 97 == 0, "bored").otherwise(F.get(names, (k % 8).cast("int"))).alias("emotion_label"),
         (k % 9 + 1).cast("int").alias("label"), (k % 8 + F.when(k % 10 == 3, 1).otherwise(0)).cast("int").alias("label_idx"),
         F.when(k % 50 == 0, F.lit(None)).otherwise("male").alias("gender"),
@@ -126,7 +126,7 @@ def duplicates(spark, d):
     return I.content_duplicates(rows, "text", "source", "name")
 
 
-_DOM = "d AS (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_linenumber) = 1)"
+_DOM = "d AS (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_linenumber) = 1)"
 
 
 @query("agg_11", f"""WITH {_DOM} SELECT l.l_orderkey, l.l_suppkey, l.l_linenumber, d.l_linenumber AS dominant FROM lineitem l JOIN d USING (l_suppkey)

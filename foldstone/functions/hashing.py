@@ -46,8 +46,8 @@ def beta_symmetric(alpha: float, *parts, steps: int = 1024) -> Column:
 
     # the substitution x = sin^2(t) removes both end point poles of the density
     t = np.linspace(0.0, np.pi / 2, 200_001)
-    density = (np.sin(t) * np.cos(t)) ** (2 * alpha - 1)
-    density[[0, -1]] = density[[1, -2]] if alpha < 0.5 else 0.0
+    inner = (np.sin(t[1:-1]) * np.cos(t[1:-1])) ** (2 * alpha - 1)
+    density = np.concatenate([inner[:1], inner, inner[-1:]])
     mass = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2)])
     grid = np.interp(np.linspace(0, 1, steps + 1), mass / mass[-1], np.sin(t) ** 2)
     table = F.array(*[F.lit(float(v)) for v in grid])

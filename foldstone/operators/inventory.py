@@ -23,6 +23,13 @@ def _problem(*tests: tuple[Column, str]) -> Column:
     return out
 
 
+def _split_once(files: DataFrame, parts: Column) -> DataFrame:
+    """``files`` + ``_parts``. A filter on parsed fields would be pushed below a
+    plain projection and repeat the whole parse per field; it stops at a
+    generator, so the name is split once."""
+    return files.withColumn("_parts", F.explode(F.array(parts)))
+
+
 def parity_gender(actor: Column) -> Column:
     """Odd numbers male, even ones female."""
     return F.when(actor % 2 == 1, "male").when(actor % 2 == 0, "female")
@@ -34,8 +41,8 @@ def parse_base(files: DataFrame, path: str = "path") -> DataFrame:
     Fields are emotion-intensity-statement-repetition-actor. Where the parent
     directory looks like a person's, it must agree with the actor field.
     """
-    p = F.col(path)
-    parts = F.split(stem(p), "-")
+    p, parts = F.col(path), F.col("_parts")
+    files = _split_once(files, F.split(stem(p), "-"))
     fields = {name: F.get(parts, F.lit(i)) for i, name in enumerate(V.INVENTORY_FIELDS)}
     number = F.when(fields["actor_code"].rlike(r"^\d{2}$"), fields["actor_code"].try_cast("int"))
     folder = F.nullif(F.regexp_extract(F.coalesce(parent(p), F.lit("")), V.GROUP_DIR_PATTERN, 1), F.lit(""))
@@ -46,7 +53,7 @@ def parse_base(files: DataFrame, path: str = "path") -> DataFrame:
         "repetition_label": lookup(V.REPETITIONS, F.col("repetition")),
     }
     rows = files.select(
-        *[c for c in files.columns if c not in ("filename", "filepath")],
+        *[c for c in files.columns if c not in ("filename", "filepath", "_parts")],
         basename(p).alias("filename"),
         p.alias("filepath"),
         F.lit(V.MODALITY).alias("modality"),
@@ -140,8 +147,9 @@ def base_index(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def parse_cremad(files: DataFrame, demographics: DataFrame, path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
     """``actor_sentence_EMOTION_intensity``; sex from the side table, else unknown."""
-    parts = F.split(stem(F.col(path)), "_")
-    rows = files.withColumns({f"_f{i}": F.get(parts, F.lit(i)) for i in range(4)}).withColumn("_n", F.size(parts))
+    parts = F.col("_parts")
+    split = _split_once(files, F.split(stem(F.col(path)), "_"))
+    rows = split.withColumns({f"_f{i}": F.get(parts, F.lit(i)) for i in range(4)}).withColumn("_n", F.size(parts))
     sexes = demographics.select(
         F.col("ActorID").cast("string").alias("_f0"),
         F.when(F.col("Sex") == "Male", "male").otherwise("female").alias("_sex"),
@@ -160,11 +168,11 @@ def parse_cremad(files: DataFrame, demographics: DataFrame, path: str = "path",
 
 def parse_tess(files: DataFrame, path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
     """``speaker_word_emotion``; the one name that lacks a letter is repaired."""
-    parts = F.split(stem(F.col(path)), "_")
+    parts = F.col("_parts")
     name = F.upper(F.get(parts, F.lit(0)))
     emotion = lookup(V.TESS_EMOTION, F.lower(F.get(parts, F.lit(2))))
     return to_canonical(
-        files, source="TESS", path=path, keep=keep,
+        _split_once(files, F.split(stem(F.col(path)), "_")), source="TESS", path=path, keep=keep,
         speaker=F.when(name == "OA", "OAF").otherwise(name), gender=F.lit("female"), label=emotion,
         statement=F.get(parts, F.lit(1)),
         problem=_problem((F.size(parts) != 3, "field count"), (emotion.isNull(), "unknown emotion")),

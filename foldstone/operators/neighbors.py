@@ -48,11 +48,11 @@ def nearest(
     q = queries.select(
         F.col(key).alias("q"), F.col(vec).alias("qv"), f.cast("int").alias("qf"),
         (hash32("q", F.col(key)) % nq).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).cast("bigint").alias("rb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nr - 1).cast("bigint"))).alias("rb"),
     )
     r = refs.select(
         F.col(key).alias("r"), F.col(vec).alias("rv"), f.cast("int").alias("rf"), F.col(label).alias("rl"),
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("bigint").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))).alias("qb"),
         (hash32("r", F.col(key)) % nr).alias("rb"),
     )
     folded = fold is not None

@@ -39,13 +39,19 @@ def is_wav(content: Column) -> Column:
     )
 
 
+def _byte_swapped(text: Column, width: int) -> Column:
+    """Hex text with its bytes in reverse; ``reverse`` on BINARY works on characters."""
+    return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(width))])
+
+
 def little_endian(content: Column, start: int, width: int) -> Column:
     """Unsigned integer of ``width`` bytes at 1-based ``start``."""
-    return F.conv(F.hex(F.reverse(F.substring(content, start, width))), 16, 10).cast("bigint")
+    text = F.hex(F.substring(content, start, width))
+    return F.conv(_byte_swapped(text, width), 16, 10).cast("bigint")
 
 
 def to_little_endian(value: Column, width: int) -> Column:
-    return F.reverse(F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")))
+    return F.unhex(_byte_swapped(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0"), width))
 
 
 def pcm_blob(data: Column, rate: Column, channels: Column, bits: int = 16) -> Column:
