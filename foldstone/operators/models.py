@@ -10,13 +10,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import arrays as A
 from ..functions.hashing import hash32
@@ -121,9 +125,6 @@ def knn_oof(
 
 def random_features(vec: Column, dim: int, width: int, gamma: float, seed: int = SEED) -> Column:
     """cos(W x + b) features whose dot products approximate an RBF kernel."""
-    import numpy as np
-    import pandas as pd
-
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), (dim, width))
     b = rng.uniform(0.0, 2 * math.pi, width)
@@ -385,28 +386,60 @@ class MacroF1(Evaluator):
         return True
 
 
+def _knn_grid(train: DataFrame, vec: str, label: str, key: str, inner: str, combos, n_folds: int) -> DataFrame:
+    """Neighbours are searched once per fold at the largest k; every setting votes on them."""
+    largest = max(c["n_neighbors"] for c in combos)
+    near = None
+    for f in range(n_folds):
+        fit_rows, held = train.where(F.col(inner) != f), train.where(F.col(inner) == f)
+        scaler = fit_scaler(fit_rows, vec, "global")
+        part = nearest(apply_scaler(held, scaler, vec), apply_scaler(fit_rows, scaler, vec), largest, key, vec, label)
+        near = part if near is None else near.unionByName(part)
+    # at most ``largest`` rows per key
+    place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "ref"))
+    near = materialise(near.withColumn("_place", place), "neighbours")
+    truth = train.select(key, F.col(inner).alias("_f"), F.col(label).alias(TRUE))
+    out = None
+    for i, c in enumerate(combos):
+        votes = knn_vote(near.where(F.col("_place") <= c["n_neighbors"]), key, label, c.get("weights", "uniform"))
+        part = truth.join(votes, key).select(F.lit(i).alias("ordinal"), "_f", TRUE, PRED)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def tune(
-    name: str, train: DataFrame, vec: str, label: str, inner: str, grid: dict | None = None, n_folds: int = 3
+    name: str,
+    train: DataFrame,
+    vec: str,
+    label: str,
+    inner: str,
+    grid: dict | None = None,
+    n_folds: int = 3,
+    key: str = "key",
 ) -> tuple[dict, DataFrame]:
-    """Grid search over the given inner fold column; first best wins ties."""
+    """Grid search over the given inner fold column; first best wins ties.
+
+    All held-out predictions are scored in one job.
+    """
     grid = TUNING_GRIDS[name] if grid is None else grid
-    from itertools import product
-
-    rows = []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values))
-        marks = []
-        for f in range(n_folds):
-            out = fit_predict(
-                name, train.where(F.col(inner) != f), train.where(F.col(inner) == f), vec, label, "key", params=params
-            )
-            marks.append(float(score(out).first()["macro_f1"]))
-        rows.append((len(rows), str(params), sum(marks) / len(marks)))
-    best = max(rows, key=lambda r: (r[2], -r[0]))
-    table = train.sparkSession.createDataFrame(rows, "ordinal int, params string, macro_f1 double")
-    keys = list(grid)
-    chosen = dict(zip(keys, list(product(*grid.values()))[best[0]]))
-    return chosen, table
+    combos = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if name == "knn":
+        out = _knn_grid(train, vec, label, key, inner, combos, n_folds)
+    else:
+        out = None
+        for i, params in enumerate(combos):
+            for f in range(n_folds):
+                part = fit_predict(
+                    name, train.where(F.col(inner) != f), train.where(F.col(inner) == f), vec, label, key, params=params
+                ).select(F.lit(i).alias("ordinal"), F.lit(f).alias("_f"), TRUE, PRED)
+                out = part if out is None else out.unionByName(part)
+    means = score(out, ["ordinal", "_f"]).groupBy("ordinal").agg(F.avg("macro_f1").alias("macro_f1"))
+    rows = sorted((r["ordinal"], r["macro_f1"]) for r in means.collect())
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    table = train.sparkSession.createDataFrame(
+        [(i, str(combos[i]), m) for i, m in rows], "ordinal int, params string, macro_f1 double"
+    )
+    return combos[best], table
 
 
 def cross_validate(
@@ -490,9 +523,6 @@ def two_stage(
 
 def hidden_layer(weights, dim: int, hidden: int) -> Callable[[Column], Column]:
     """Activations of a fitted perceptron's first layer, as a column function."""
-    import numpy as np
-    import pandas as pd
-
     w = np.asarray(weights[: dim * hidden]).reshape((hidden, dim), order="F")
     b = np.asarray(weights[dim * hidden : (dim + 1) * hidden])
 

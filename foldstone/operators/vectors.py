@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -163,9 +165,6 @@ def encode_frames(df: DataFrame, encoder, series: str, signal: str, rate: str, e
     ``encoder(list of signals)`` yields, per signal, an array (layers, frames,
     dim). Nothing is padded, so nothing needs a mask.
     """
-    import numpy as np
-    import pandas as pd
-
     kind = df.schema[series].dataType.simpleString()
 
     def run(batches):
@@ -292,9 +291,6 @@ def add_feature_noise(df: DataFrame, vec: str, key: str, sigma: float, seed: str
 
 def scatter(df: DataFrame, by, vec: str) -> DataFrame:
     """n, sum and sum of outer products (row-major d*d array) per group."""
-    import numpy as np
-    import pandas as pd
-
     by = _cols(by)
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
     head = f"{kinds}, " if by else ""
@@ -319,8 +315,6 @@ def scatter(df: DataFrame, by, vec: str) -> DataFrame:
 
 
 def _unpack(row):
-    import numpy as np
-
     flat = np.asarray(row["flat"])
     d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)
     return row["n"], flat[:d], flat[d:].reshape(d, d)
@@ -328,13 +322,9 @@ def _unpack(row):
 
 def project(df: DataFrame, vec: str, mean, axes, out: str) -> DataFrame:
     """Dot products of the centred vector with each axis (columns of ``axes``)."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def apply(s: pd.Series) -> pd.Series:
-        import numpy as np
-
-        return pd.Series(list((np.stack(s.to_numpy()) - mean) @ axes))
+            return pd.Series(list((np.stack(s.to_numpy()) - mean) @ axes))
 
     return df.withColumn(out, apply(F.col(vec)))
 
@@ -344,8 +334,6 @@ def fit_pca(df: DataFrame, vec: str, k: int):
 
     Only the d x d matrix reaches the driver.
     """
-    import numpy as np
-
     n, total, outer = _unpack(scatter(df, [], vec).first())
     mean = total / n
     cov = (outer - n * np.outer(mean, mean)) / (n - 1)
@@ -357,8 +345,6 @@ def fit_pca(df: DataFrame, vec: str, k: int):
 
 def fit_lda(df: DataFrame, vec: str, label: str, ridge: float = 1e-6):
     """(mean, axes) of the supervised projection with n_classes - 1 axes."""
-    import numpy as np
-
     vocabulary(df, label)  # one d x d matrix per class reaches the driver
     parts = [_unpack(r) for r in scatter(df, label, vec).collect()]
     n = sum(p[0] for p in parts)
