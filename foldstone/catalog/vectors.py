@@ -13,6 +13,7 @@ from ..operators import transfer as X
 from ..operators import uncertainty as U
 from ..operators import vectors as N
 from ..config import DEFAULT_AUGMENTATIONS
+from ..session import materialise
 from ..plans import merged as PM
 from ..plans import scoring as PS
 from .base import (
@@ -299,10 +300,10 @@ def frozen_head(spark, d):
 
 def sourced(spark, d):
     """Vectors with three sources; s0 is the base."""
-    return vecs(spark, d).withColumn("source", F.concat(F.lit("s"), (F.col("key") % 3).cast("string")))
+    return vecs(spark, d).withColumn("source", F.concat(F.lit("s"), (F.floor(F.col("key") / 24) % 3).cast("string")))
 
 
-SRC3 = f"{VECS}, sv AS (SELECT *, 's' || key % 3 AS source FROM vecs), own AS (SELECT * FROM sv WHERE source = 's0'), gf AS ({snake_sql('own', 'grp', K)})"
+SRC3 = f"{VECS}, sv AS (SELECT *, 's' || key // 24 % 3 AS source FROM vecs), own AS (SELECT * FROM sv WHERE source = 's0'), gf AS ({snake_sql('own', 'grp', K)})"
 
 
 def sourced_folds(spark, d):
@@ -500,7 +501,7 @@ def identity(spark, d):
     return tidy(D.identity_probe(vecs(spark, d), "key", "vec", "grp"))
 
 
-_SP = f"""{EL}, sr AS (SELECT key, 's' || key % 3 AS source FROM vecs), ra AS (SELECT el.*, gf.fold, source FROM el JOIN gf USING (grp) JOIN sr USING (key)),
+_SP = f"""{EL}, sr AS (SELECT key, 's' || key // 24 % 3 AS source FROM vecs), ra AS (SELECT el.*, gf.fold, source FROM el JOIN gf USING (grp) JOIN sr USING (key)),
  rb AS (SELECT z.*, gf.fold, source FROM z JOIN gf USING (grp) JOIN sr USING (key)), {centroid_sql('ra', 'oa', 'source')}, {centroid_sql('rb', 'ob', 'source')},
  mj AS (SELECT max(c) / sum(c)::DOUBLE AS majority FROM (SELECT count(*) AS c FROM sr GROUP BY source) AS _m)"""
 
@@ -585,7 +586,7 @@ def ablation(spark, d):
     grid = [("baseline", base), ("deltas", replace(base, deltas=False, delta_deltas=False)), ("n_mfcc", replace(base, n_mfcc=8))]
     out = None
     for i, (axis, settings) in enumerate(grid):
-        rows = W.extract(decoded, "key", settings).join(files.select("key", "lang", "source"), "key")
+        rows = materialise(W.extract(decoded, "key", settings).join(files.select("key", "lang", "source"), "key"), "features")
         folded_ = S.with_group_fold(rows, "source", K, "snake")
         part = M.nearest_centroid_oof(folded_, "key", "features", "lang").select(F.lit(i).alias("ordinal"), F.lit(axis).alias("axis"), "y_true", "y_pred")
         out = part if out is None else out.unionByName(part)
@@ -624,6 +625,7 @@ def levers(spark, d):
     }
     out = None
     for name, table in tables.items():
+        table = materialise(table, "lever")
         part = M.nearest_centroid_oof(table, "key", "vec", "label").select(F.lit(name).alias("config"), "grp", "y_true", "y_pred")
         out = part if out is None else out.unionByName(part)
     return tidy(U.paired_comparisons(out, "grp", "config", "baseline", n_boot=100))
@@ -634,7 +636,7 @@ def early_read(spark, d):
     return tidy(PM.early_read(sourced(spark, d), "key", "vec", "label", "grp", "source", "s0")["scores"])
 
 
-@query("merged_holdout", rounded(f"""WITH {VECS}, el AS (SELECT key, label, key % 3 AS fold, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM vecs), {centroid_sql('el', 'oof').replace(f'range({K})', 'range(3)')},
+@query("merged_holdout", rounded(f"""WITH {VECS}, el AS (SELECT key, label, key // 24 % 3 AS fold, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM vecs), {centroid_sql('el', 'oof').replace(f'range({K})', 'range(3)')},
  t AS (SELECT fold, y_true, y_pred, count(*) AS n FROM oof GROUP BY ALL) {score_sql('t', 'fold')}""", *SCORES))
 def source_holdout(spark, d):
     return tidy(PM.source_holdout(sourced(spark, d), "key", "vec", "label", "source"))

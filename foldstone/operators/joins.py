@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ranking import _cols, attach
 
 
@@ -54,4 +55,4 @@ def misaligned(a: DataFrame, b: DataFrame, key) -> DataFrame:
 def with_group_stat(df: DataFrame, by, **stats: Column) -> DataFrame:
     """Aggregate once per group and join back: no window over whole groups."""
     table = df.groupBy(*_cols(by)).agg(*[c.alias(n) for n, c in stats.items()])
-    return attach(df, table, by, "inner")
+    return attach(df, settle(table), by, "inner")

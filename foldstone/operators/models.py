@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays as A
 from ..functions.hashing import hash32
-from ..session import materialise
+from ..session import materialise, settle
 from ..vocab import SEED
 from .evaluate import PRED, TRUE, score
 from .neighbors import knn_vote, nearest
@@ -38,20 +38,22 @@ CLASS_LIMIT = 2000
 # ---------------------------------------------------------------- moment based
 
 
-def _class_count(df: DataFrame, label: str) -> int:
-    return df.select(label).distinct().limit(CLASS_LIMIT + 1).count()
+def _per_fold_classes(df: DataFrame, vec: str, label: str, fold: str) -> tuple[DataFrame, bool]:
+    """Train moments per (fold, class), and whether the classes are few.
 
-
-def _per_fold_classes(df: DataFrame, vec: str, label: str, fold: str) -> DataFrame:
-    return leave_out_moments(moments(df, [fold, label], vec), fold, label)
+    The (fold, class) moments are stored once; every later step reads them.
+    """
+    parts = settle(moments(df, [fold, label], vec))
+    few = parts.select(label).distinct().limit(CLASS_LIMIT + 1).count() <= CLASS_LIMIT
+    return leave_out_moments(parts, fold, label), few
 
 
 def nearest_centroid_oof(
     df: DataFrame, key: str, vec: str, label: str, fold: str = "fold"
 ) -> DataFrame:
     """``df`` with y_true and y_pred: nearest class mean of the other folds."""
-    centres = _per_fold_classes(df, vec, label, fold)
-    if _class_count(df, label) > CLASS_LIMIT:
+    centres, few = _per_fold_classes(df, vec, label, fold)
+    if not few:
         refs = centres.withColumn("_id", F.concat_ws("|", fold, label))
         queries = df.withColumn("_id", F.col(key).cast("string"))
         near = nearest(queries, refs.withColumnRenamed("mean", vec), 1, "_id", vec, label, fold, True)
@@ -76,10 +78,10 @@ def gaussian_nb_oof(
     df: DataFrame, key: str, vec: str, label: str, fold: str = "fold", smoothing: float = 1e-9
 ) -> DataFrame:
     """``df`` with y_true and y_pred from per-class normal densities."""
-    if _class_count(df, label) > CLASS_LIMIT:
+    classes, few = _per_fold_classes(df, vec, label, fold)
+    if not few:
         raise ValueError(f"more than {CLASS_LIMIT} classes")
-    classes = _per_fold_classes(df, vec, label, fold)
-    whole = leave_out_moments(moments(df, fold, vec), fold).select(
+    whole = leave_out_moments(settle(moments(df, fold, vec)), fold).select(
         F.col(fold).alias("_f"),
         F.col("n").alias("_all"),
         (F.array_max(F.transform("m2", lambda v: v / F.col("n"))) * smoothing).alias("_eps"),
@@ -267,9 +269,12 @@ def fit(
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}; expected one of {sorted([*MODELS, 'adaboost', 'knn'])}")
     params = {**DEFAULTS.get(name, {}), **(params or {})}
-    labels = vocabulary(train, label)
-    n = train.count()
-    dim = len(train.select(vec).first()[0])
+    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim"))
+    found = sizes.limit(CLASS_LIMIT + 1).collect()
+    if len(found) > CLASS_LIMIT:
+        raise ValueError(f"more than {CLASS_LIMIT} classes")
+    labels = sorted(r[label] for r in found)
+    n, dim = sum(r["n"] for r in found), max(r["dim"] for r in found)
     fitted = Fitted(scaler if scaler is not None else fit_scaler(train, vec, scale), None, None, labels, vec)
     if name == "svm-rbf":
         gamma = params.get("gamma", "scale")

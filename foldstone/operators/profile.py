@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import digest
 from ..functions.text import delta_text, interval_text
+from ..session import settle
 from .ranking import _cols, attach, exact_quantiles, first_by
 
 
@@ -87,7 +88,7 @@ def dominant(df: DataFrame, by, value: str, out: str = "dominant") -> DataFrame:
 def off_dominant(df: DataFrame, by, value: str, usable: Column | None = None) -> DataFrame:
     """Rows whose value differs from the dominant one of their own group."""
     rows = df if usable is None else df.where(usable)
-    return attach(rows, dominant(rows, by, value), by, "inner").where(F.col(value) != F.col("dominant"))
+    return attach(rows, settle(dominant(rows, by, value)), by, "inner").where(F.col(value) != F.col("dominant"))
 
 
 def cell_sample(df: DataFrame, cell, key: str, n: int, seed: object) -> DataFrame:
@@ -112,7 +113,7 @@ def box_statistics(df: DataFrame, level: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
     return (
-        attach(rows, quart, level, "inner")
+        attach(rows, settle(quart), level, "inner")
         .groupBy(level)
         .agg(
             F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),

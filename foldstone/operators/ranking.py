@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import digest
-from ..session import materialise
+from ..session import materialise, settle
 
 
 def _cols(names) -> list[str]:
@@ -108,7 +108,7 @@ def ordered_rank(df: DataFrame, by, order: Sequence[str], out: str = "rank") ->
     pieces = placed.groupBy(*by, "_piece").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    shifts = _before(pieces, by, "_piece", "_n", "_shift").drop("_n")
+    shifts = settle(_before(pieces, by, "_piece", "_n", "_shift").drop("_n"))
     return (
         attach(placed, shifts, [*by, "_piece"], "inner")
         .withColumn(out, F.col("_place") - F.col("_first") + F.col("_shift") + 1)
@@ -134,6 +134,11 @@ def running_total(df: DataFrame, by, order, measure: str, out: str) -> DataFrame
     )
 
 
+def weighted_total(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Non-null values per group."""
+    return df.groupBy(*by).agg(F.count(value).alias("_total")).where("_total > 0")
+
+
 def exact_quantiles(
     df: DataFrame, by, value: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
@@ -149,7 +154,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     cumulated = running_total(weighted, by, ["_v"], "_w", "_upto")
-    totals = cumulated.groupBy(*by).agg(F.sum("_w").alias("_total"))
+    totals = settle(weighted_total(df, by, value))
     rows = attach(cumulated, totals, by, "inner")
 
     def at(position: Column) -> Column:

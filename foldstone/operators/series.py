@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import FeatureSettings
+from ..session import settle
 from ..vocab import PERCENTILES
 from .ranking import _cols, attach, exact_quantiles, ordered_rank
 from .vectors import moments, population_sd
@@ -31,7 +32,7 @@ def trim_bounds(frames: DataFrame, series, power: str, top_db: float) -> DataFra
     loud = F.col(power) >= F.col("_peak") * F.lit(10.0 ** (-top_db / 10.0))
     active = F.when(loud & (F.col("_peak") > 0), F.col("frame_idx"))
     return (
-        attach(frames, peaks, by, "inner")
+        attach(frames, settle(peaks), by, "inner")
         .groupBy(*by)
         .agg(F.min(active).alias("first"), F.max(active).alias("last"), F.max("n_frames").alias("n_frames"))
     )
@@ -111,7 +112,7 @@ def deltas(
         *[F.min_by(n, F.when(full, F.col("frame_idx"))).alias(f"_a{i}") for i, n in enumerate(names)],
         *[F.max_by(n, F.when(full, F.col("frame_idx"))).alias(f"_z{i}") for i, n in enumerate(names)],
     )
-    filled = attach(out, ends, by, "inner")
+    filled = attach(out, settle(ends), by, "inner")
     for i, n in enumerate(names):
         filled = filled.withColumn(
             n,

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from ..vocab import ARMS, MERGED_PROTOCOLS, N_SPLITS, PROTOCOLS, SEED
 from .ranking import _cols, attach, hash_rank, size_rank, vocabulary
 
@@ -62,7 +63,7 @@ def group_folds(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "aut
 
 def with_group_fold(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "auto") -> DataFrame:
     """``df`` plus the fold in which each row is held out."""
-    return attach(df, group_folds(df, group, k, method), group, "inner")
+    return attach(df, settle(group_folds(df, group, k, method)), group, "inner")
 
 
 def stratified_folds(

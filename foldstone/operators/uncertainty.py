@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import sign_test
 from ..functions.hashing import hash32
+from ..session import settle
 from ..vocab import N_BOOT, SEED
 from .evaluate import PRED, TRUE, scores
 from .ranking import _cols, attach, hash_rank
@@ -120,7 +121,7 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """point, lo, hi, se, n_groups: an interval that resamples whole groups."""
     by = _cols(by)
-    counts = group_counts(pred, group, by)
+    counts = settle(group_counts(pred, group, by))
     point = metric_table(counts.groupBy(*by, TRUE, PRED).agg(F.sum("n").alias("n")), by, metric)
     draws = metric_table(replicate_counts(counts, group, n_boot, seed, by), [*by, "b"], metric)
     size = counts.groupBy(*by).agg(F.count_distinct(group).alias("n_groups"))
@@ -142,7 +143,7 @@ def paired_comparisons(
 
     ``pred`` is long: one row per (config, observation).
     """
-    counts = group_counts(pred, group, config)
+    counts = settle(group_counts(pred, group, config))
     point = metric_table(
         counts.groupBy(config, TRUE, PRED).agg(F.sum("n").alias("n")), [config], metric
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.hashing import normal
+from ..session import settle
 from ..vocab import GROUP_EPS, NORMALISATIONS, POOLINGS
 from .ranking import _cols, attach, vocabulary
 
@@ -114,7 +115,7 @@ def per_group_normalise(df: DataFrame, vec: str, group, eps: float = GROUP_EPS)
         F.transform(population_sd(F.col("n"), F.col("m2")), lambda s: s + F.lit(eps)).alias("_s"),
     )
     return (
-        attach(df, stats, by, "inner")
+        attach(df, settle(stats), by, "inner")
         .withColumn(vec, A.over(A.minus(F.col(vec), F.col("_m")), F.col("_s")))
         .drop("_m", "_s")
     )
@@ -125,7 +126,7 @@ def group_zscore(df: DataFrame, value: str, group, out: str, eps: float = GROUP_
     by = _cols(group)
     stats = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     return (
-        attach(df, stats, by, "inner")
+        attach(df, settle(stats), by, "inner")
         .withColumn(out, (F.col(value) - F.col("_m")) / (F.col("_s") + F.lit(eps)))
         .drop("_m", "_s")
     )

@@ -45,6 +45,16 @@ def scratch_path(spark: SparkSession, label: str = "table") -> str:
     return f"{scratch_root(spark)}/foldstone/{label}-{uuid.uuid4().hex}"
 
 
+def settle(stats: DataFrame) -> DataFrame:
+    """Store a reduced table (one row per group) before it is joined back.
+
+    Its true size is then known when the join is planned: within Spark's
+    broadcast threshold the rows it meets are not shuffled at all; beyond it
+    the join is a shuffle join whose skewed partitions AQE splits.
+    """
+    return materialise(stats, "stats")
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 

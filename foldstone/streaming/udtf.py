@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def frame_rows(df: DataFrame, key: str, signal: str, width: int, hop: int) -> DataFrame:
     """(key, frame_idx, vec) by a Python table function in a lateral join."""
 
-    @F.udtf(returnType="frame_idx int, vec array<double>")
+    @F.udtf(returnType="frame_idx int, frame array<double>")
     class Frames:
         def eval(self, samples: list, width: int, hop: int):
             for i, start in enumerate(range(0, len(samples) - width + 1, hop)):
@@ -17,4 +17,4 @@ def frame_rows(df: DataFrame, key: str, signal: str, width: int, hop: int) -> Da
 
     rows = df.select(key, signal)
     call = Frames(F.col(signal).outer(), F.lit(width), F.lit(hop))
-    return rows.lateralJoin(call).select(key, "frame_idx", "vec")
+    return rows.lateralJoin(call).select(key, "frame_idx", F.col("frame").alias("vec"))
