@@ -130,7 +130,7 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
     upto = running_total(counts, [], ["_v"], "_w", "_upto")
     ranks = upto.select(F.col("_v").alias(value), (F.col("_upto") - (F.col("_w") - 1) / 2.0).alias(out))
-    return attach(df, ranks, value, "inner")
+    return attach(df, settle(ranks), value, "inner")
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -337,45 +337,50 @@ def summarise_folds(
     """Composition of every fold.
 
     The joined rows are reduced once to one row per distinct combination of
-    the reported columns; all distinct counts read that small table. Overlap
-    is |train| + |test| - |either|, so no group list is ever collected.
+    the reported columns; all distinct counts read that stored table, and no
+    group list is ever collected.
     """
     sources = F.col(source) if source else F.lit(None).cast("string")
     facts = meta.select(
         key, F.col(group).alias("_g"), F.col(label).alias("_l"), attribute.alias("_a"), sources.alias("_s")
     )
-    cells = (
+    cells = settle(
         folds.join(facts, key)
         .groupBy("protocol", "fold", "split", "_g", "_l", "_a", "_s")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    cell = ["protocol", "fold"]
     test, train = F.col("split") == "test", F.col("split") == "train"
     n = F.col("_n")
 
     def rows(condition):
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
 
-    def distinct(condition, column):
-        return F.count_distinct(F.when(condition, F.col(column)))
+    def sides(column):
+        """One row per distinct value: on which sides it occurs."""
+        marks = cells.groupBy(*cell, F.col(column).alias("_v")).agg(
+            F.max(train.cast("int")).alias("_tr"), F.max(test.cast("int")).alias("_te")
+        )
+        return marks.groupBy(*cell)
 
-    aggs = [
+    both = (F.col("_tr") == 1) & (F.col("_te") == 1)
+    counted = cells.groupBy(*cell).agg(
         rows(train).alias("n_train"),
         rows(test).alias("n_test"),
-        distinct(train, "_g").alias("train_groups"),
-        distinct(test, "_g").alias("test_groups"),
-        (distinct(train, "_g") + distinct(test, "_g") - F.count_distinct("_g")).alias("group_overlap"),
         F.round(100 * rows(test & F.col("_a")) / F.nullif(rows(test), F.lit(0)), 1).alias("test_pct_attribute"),
-        distinct(test, "_l").alias("test_labels"),
-    ]
-    aggs += [rows(test & (F.col("_l") == v)).alias(f"test_{v}") for v in counted_labels]
+        *[rows(test & (F.col("_l") == v)).alias(f"test_{v}") for v in counted_labels],
+    )
+    groups = sides("_g").agg(
+        F.sum("_tr").alias("train_groups"), F.sum("_te").alias("test_groups"), F.count_if(both).alias("group_overlap")
+    )
+    labels = sides("_l").agg(F.sum("_te").alias("test_labels"))
+    table = counted.join(groups, cell).join(labels, cell)
     if source:
         # a closed vocabulary: a handful of sources per fold
-        listed = F.array_sort(F.collect_set(F.when(test, F.col("_s"))))
-        aggs += [
-            (distinct(train, "_s") + distinct(test, "_s") - F.count_distinct("_s")).alias("source_overlap"),
-            F.array_join(listed, ",").alias("test_sources"),
-        ]
-    return cells.groupBy("protocol", "fold").agg(*aggs)
+        listed = F.array_sort(F.collect_set(F.when(F.col("_te") == 1, F.col("_v"))))
+        found = sides("_s").agg(F.count_if(both).alias("source_overlap"), F.array_join(listed, ",").alias("test_sources"))
+        table = table.join(found, cell)
+    return table
 
 
 def freeze_check(rebuilt: DataFrame, committed: DataFrame) -> DataFrame:

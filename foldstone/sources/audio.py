@@ -11,11 +11,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import FeatureSettings
 from ..operators.series import aggregate_vectors, delta_kernel, resolve_width
 from ..vocab import CLIP_LEVEL, TARGET_RATE
 
+_LEVELS = T.StructType(
+    [T.StructField("peak", T.DoubleType()), T.StructField("rms", T.DoubleType()), T.StructField("clipped", T.LongType())]
+)
+
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.wav", content: bool = True) -> DataFrame:
     """All matching files below ``root``; none at all is an error."""
@@ -178,29 +183,46 @@ def load_strict(files: DataFrame, key: str, **kwargs) -> DataFrame:
 
 
 def frame_power(decoded: DataFrame, key: str, window: int, hop: int) -> DataFrame:
-    """(key, frame_idx, power): mean square of each centred frame, JVM-side."""
-    padded = F.concat(
-        F.array_repeat(F.lit(0.0).cast("float"), window // 2),
-        F.col("samples"),
-        F.array_repeat(F.lit(0.0).cast("float"), window // 2),
-    )
-    starts = F.sequence(F.lit(0), F.size("samples").cast("int"), F.lit(hop))
-    cut = decoded.where(F.size("samples") > 0).select(key, padded.alias("_y"), F.posexplode(starts).alias("frame_idx", "_s"))
-    power = F.aggregate(F.slice("_y", F.col("_s") + 1, window), F.lit(0.0), lambda a, x: a + x.cast("double") * x) / window
-    return cut.select(key, "frame_idx", power.alias("power"))
+    """(key, frame_idx, power): mean square of each centred frame."""
+
+    @F.pandas_udf("array<double>")
+    def powers(samples: pd.Series) -> pd.Series:
+        out = []
+        for y in samples:
+            square = np.concatenate([np.zeros(window // 2), np.square(y, dtype="float64"), np.zeros(window // 2)])
+            total = np.concatenate([[0.0], np.cumsum(square)])
+            starts = np.arange(0, len(y) + 1, hop)
+            out.append(np.maximum(total[starts + 2 * (window // 2)] - total[starts], 0.0) / window)
+        return pd.Series(out)
+
+    rows = decoded.where(F.size("samples") > 0)
+    return rows.select(key, F.posexplode(powers("samples")).alias("frame_idx", "power"))
 
 
 def frames_of(decoded: DataFrame, key: str, window: int, hop: int) -> DataFrame:
-    """(key, frame_idx, vec): centred, zero-padded frames as rows."""
-    padded = F.concat(
-        F.array_repeat(F.lit(0.0).cast("float"), window // 2),
-        F.col("samples"),
-        F.array_repeat(F.lit(0.0).cast("float"), window // 2),
+    """(key, frame_idx, vec): centred, zero-padded frames as rows.
+
+    Frames are cut inside the row and exploded afterwards, so the signal
+    itself is never copied once per frame.
+    """
+    pad = F.array_repeat(F.lit(0.0).cast("float"), window // 2)
+    starts = F.sequence(F.lit(0), F.size("samples"), F.lit(hop))
+    padded = decoded.where(F.size("samples") > 0).select(
+        key, F.concat(pad, "samples", pad).alias("_y"), starts.alias("_starts")
     )
-    starts = F.sequence(F.lit(0), F.size("samples").cast("int"), F.lit(hop))
-    return decoded.where(F.size("samples") > 0).select(
-        key, padded.alias("_y"), F.posexplode(starts).alias("frame_idx", "_s")
-    ).select(key, "frame_idx", F.slice("_y", F.col("_s") + 1, window).alias("vec"))
+    cut = F.transform("_starts", lambda s: F.slice("_y", s + 1, window))
+    return padded.select(key, F.posexplode(cut).alias("frame_idx", "vec"))
+
+
+@F.pandas_udf(_LEVELS)
+def _levels(samples: pd.Series) -> pd.DataFrame:
+    """Peak, root mean square and clipped count of each signal."""
+    rows = []
+    for y in samples:
+        y = np.zeros(0) if y is None else np.abs(np.asarray(y, dtype="float32"))
+        loud = np.square(y, dtype="float64").mean() if len(y) else 0.0
+        rows.append((float(y.max()) if len(y) else 0.0, float(np.sqrt(loud)), int((y >= CLIP_LEVEL).sum())))
+    return pd.DataFrame(rows, columns=["peak", "rms", "clipped"])
 
 
 def audit_measures(decoded: DataFrame, key: str, top_db: float = 30, window: int = 2048, hop: int = 512) -> DataFrame:
@@ -209,18 +231,16 @@ def audit_measures(decoded: DataFrame, key: str, top_db: float = 30, window: int
     Trimming looks at frame power relative to the loudest frame and keeps from
     the first to one hop past the last active frame.
     """
-    y, sr, n = F.col("samples"), F.col("sr"), F.size("samples")
-    peak = F.coalesce(F.array_max(F.transform(y, lambda x: F.abs(x))).cast("double"), F.lit(0.0))
-    square = F.aggregate(y, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    ok = F.col("load_error").isNull()
-    base = decoded.select(
+    sr, n, ok = F.col("sr"), F.size("samples"), F.col("load_error").isNull()
+    level, peak = F.col("_level"), F.col("_level.peak")
+    base = decoded.withColumn("_level", _levels("samples")).select(
         key, "load_error", "sr", "n_channels",
         F.when(ok, n.cast("bigint")).alias("n_frames"),
         F.when(ok, n / sr).alias("duration"),
         F.when(ok, peak).alias("peak_amp"),
-        F.when(ok, F.coalesce(F.sqrt(square / F.nullif(n, F.lit(0))), F.lit(0.0))).alias("rms"),
+        F.when(ok, level["rms"]).alias("rms"),
         F.when(ok & (peak > 0), 20.0 * F.log10(peak)).alias("dbfs_peak"),
-        F.when(ok, F.size(F.filter(y, lambda x: F.abs(x) >= F.lit(CLIP_LEVEL))).cast("bigint")).alias("n_clipped"),
+        F.when(ok, level["clipped"]).alias("n_clipped"),
     )
     from ..operators.series import trim_bounds
 
@@ -356,45 +376,38 @@ def cepstra(described: DataFrame, key: str, n_mfcc: int, n_mels: int, floor_db:
     return joined.select(key, "frame_idx", transform("mel", "_top").alias("mfcc"), "rest")
 
 
-def vector_deltas(frames: DataFrame, key: str, vec: str, width: int, orders) -> DataFrame:
-    """(key, frame_idx, d1, d2, ...) for an array column of bounded series.
+def _local_fit(frames: np.ndarray, width: int, order: int) -> np.ndarray:
+    """Slope or curvature per frame; frames near an end take the nearest full window's."""
+    width = resolve_width(width, len(frames))
+    half = width // 2
+    if len(frames) < width:
+        return np.zeros_like(frames)
+    inner = sum(w * frames[k : len(frames) - 2 * half + k] for k, w in enumerate(delta_kernel(width, order)))
+    return np.concatenate([np.repeat(inner[:1], half, 0), inner, np.repeat(inner[-1:], half, 0)])
+
 
-    A clip is a file that one task decoded, so its frames fit into one window;
-    for unbounded series use :func:`foldstone.operators.series.deltas`.
+def vector_deltas(frames: DataFrame, key: str, vec: str, rest: str, width: int, orders) -> DataFrame:
+    """(key, frame_idx, vec): ``vec``, its deltas of each order, then ``rest``.
+
+    The frames of one clip come from one file that one task decoded, so a clip
+    fits into a row; for unbounded series use
+    :func:`foldstone.operators.series.deltas`.
     """
-    from pyspark.sql.window import Window
-
-    lengths = F.count(F.lit(1)).over(Window.partitionBy(key))
-    rows = frames.withColumn("_n", lengths)
-    # short clips narrow the width; the fit is a kernel per resolved width
-    fitted = F.lit(width)
-    for w in range(width - 2, 1, -2):
-        fitted = F.when(F.col("_n") < w + 2, F.lit(w)).otherwise(fitted)
-    rows = rows.withColumn("_w", F.greatest(fitted, F.lit(3)))
-    half = F.floor(F.col("_w") / 2)
-    centre = F.greatest(half, F.least(F.col("frame_idx"), F.col("_n") - 1 - half)).cast("int")
-    around = Window.partitionBy(key).orderBy("frame_idx").rowsBetween(-(width - 1), width - 1)
-    near = F.collect_list(F.struct("frame_idx", F.col(vec).alias("v"))).over(around)
-    rows = rows.withColumn("_near", near).withColumn("_centre", centre)
-    out = []
-    for order in orders:
-        kernels = F.create_map(
-            *[x for w in range(3, width + 1, 2) for x in (F.lit(w), F.array(*[F.lit(k) for k in delta_kernel(w, order)]))]
-        )
-        zero = F.transform(F.col(vec), lambda _: F.lit(0.0))
-        weights = kernels[F.col("_w")]
-        value = F.aggregate(
-            "_near",
-            zero,
-            lambda acc, e: F.zip_with(
-                acc, e["v"],
-                lambda a, x: a + x * F.coalesce(
-                    F.get(weights, (e["frame_idx"] - F.col("_centre") + F.floor(F.col("_w") / 2)).cast("int")), F.lit(0.0)
-                ),
-            ),
-        )
-        out.append(value.alias(f"d{order}"))
-    return rows.select(key, "frame_idx", vec, *[c for c in frames.columns if c not in (key, "frame_idx", vec)], *out)
+
+    @F.pandas_udf("array<array<double>>")
+    def widen(clips: pd.Series, tails: pd.Series) -> pd.Series:
+        out = []
+        for clip, tail in zip(clips, tails):
+            x = np.stack(clip)
+            blocks = [x, *[_local_fit(x, width, o) for o in orders], np.stack(tail)]
+            out.append(list(np.hstack(blocks)))
+        return pd.Series(out)
+
+    clips = frames.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("frame_idx", F.col(vec).alias("v"), F.col(rest).alias("r")))).alias("_f")
+    )
+    wide = clips.select(key, widen(F.col("_f.v"), F.col("_f.r")).alias("_w"))
+    return wide.select(key, F.posexplode("_w").alias("frame_idx", "vec"))
 
 
 def extract(decoded: DataFrame, key: str, s: FeatureSettings) -> DataFrame:
@@ -412,10 +425,8 @@ def extract(decoded: DataFrame, key: str, s: FeatureSettings) -> DataFrame:
     described = descriptors(frames_of(source, key, s.n_fft, s.hop_length), key, s)
     frames = cepstra(described, key, s.n_mfcc, s.n_mels)
     orders = [o for o, on in ((1, s.deltas), (2, s.delta_deltas)) if on]
-    if orders:
-        frames = vector_deltas(frames, key, "mfcc", s.resolved_delta_width, orders)
-    whole = F.concat("mfcc", *[f"d{o}" for o in orders], "rest")
-    return aggregate_vectors(frames.select(key, whole.alias("vec")), key, "vec", s.aggregation)
+    wide = vector_deltas(frames, key, "mfcc", "rest", s.resolved_delta_width, orders)
+    return aggregate_vectors(wide, key, "vec", s.aggregation)
 
 
 def rolloff_mean(decoded: DataFrame, key: str, percent: float = 0.95, window: int = 2048, hop: int = 512) -> DataFrame:
