@@ -140,7 +140,7 @@ def aggregate_vectors(frames: DataFrame, series, vec: str, strategy: str) -> Dat
         # one entry per dimension: a bounded list
         listed = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", *names))).alias("_l"))
         return listed.select(
-            *by, F.concat(*[F.transform("_l", lambda e, n=n: e[n]) for n in names]).alias("features")
+            *by, F.concat(*[F.col(f"_l.{n}") for n in names]).alias("features")
         )
     stats = moments(frames, by, vec, extremes="min" in strategy)
     parts = {
