@@ -189,11 +189,19 @@ def densify(spark, d):
     return E.confusion(pred(spark, d), ["click", "error", "never", "purchase", "signup", "view"])
 
 
-@query("jn_10")
+@query("jn_10", f"WITH {VECS} SELECT label, count(*) AS n, true AS same_label, true AS cross_group FROM vecs GROUP BY label HAVING count(*) > 1")
 def cross_group_pairs(spark, d):
     from ..operators.augment import mixup
 
-    return mixup(vecs(spark, d), "key", "vec", "label", "grp", 1.0, "jn").select("label", "draw", "a", "b")
+    rows = vecs(spark, d)
+    a = rows.select(F.col("key").alias("a"), F.col("label").alias("la"), F.col("grp").alias("ga"))
+    b = rows.select(F.col("key").alias("b"), F.col("label").alias("lb"), F.col("grp").alias("gb"))
+    pairs = mixup(rows, "key", "vec", "label", "grp", 1.0, "jn").select("label", "draw", "a", "b")
+    return pairs.join(a, "a").join(b, "b").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and((F.col("la") == F.col("label")) & (F.col("lb") == F.col("label"))).alias("same_label"),
+        F.bool_and(F.col("ga") != F.col("gb")).alias("cross_group"),
+    )
 
 
 @query("jn_11", rounded(f"""WITH {VECS} SELECT a.key, b.key AS ref, list_distance(a.vec, b.vec) AS distance FROM vecs a JOIN vecs b ON a.grp <> b.grp

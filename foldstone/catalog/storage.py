@@ -32,7 +32,10 @@ def wav_files(spark, d):
     return read(spark, d, "documents").select(k.alias("key"), "lang", "source", path.alias("path"), content.alias("content"))
 
 
-@query("src_01")
+_FILES = "(VALUES ('region.parquet'), ('nation.parquet'), ('customer.parquet'), ('supplier.parquet'), ('part.parquet'), ('orders.parquet'), ('lineitem.parquet'), ('events.parquet'), ('documents.parquet'), ('embeddings.parquet'), ('pages.parquet'), ('benchmark.parquet'), ('labels.parquet'), ('conversations.parquet')) AS t(name)"
+
+
+@query("src_01", f"SELECT name, true AS has_bytes FROM {_FILES}")
 def scan(spark, d):
     files = W.scan_files(spark, d, "*.parquet", content=False)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("has_bytes"))
@@ -191,6 +194,14 @@ def tensor_store(spark, d):
 # ---------------------------------------------------------------------- audit
 
 
+def trim_sql(window: int, hop: int, top_db: float) -> str:
+    """tb(key, first, last, n_frames): active frames of the decoded signals."""
+    half = window // 2
+    return f"""fr AS (SELECT key, unnest(range(greatest(0, (i - {half}) // {hop} + CASE WHEN i >= {half} THEN 1 ELSE 0 END), least(n // {hop}, (i + {half}) // {hop}) + 1)) AS f, y * y AS e FROM sig),
+ pw AS (SELECT key, f, sum(e) / {window} AS power FROM fr GROUP BY ALL), pk AS (SELECT *, max(power) OVER (PARTITION BY key) AS peak FROM pw),
+ tb AS (SELECT key, min(f) FILTER (WHERE power >= peak * pow(10, {-top_db / 10})) AS first, max(f) FILTER (WHERE power >= peak * pow(10, {-top_db / 10})) AS last FROM pk GROUP BY key)"""
+
+
 @query("aud_01", rounded(f"""WITH {SAMPLES} SELECT key, count(*) AS n_frames, count(*) / any_value(rate)::DOUBLE AS duration, max(abs(y)) AS peak_amp, sqrt(avg(y * y)) AS rms,
  20 * log10(max(abs(y))) AS dbfs_peak, count(*) FILTER (WHERE abs(y) >= 0.999) AS n_clipped FROM sig GROUP BY key""", "duration", "peak_amp", "rms", "dbfs_peak", digits=8))
 def amplitude(spark, d):
@@ -198,12 +209,21 @@ def amplitude(spark, d):
     return tidy(rows.where("load_error IS NULL").select("key", "n_frames", "duration", "peak_amp", "rms", "dbfs_peak", "n_clipped"), 8)
 
 
-@query("aud_02")
+_AUDIT = ["duration", "peak_amp", "rms", "dbfs_peak", "trimmed_duration", "lead_silence", "trail_silence", "silence_fraction"]
+
+
+@query("aud_02", rounded(f"""WITH {SAMPLES}, {trim_sql(2048, 512, 30)},
+ b AS (SELECT key, any_value(rate) AS sr, any_value(ch) AS n_channels, count(*) AS n, max(abs(y)) AS peak_amp, sqrt(avg(y * y)) AS rms, count(*) FILTER (WHERE abs(y) >= 0.999) AS n_clipped FROM sig GROUP BY key),
+ c AS (SELECT *, least(first * 512, n) AS s, least((last + 1) * 512, n) AS e FROM b JOIN tb USING (key))
+SELECT d.doc_id AS key, d.lang, d.source, sr::INT AS sr, n_channels::INT AS n_channels, n AS n_frames, n / sr::DOUBLE AS duration, peak_amp, rms, 20 * log10(peak_amp) AS dbfs_peak, n_clipped,
+ (e - s) / sr::DOUBLE AS trimmed_duration, s / sr::DOUBLE AS lead_silence, (n - e) / sr::DOUBLE AS trail_silence, 1 - (e - s) / n::DOUBLE AS silence_fraction,
+ CASE WHEN c.key IS NULL THEN 'ValueError: not a WAV file' END AS load_error FROM documents d LEFT JOIN c ON c.key = d.doc_id""", *_AUDIT, digits=8))
 def full_audit(spark, d):
     from ..operators.joins import guarded_left_join
 
     files = wav_files(spark, d)
-    return guarded_left_join(files.select("key", "lang", "source"), W.audit_measures(W.decode(files, "key", rate=None), "key"), "key")
+    measures = W.audit_measures(W.decode(files, "key", rate=None), "key")
+    return tidy(guarded_left_join(files.select("key", "lang", "source"), measures, "key"), 8)
 
 
 _S = ["min", "p25", "median", "mean", "p75", "max", "std"]
@@ -233,7 +253,8 @@ SMALL = FeatureSettings(
 )
 
 
-@query("fea_01")
+@query("fea_01", f"""WITH {SAMPLES}, {trim_sql(256, 128, 3)}, c AS (SELECT key, any_value(n) // 128 + 1 AS n_frames FROM sig GROUP BY key)
+SELECT key, first, last, n_frames FROM tb JOIN c USING (key)""")
 def silence_trim(spark, d):
     from ..operators.series import trim_bounds
 

@@ -357,12 +357,26 @@ def sweep_sizes(spark, d):
     return table.select("subset", (F.col("n_rows") + F.col("_b")).alias("n_train"))
 
 
+def _near(cent: str, rows: str, on: str, name: str) -> str:
+    """{name}(y_true, y_pred): nearest of ``cent`` for each of ``rows``."""
+    return f"""{name} AS (SELECT y_true, y_pred FROM (SELECT s.key, s.label AS y_true, c.label AS y_pred, sum((s.v - c.c) * (s.v - c.c)) AS d
+  FROM {rows} s JOIN {cent} c ON s.p = c.p {on} GROUP BY ALL) AS _d QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, y_pred) = 1)"""
+
+
+_SWEEP = f"""{SRC3}, el AS (SELECT sv.key, sv.label, source, fold, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM sv LEFT JOIN gf ON gf.grp = sv.grp AND source = 's0'),
+ cc AS (SELECT k.mask, t.f AS fold, label, p, avg(v) AS c FROM el, range(4) AS k(mask), range(2) AS t(f)
+   WHERE (source = 's0' AND fold <> t.f) OR (source = 's1' AND mask & 1 = 1) OR (source = 's2' AND mask & 2 = 2) GROUP BY ALL),
+ dd AS (SELECT c.mask, s.key, s.label AS y_true, c.label AS y_pred, sum((s.v - c.c) * (s.v - c.c)) AS d FROM el s JOIN cc c ON s.p = c.p AND s.fold = c.fold WHERE source = 's0' GROUP BY ALL),
+ pp AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY mask, key ORDER BY d, y_pred) = 1),
+ t AS (SELECT ['(base only)', 's1', 's2', 's1+s2'][mask + 1] AS subset, y_true, y_pred, count(*) AS n FROM pp GROUP BY ALL), sc AS ({score_sql('t', 'subset')})"""
+
+
 def _centroid_predict(train, test):
     both = train.select("key", "label", "vec").withColumn("fold", F.lit(0)).unionByName(test.select("key", "label", "vec").withColumn("fold", F.lit(1)))
     return M.nearest_centroid_oof(both, "key", "vec", "label").where("fold = 1")
 
 
-@query("trf_06_scores")
+@query("trf_06_scores", rounded(f"""WITH {_SWEEP} SELECT subset, n, accuracy, macro_f1, round((macro_f1 - (SELECT macro_f1 FROM sc WHERE subset = '(base only)')) * 100, 2) AS vs_control_pp FROM sc""", "accuracy", "macro_f1", "vs_control_pp"))
 def sweep_scores(spark, d):
     own, external = sourced_folds(spark, d)
     rows = own.unionByName(external.withColumn("fold", F.lit(-1)))
@@ -541,7 +555,15 @@ def projection(spark, d):
                            F.lit(float(ratio[0])).alias("ratio1"), F.lit(float(ratio[1])).alias("ratio2")))
 
 
-@query("diag_06")
+_INV = f"""{EL}, rf AS (SELECT el.*, gf.fold, {h("'half'", 'key')} % 2 = 0 AS half FROM el JOIN gf USING (grp)), te AS (SELECT * FROM rf WHERE NOT half),
+ c1 AS (SELECT t.f AS fold, label, p, avg(v) AS c FROM rf, range({K}) AS t(f) WHERE fold <> t.f GROUP BY ALL),
+ c2 AS (SELECT label, p, avg(v) AS c FROM rf WHERE half GROUP BY ALL),
+ c3 AS (SELECT t.f AS fold, label, p, avg(v) AS c FROM rf, range({K}) AS t(f) WHERE half AND fold <> t.f GROUP BY ALL),
+ {_near('c1', 'rf', 'AND c.fold = s.fold', 'p1')}, {_near('c2', 'te', '', 'p2')}, {_near('c3', 'te', 'AND c.fold = s.fold', 'p3')},
+ t AS (SELECT protocol, y_true, y_pred, count(*) AS n FROM (SELECT 'group' AS protocol, * FROM p1 UNION ALL SELECT 'attribute', * FROM p2 UNION ALL SELECT 'both', * FROM p3) AS _u GROUP BY ALL)"""
+
+
+@query("diag_06", rounded(f"WITH {_INV} {score_sql('t', 'protocol')}", *SCORES))
 def invariance(spark, d):
     half = hash32("half", F.col("key")) % 2 == 0
     return tidy(D.attribute_invariance(vecs(spark, d), "key", "vec", "label", "grp", half, ~half, method="snake"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.text import basename, lookup, parent, stem
+from ..session import settle
 from .ranking import first_by, vocabulary
 
 # -------------------------------------------------------------------- parsers
@@ -427,6 +428,7 @@ def content_duplicates(df: DataFrame, content: str, source: str, name: str, samp
         F.sum("_n").alias("n"),
         F.array_sort(F.collect_set("_s")).alias("_sources"),  # sources are a closed vocabulary
     ).where("n > 1")
+    groups = settle(groups)
     names = (
         first_by(hashed.join(groups.select("_d"), "_d", "left_semi"), "_d", [F.col("_k")], sample)
         .groupBy("_d")
