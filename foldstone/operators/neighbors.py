@@ -7,10 +7,14 @@ or distance sums per (row, label). No pair of rows is ever a row of a table.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.hashing import hash32
+from ..session import settle
 from .ranking import attach, first_by
 
 #: Rows per block: bounds the memory of one task.
@@ -37,9 +41,6 @@ def nearest(
     With ``fold``, references are taken from other folds than the query's, or
     with ``same_fold`` from the same one. Ties go to the smaller reference key.
     """
-    import numpy as np
-    import pandas as pd
-
     nq, nr = _block_count(queries.count()), _block_count(refs.count())
     f = F.col(fold) if fold else F.lit(0)
     qkind = queries.schema[key].dataType.simpleString()
@@ -104,16 +105,15 @@ def knn_vote(near: DataFrame, key: str, label: str, weights: str = "uniform") ->
 
 
 def distance_sums(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
-    """(key, label, other, total): summed Euclidean distance to each label.
-
-    Blocks follow the label order, so a block meets few labels and the number
-    of emitted sums stays far below the number of pairs. Each pair of blocks
-    is computed once and serves both of its sides.
+    """(key, label, other, total, best): what a silhouette needs, already reduced.
+
+    ``total`` sums the distances of a row to the rows of label ``other``, for
+    its own label and for labels that span blocks. A label that lies in one
+    block is finished there, so of all those only the smallest mean distance
+    is kept, in ``best``. Blocks follow the label order, so few labels span
+    blocks and a row emits a handful of values per block, however many labels
+    there are. Each pair of blocks is computed once for both of its sides.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.window import Window
-
     n = df.count()
     blocks = _block_count(n)
     kkind, lkind = (df.schema[c].dataType.simpleString() for c in (key, label))
@@ -121,40 +121,54 @@ def distance_sums(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     before = F.sum("_c").over(
         Window.partitionBy(F.lit(0)).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0)))
+
+    def block_at(position):
+        return F.least(F.floor(position * blocks / n), F.lit(blocks - 1)).cast("int")
+
+    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0)).cast("double")).withColumn(
+        "_whole", block_at(F.col("_start")) == block_at(F.col("_start") + F.col("_c"))
+    )
     spot = F.col("_start") + hash32("s", F.col(key)) / F.lit(4294967296.0) * F.col("_c")
-    placed = attach(df, starts, label, "inner").select(
+    placed = attach(df, settle(starts), label, "inner").select(
         F.col(key).alias("k"), F.col(vec).alias("v"), F.col(label).alias("l"),
-        F.least(F.floor(spot * blocks / n), F.lit(blocks - 1)).cast("int").alias("b"),
+        F.col("_c").alias("c"), F.col("_whole").alias("whole"), block_at(spot).alias("b"),
     )
     spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "k", "v", "l", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
+        "k", "v", "l", "c", "whole", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
     )
-
-    def sums(dist, rows, cols):
-        frame = pd.DataFrame(dist.T, columns=rows.k.to_numpy()).groupby(cols.l.to_numpy()).sum()
-        long = frame.stack().reset_index()
-        long.columns = ["other", "k", "total"]
-        return long.merge(rows[["k", "l"]], on="k")[["k", "l", "other", "total"]]
+    columns = ["k", "l", "other", "total", "best"]
+
+    def reduce(dist, rows, cols):
+        names, first, which = np.unique(cols.l.to_numpy(), return_index=True, return_inverse=True)
+        total = np.zeros((len(names), len(rows)))
+        np.add.at(total, which, dist.T)
+        size, whole = cols.c.to_numpy()[first], cols.whole.to_numpy()[first].astype(bool)
+        own = names[:, None] == rows.l.to_numpy()[None, :]
+        means = np.where(whole[:, None] & ~own, total / size[:, None], np.inf)
+        k, l = rows.k.to_numpy(), rows.l.to_numpy()
+        at, row = np.nonzero(own | ~whole[:, None])
+        sums = pd.DataFrame({"k": k[row], "l": l[row], "other": names[at], "total": total[at, row], "best": np.inf})
+        mins = pd.DataFrame({"k": k, "l": l, "other": l, "total": 0.0, "best": means.min(0)})
+        return pd.concat([sums, mins])
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf.i.iat[0], pdf.j.iat[0]
         left, right = pdf[pdf.b == i], pdf[pdf.b == j]
         if left.empty or right.empty:
-            return pd.DataFrame({"k": [], "l": [], "other": [], "total": []})
+            return pd.DataFrame({c: [] for c in columns})
         a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
         d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
         dist = np.sqrt(np.maximum(d2, 0.0))
         if i == j:
             dist[left.k.to_numpy()[:, None] == right.k.to_numpy()[None, :]] = 0.0
-            return sums(dist, left, right)
-        return pd.concat([sums(dist, left, right), sums(dist.T, right, left)])
+            return reduce(dist, left, right)
+        return pd.concat([reduce(dist, left, right), reduce(dist.T, right, left)])
 
     parts = spread.groupBy("i", "j").applyInPandas(
-        cell, f"k {kkind}, l {lkind}, other {lkind}, total double"
+        cell, f"k {kkind}, l {lkind}, other {lkind}, total double, best double"
     )
     return parts.groupBy(F.col("k").alias(key), F.col("l").alias(label), "other").agg(
-        F.sum("total").alias("total")
+        F.sum("total").alias("total"), F.min("best").alias("best")
     )
 
 
@@ -162,12 +176,12 @@ def silhouette_rows(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     """(key, label, a, b, silhouette) with Euclidean distances; singletons 0."""
     sums = distance_sums(df, key, vec, label)
     sizes = df.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("_c"))
-    rows = attach(sums, sizes, "other", "inner")
+    rows = attach(sums, settle(sizes), "other", "inner")
     own = F.col("other") == F.col(label)
     table = rows.groupBy(key, label).agg(
         F.max(F.when(own, F.col("_c"))).alias("_own"),
         F.max(F.when(own, F.col("total") / F.greatest(F.col("_c") - 1, F.lit(1)))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("_c"))).alias("b"),
+        F.least(F.min(F.when(~own, F.col("total") / F.col("_c"))), F.min("best")).alias("b"),
     )
     s = F.when(F.col("_own") <= 1, F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest("a", "b")

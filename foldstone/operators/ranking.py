@@ -87,10 +87,10 @@ def size_rank(df: DataFrame, size: str, key, by=(), out: str = "rank") -> DataFr
 
 def _range_pieces(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """Range-partition by group and order; written so that pieces stay fixed."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*by, *order]
+    # without a fixed number, AQE merges neighbouring ranges of small inputs
     placed = (
-        df.repartitionByRange(parts, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_place", F.monotonically_increasing_id())
     )

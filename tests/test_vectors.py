@@ -115,6 +115,17 @@ def test_silhouette_equals_brute_force(spark, points, monkeypatch):
     assert K.silhouette(df, "key", "vec", "label").first()["silhouette"] == pytest.approx(want)
 
 
+def test_silhouette_with_many_labels(points, monkeypatch):
+    """Labels inside a block are reduced there; a row emits few values per block."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 40)
+    df = points.withColumn("label", F.when(F.col("key") < 90, F.lit(-1)).otherwise(F.floor(F.col("key") / 2).cast("int")))
+    x, rows = matrix(df)
+    want = brute_silhouette(x, np.array([r["label"] for r in rows]))
+    assert K.silhouette(df, "key", "vec", "label").first()["silhouette"] == pytest.approx(want)
+    emitted = K.distance_sums(df, "key", "vec", "label").groupBy("key").count().agg(F.max("count")).first()[0]
+    assert emitted <= 2 + K._block_count(240)
+
+
 def test_centroids_and_many_class_path_agree(points, monkeypatch):
     few = {r["key"]: r["y_pred"] for r in M.nearest_centroid_oof(points, "key", "vec", "label").collect()}
     monkeypatch.setattr(M, "CLASS_LIMIT", 1)
