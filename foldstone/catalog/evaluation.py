@@ -7,7 +7,7 @@ from ..operators import uncertainty as U
 from ..operators.splits import with_group_fold
 from ..functions.text import sorted_json_column
 from .base import (
-    EVENT_LABELS, HIGH_EVENTS, PRED, h, obs, pred, query, rounded, score_sql, snake_sql, tidy,
+    EVENT_LABELS, HIGH_EVENTS, PRED, h, obs, pred, query, rounded, score_sql, tidy,
 )
 
 LABELS_SQL = "labels5(label, o) AS (VALUES ('click',0),('error',1),('purchase',2),('signup',3),('view',4))"

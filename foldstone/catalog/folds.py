@@ -9,7 +9,7 @@ from ..operators.inventory import label_coverage
 from ..operators.profile import composition
 from ..operators.vectors import fuse
 from ..operators.neighbors import nearest
-from .base import DOCS, EVENT_LABELS, OBS, PRED, VECS, docs, h, obs, pred, query, rounded, snake_sql, tidy, vecs
+from .base import DOCS, OBS, PRED, VECS, docs, obs, pred, query, rounded, snake_sql, tidy, vecs
 
 K = 5
 EARLY, LATE = "early", "NOT early"

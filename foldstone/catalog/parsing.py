@@ -11,7 +11,7 @@ from ..operators import inventory as I
 from ..operators import profile as P
 from ..operators import splits as S
 from ..operators import vectors as N
-from .base import DOCS, OBS, VECS, docs, h, obs, query, read, rounded, tidy, vecs
+from .base import DOCS, VECS, docs, h, obs, query, read, rounded, tidy, vecs
 from .evaluation import RESULTS, results
 from .folds import FOLDS, folds
 

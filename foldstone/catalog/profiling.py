@@ -9,7 +9,7 @@ from ..operators.ranking import hash_rank
 from ..operators.series import trim_bounds, frame_index
 from ..operators.transfer import subset_table, versus_control
 from ..operators.vectors import group_zscore
-from .base import DOCS, OBS, PRED, docs, h, m, obs, pred, query, read, rounded, tidy
+from .base import DOCS, OBS, PRED, docs, obs, pred, query, read, rounded, tidy
 from .evaluation import RESULTS, results
 
 LINE_STATS = ["min", "p25", "median", "mean", "p75", "max", "std"]

@@ -5,13 +5,12 @@ from pyspark.sql import types as T
 
 from ..config import FeatureSettings
 from ..operators.ranking import first_by
-from ..operators import splits as S
 from ..operators.vectors import select_layer
 from ..operators.series import aggregate_values
 from ..sources import audio as W
 from ..sources import tables as B
 from ..session import scratch_path
-from .base import OBS, PRED, VECS, obs, query, read, rounded, tidy, vecs
+from .base import OBS, VECS, obs, query, read, rounded, tidy, vecs
 from .evaluation import RESULTS, results
 from .folds import FOLDS, folds
 from .parsing import BASE, base_files, _LBL, _p

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash32
 from ..operators import evaluate as E
 from ..operators import models as M
-from ..operators import vectors as N
 from ..operators.augment import mixup
 from ..session import scratch_path
 from ..sources import tables as B

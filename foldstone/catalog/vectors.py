@@ -17,10 +17,9 @@ from ..session import materialise
 from ..plans import merged as PM
 from ..plans import scoring as PS
 from .base import (
-    EVENT_LABELS, OBS, PRED, VECS, docs, h, obs, pred, query, read, rounded, score_sql, snake_sql, tidy, vecs,
+    OBS, PRED, VECS, docs, h, obs, pred, query, read, rounded, score_sql, snake_sql, tidy, vecs,
 )
 from .evaluation import N_BOOT, RESULTS, _boot_sql, results
-from .folds import ARMS_SQL, DOCF, GROUPED, doc_folds
 from .profiling import SERIES, series
 from .storage import TENSOR, R6, tensor
 

@@ -29,7 +29,7 @@ from ..vocab import SEED
 from .evaluate import PRED, TRUE, score
 from .neighbors import knn_vote, nearest
 from .ranking import attach, vocabulary
-from .vectors import apply_scaler, fit_scaler, leave_out_moments, moments, population_sd
+from .vectors import apply_scaler, fit_scaler, leave_out_moments, moments
 
 #: Up to this many classes a fold's centroids travel as one array per fold;
 #: above it they are references of a blocked nearest-neighbour search.
