@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldstone.llm import mixing, secret_scan, simhash
+from foldstone.llm import langid, mixing, piece_fst, secret_scan, simhash
 from foldstone.session import materialise
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised go."""
+    return langid.accepted(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
     return simhash.deduplicated(docs)
@@ -28,10 +33,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document that is left, and whether they decode to its text."""
+    return piece_fst.coded(docs)
+
+
 STAGES = [
+    ("language", keep_languages),
     ("near copies", drop_near_copies),
     ("secrets", remove_secrets),
     ("mixing", mix_sources),
+    ("pieces", to_pieces),
 ]
 
 #: Rounding draws and learned models have no SQL form; the stages are tested against brute force.
