@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, piece_fst, secret_scan, simhash
+from . import langid, mixing, piece_fst, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_secrets": secret_scan.op4_secrets,
     "op5_mix": mixing.op5_mix,
     "op6_simhash": simhash.op6_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_pieces": piece_fst.op9_pieces,
 }
 ORACLES = {
