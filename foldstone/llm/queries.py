@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, piece_fst, secret_scan, simhash, toxicity
+from . import ann_tree, langid, mixing, mtree, piece_fst, secret_scan, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_ann": ann_tree.op1_ann,
     "op3_langid": langid.op3_langid,
     "op4_secrets": secret_scan.op4_secrets,
     "op5_mix": mixing.op5_mix,
     "op6_simhash": simhash.op6_simhash,
+    "op7_revisits": warc.op7_revisits,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pieces": piece_fst.op9_pieces,
+    "op10_topk": mtree.op10_topk,
 }
 ORACLES = {
     "op4_secrets": secret_scan.oracle(),
+    "op7_revisits": warc.ORACLE,
+    "op10_topk": mtree.ORACLE,
 }
