@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann_tree, langid, mixing, mtree, piece_fst, secret_scan, simhash, toxicity, warc
+from . import ann_tree, langid, mixing, mtree, piece_fst, secret_scan, simhash, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_ann": ann_tree.op1_ann,
+    "op2_main_text": wrappers.op2_main_text,
     "op3_langid": langid.op3_langid,
     "op4_secrets": secret_scan.op4_secrets,
     "op5_mix": mixing.op5_mix,
