@@ -13,6 +13,7 @@ from .base import DOCS, OBS, PRED, VECS, docs, obs, pred, query, rounded, snake_
 
 K = 5
 EARLY, LATE = "early", "NOT early"
+_DOC_SOURCES = [f"src{i}" for i in range(20)]
 
 GROUPED = f"gf AS ({snake_sql('obs', 'grp', K)}), grouped AS (SELECT obs.*, gf.fold FROM obs JOIN gf USING (grp))"
 STRAT = """strat AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42|' || key), key) - 1) % 5 AS fold FROM obs)"""
@@ -141,11 +142,11 @@ def split_rows(spark, d):
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-@query("jn_03", f"WITH {OBS} SELECT o.o_orderkey % 1000 AS key, obs.label FROM orders o JOIN obs ON obs.key = o.o_orderkey % 1000")
+@query("jn_03", f"WITH {OBS} SELECT o.o_orderkey AS key, obs.label FROM orders o JOIN obs ON obs.key = o.o_orderkey")
 def lookup(spark, d):
     from .base import read
 
-    keys = read(spark, d, "orders").select((F.col("o_orderkey") % 1000).alias("key"))
+    keys = read(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
     return J.keyed_lookup(obs(spark, d).select("key", "label"), keys, "key")
 
 
@@ -233,12 +234,13 @@ def fold_summary(spark, d):
     return tidy(S.summarise_folds(folds(spark, d), meta, "key", "grp", "label", F.col("key") % 2 == 1, ["click"], "source"))
 
 
-@query("agg_20", f"""WITH {ARMS_SQL} SELECT arms.fold, count(*) FILTER (WHERE source = 'src0') AS train_src0,
- count(*) FILTER (WHERE source = 'src1') AS train_src1, count(*) FILTER (WHERE source = 'src2') AS train_src2
- FROM arms JOIN docs USING (key) WHERE arm = 'pooled' AND stage = 'stage2' GROUP BY arms.fold""")
+@query("agg_20", f"""WITH {ARMS_SQL} SELECT arms.fold, {", ".join(f"count(*) FILTER (WHERE stage = 'stage2' AND source = '{s}') AS train_{s}" for s in _DOC_SOURCES)},
+ count(*) FILTER (WHERE stage = 'test') AS test_rows, count(*) FILTER (WHERE stage = 'test' AND source <> 'src0') AS test_external
+ FROM arms JOIN docs USING (key) WHERE arm = 'pooled' GROUP BY arms.fold""")
 def train_composition(spark, d):
-    arms_ = S.arm_table(doc_folds(spark, d), docs(spark, d), "key", "src0").where("arm = 'pooled' AND stage = 'stage2'")
-    return composition(arms_.join(docs(spark, d).select("key", "source"), "key"), "fold", "source", ["src0", "src1", "src2"])
+    arms_ = S.arm_table(doc_folds(spark, d), docs(spark, d), "key", "src0").where("arm = 'pooled'")
+    rows = arms_.join(docs(spark, d).select("key", "source"), "key").withColumn("split", F.when(F.col("stage") == "test", "test").otherwise("train"))
+    return composition(rows, "fold", "source", _DOC_SOURCES, "src0")
 
 
 @query("spl_06_merged", f"""WITH {DOCS}, obs AS (SELECT key, source || '-' || lang AS grp, lang AS label, source FROM docs),
@@ -251,9 +253,13 @@ def merged_protocols(spark, d):
     return S.build_merged_folds(rows, "key", "grp", "lang", method="snake")
 
 
-@query("agg_04_docs", f"""WITH {DOCS}, c AS (SELECT lang, count(*) FILTER (WHERE source = 'src0') AS src0, count(*) FILTER (WHERE source = 'src4') AS src4,
-  count(*) FILTER (WHERE source = 'nope') AS nope FROM docs GROUP BY lang UNION ALL SELECT 'xx', 0, 0, 0)
-SELECT *, src0 + src4 + nope AS "TOTAL", format('{{:.1f}}%', 100e0 * (src0 + src4 + nope) / sum(src0 + src4 + nope) OVER ()) AS share,
- concat_ws(', ', CASE WHEN src0 > 0 THEN 'src0' END, CASE WHEN src4 > 0 THEN 'src4' END) AS sources FROM c""")
+_COVERED = [*[f"src{i}" for i in range(20)], "nope"]
+_ALL_COVERED = " + ".join(_COVERED)
+
+
+@query("agg_04_docs", f"""WITH {DOCS}, c AS (SELECT lang, {", ".join(f"count(*) FILTER (WHERE source = '{s}') AS {s}" for s in _COVERED)}
+  FROM docs GROUP BY lang UNION ALL SELECT 'xx', {", ".join("0" for _ in _COVERED)})
+SELECT *, {_ALL_COVERED} AS "TOTAL", format('{{:.1f}}%', 100e0 * ({_ALL_COVERED}) / sum({_ALL_COVERED}) OVER ()) AS share,
+ concat_ws(', ', {", ".join(f"CASE WHEN {s} > 0 THEN '{s}' END" for s in _COVERED)}) AS sources FROM c""")
 def coverage(spark, d):
-    return label_coverage(docs(spark, d), "lang", "source", ["en", "de", "es", "fr", "xx"], ["src0", "src4", "nope"])
+    return label_coverage(docs(spark, d), "lang", "source", ["en", "de", "es", "fr", "xx"], _COVERED)

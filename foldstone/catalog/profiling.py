@@ -252,17 +252,18 @@ def gains(spark, d):
 # ------------------------------------------------------- sorts, pivots, sets
 
 
-@query("srt_01", f"""WITH {DOCS} SELECT row_number() OVER (ORDER BY CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 WHEN 'src0' THEN 3 END, filepath) AS place, filepath
- FROM (SELECT source, 'd/' || lang || '/' || key AS filepath FROM docs WHERE source IN ('src3', 'src1', 'src0')) AS _t""")
+_DECLARED = [f"src{i}" for i in (3, 1, 0, 2, *range(4, 20))]
+
+
+@query("srt_01", f"""WITH {DOCS} SELECT row_number() OVER (ORDER BY list_position({_DECLARED}, source), filepath) AS place, filepath
+ FROM (SELECT source, 'd/' || lang || '/' || key AS filepath FROM docs) AS _t""")
 def total_order(spark, d):
-    rows = docs(spark, d).where(F.col("source").isin("src3", "src1", "src0")).select(
-        "source", F.concat_ws("/", F.lit("d"), "lang", F.col("key").cast("string")).alias("filepath")
-    )
-    ordered = I.ordered_index(rows, ["src3", "src1", "src0"])
+    rows = docs(spark, d).select("source", F.concat_ws("/", F.lit("d"), "lang", F.col("key").cast("string")).alias("filepath"))
+    ordered = I.ordered_index(rows, _DECLARED)
     # the sort leaves rows in partition order; the position follows from it
     from ..operators.ranking import ordered_rank
 
-    place = F.array_position(F.array(F.lit("src3"), F.lit("src1"), F.lit("src0")), F.col("source"))
+    place = F.array_position(F.array(*[F.lit(s) for s in _DECLARED]), F.col("source"))
     return ordered_rank(ordered.withColumn("o", place), [], ["o", "filepath"], "place").select("place", "filepath")
 
 

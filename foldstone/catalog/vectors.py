@@ -136,17 +136,25 @@ def capped(spark, d):
     return report.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept")))
 
 
+def _train_scaled(spark, d):
+    """Rows scaled by the statistics of the train side of fold 0, and that train side."""
+    rows = folded(spark, d)
+    scaled = N.apply_scaler(rows, N.fit_scaler(rows.where("fold <> 0"), "vec"), "vec")
+    return scaled, scaled.where("fold <> 0")
+
+
 @query("emb_07")
 def pca(spark, d):
-    rows = N.apply_scaler(vecs(spark, d), N.fit_scaler(vecs(spark, d), "vec"), "vec")
-    mean, axes, _ = N.fit_pca(rows, "vec", 8)
+    """Axes of the train side, all rows projected on them."""
+    rows, train = _train_scaled(spark, d)
+    mean, axes, _ = N.fit_pca(train, "vec", 8)
     return tidy(N.project(rows, "vec", mean, axes, "pcs").select("key", "label", "pcs"))
 
 
 @query("emb_08")
 def lda(spark, d):
-    rows = N.apply_scaler(vecs(spark, d), N.fit_scaler(vecs(spark, d), "vec"), "vec")
-    mean, axes = N.fit_lda(rows, "vec", "label")
+    rows, train = _train_scaled(spark, d)
+    mean, axes = N.fit_lda(train, "vec", "label")
     return tidy(N.project(rows, "vec", mean, axes, "ldas").select("key", "label", "ldas"))
 
 
@@ -331,10 +339,19 @@ def density(spark, d):
 
 @query("trf_04")
 def selective(spark, d):
+    """External rows of the classes they help, chosen for every outer fold inside its own train side."""
     own, external = sourced_folds(spark, d)
-    without = M.nearest_centroid_oof(own, "key", "vec", "label")
-    both = M.nearest_centroid_oof(own.unionByName(external.withColumn("fold", F.lit(-1))), "key", "vec", "label").where("fold >= 0")
-    return X.class_selective(external, X.helped_classes(both, without), "label").select("key", "label", "source")
+    out = None
+    for outer in range(K):
+        train = own.where(F.col("fold") != outer).drop("fold")
+        inner = materialise(S.with_group_fold(train, "grp", 3, "snake"), "inner")
+        without = M.nearest_centroid_oof(inner, "key", "vec", "label")
+        both = M.nearest_centroid_oof(inner.unionByName(external.withColumn("fold", F.lit(-1))), "key", "vec", "label").where("fold >= 0")
+        part = X.class_selective(external, X.helped_classes(both, without), "label").select(
+            F.lit(outer).alias("outer_fold"), "key", "label", "source"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("trf_05", f"""WITH {SRC3}, tr AS (SELECT sv.key, vec FROM sv LEFT JOIN gf USING (grp) WHERE source <> 's0' OR fold <> 0),
@@ -547,8 +564,8 @@ def silhouettes(spark, d):
 
 @query("diag_05")
 def projection(spark, d):
-    rows = N.apply_scaler(vecs(spark, d), N.fit_scaler(vecs(spark, d), "vec"), "vec")
-    mean, axes, ratio = N.fit_pca(rows, "vec", 2)
+    rows, train = _train_scaled(spark, d)
+    mean, axes, ratio = N.fit_pca(train, "vec", 2)
     out = N.project(rows, "vec", mean, axes, "pc")
     return tidy(out.select("key", "label", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"),
                            F.lit(float(ratio[0])).alias("ratio1"), F.lit(float(ratio[1])).alias("ratio2")))
@@ -633,23 +650,34 @@ def encoders(spark, d):
     return tidy(U.paired_comparisons(out, "grp", "config", "encoder_a", n_boot=100))
 
 
+def lever_tables(train, test):
+    """name -> (train, test) of each lever; scaler and axes see the train rows only."""
+    scaler = N.fit_scaler(train, "vec")
+    small, large = N.apply_scaler(train, scaler, "vec"), N.apply_scaler(test, scaler, "vec")
+    mean, axes, _ = N.fit_pca(small, "vec", 16)
+    lmean, laxes = N.fit_lda(small, "vec", "label")
+
+    def doubled(rows):
+        return rows.withColumn("vec", F.concat("vec", F.transform("vec", lambda x: x * x)))
+
+    return {
+        "baseline": (train, test),
+        "pca": tuple(N.project(x, "vec", mean, axes, "vec") for x in (small, large)),
+        "lda": tuple(N.project(x, "vec", lmean, laxes, "vec") for x in (small, large)),
+        "fusion": (doubled(train), doubled(test)),
+    }
+
+
 @query("diag_12")
 def levers(spark, d):
-    rows = folded(spark, d)
-    scaled = N.apply_scaler(rows, N.fit_scaler(rows, "vec"), "vec")
-    mean, axes, _ = N.fit_pca(scaled, "vec", 16)
-    lmean, laxes = N.fit_lda(scaled, "vec", "label")
-    doubled = N.fuse(rows, rows.select("key", F.transform("vec", lambda x: x * x).alias("vec")), "key")
-    tables = {
-        "baseline": rows, "pca": N.project(scaled, "vec", mean, axes, "vec"),
-        "lda": N.project(scaled, "vec", lmean, laxes, "vec"), "fusion": doubled,
-    }
+    rows = materialise(folded(spark, d), "folded")
     out = None
-    for name, table in tables.items():
-        table = materialise(table, "lever")
-        part = M.nearest_centroid_oof(table, "key", "vec", "label").select(F.lit(name).alias("config"), "grp", "y_true", "y_pred")
-        out = part if out is None else out.unionByName(part)
-    return tidy(U.paired_comparisons(out, "grp", "config", "baseline", n_boot=100))
+    for f in range(K):
+        for name, (train, test) in lever_tables(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)).items():
+            groups = test.select("key", "grp")
+            part = _centroid_predict(train, test).join(groups, "key").select(F.lit(name).alias("config"), "grp", "y_true", "y_pred")
+            out = part if out is None else out.unionByName(part)
+    return tidy(U.paired_comparisons(materialise(out, "levers"), "grp", "config", "baseline", n_boot=100))
 
 
 @query("merged_read")

@@ -46,7 +46,7 @@ def identity_probe(
 
 def source_probe(
     df: DataFrame, key: str, vec: str, group: str, source: str, k: int = N_SPLITS, oof: Oof = nearest_centroid_oof,
-    method: str = "auto",
+    method: str = "snake",
 ) -> DataFrame:
     """Can the source be told from the vectors, on groups never seen?"""
     folded = with_group_fold(df, group, k, method)
@@ -79,7 +79,7 @@ def silhouette_comparison(df: DataFrame, key: str, vec: str, group: str, label:
 
 def attribute_invariance(
     df: DataFrame, key: str, vec: str, label: str, group: str, train_if, test_if, k: int = N_SPLITS,
-    oof: Oof = nearest_centroid_oof, method: str = "auto",
+    oof: Oof = nearest_centroid_oof, method: str = "snake",
 ) -> DataFrame:
     """Scores with groups held out, an attribute held out, and both.
 

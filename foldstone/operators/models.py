@@ -177,7 +177,7 @@ def _perceptron(p, n, k):
     )
 
 
-#: name -> factory(params, n_train, n_classes); users may add their own.
+#: name -> factory(params, total weight of the train rows, n_classes); users may add their own.
 MODELS: dict[str, Callable] = {
     "svm-rbf": _linear_svc,
     "linear-svc": _linear_svc,
@@ -269,11 +269,15 @@ def fit(
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}; expected one of {sorted([*MODELS, 'adaboost', 'knn'])}")
     params = {**DEFAULTS.get(name, {}), **(params or {})}
-    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim"))
+    if weight:
+        train = train.where(F.col(weight) > 0)
+    amount = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1))
+    sizes = train.groupBy(label).agg(amount.alias("n"), F.max(F.size(vec)).alias("dim"))
     found = sizes.limit(CLASS_LIMIT + 1).collect()
     if len(found) > CLASS_LIMIT:
         raise ValueError(f"more than {CLASS_LIMIT} classes")
     labels = sorted(r[label] for r in found)
+    # the penalty is a share of the total weight, so scaled weights fit the same model
     n, dim = sum(r["n"] for r in found), max(r["dim"] for r in found)
     fitted = Fitted(scaler if scaler is not None else fit_scaler(train, vec, scale), None, None, labels, vec)
     if name == "svm-rbf":
@@ -288,7 +292,7 @@ def fit(
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
     )
     # fitted repeatedly over the same rows: kept in memory, spilling to disk
-    rows = rows.where(F.col("_w") > 0).persist()
+    rows = rows.persist()
     try:
         fitted.model = MODELS[name]({**params, "dim": dim}, n, len(labels)).fit(rows)
     finally:

@@ -169,9 +169,13 @@ def fold_table(results: DataFrame, metric: str = "accuracy") -> DataFrame:
     )
 
 
-def composition(train: DataFrame, fold: str, source: str, sources: Sequence[str]) -> DataFrame:
-    """Train rows per source and fold."""
-    return train.groupBy(fold).agg(*[F.count_if(F.col(source) == s).alias(f"train_{s}") for s in sources])
+def composition(rows: DataFrame, fold: str, source: str, sources: Sequence[str], base: str, split: str = "split") -> DataFrame:
+    """Per fold: train rows of each source, test rows, and test rows from outside the base source."""
+    train, test = F.col(split) == "train", F.col(split) == "test"
+    return rows.groupBy(fold).agg(
+        *[F.count_if(train & (F.col(source) == s)).alias(f"train_{s}") for s in sources],
+        F.count_if(test).alias("test_rows"), F.count_if(test & (F.col(source) != base)).alias("test_external"),
+    )
 
 
 def fold_dispersion(results: DataFrame, by: str, metric: str) -> DataFrame:

@@ -15,11 +15,6 @@ from ..session import settle
 from ..vocab import ARMS, MERGED_PROTOCOLS, N_SPLITS, PROTOCOLS, SEED
 from .ranking import _cols, attach, hash_rank, size_rank, vocabulary
 
-#: Up to this many groups the greedy assignment runs over the collected
-#: (group, size) list; above it the snake order gives the same guarantees
-#: (whole groups, near-equal loads) as a distributed plan.
-GREEDY_LIMIT = 100_000
-
 
 def _sizes(df: DataFrame, group: str, by=()) -> DataFrame:
     return df.groupBy(*_cols(by), group).agg(F.count(F.lit(1)).alias("n"))
@@ -35,11 +30,12 @@ def snake_folds(df: DataFrame, group: str, k: int = N_SPLITS, by=()) -> DataFram
 
 
 def greedy_folds(df: DataFrame, group: str, k: int = N_SPLITS) -> DataFrame:
-    """(group, fold): largest group first, each to the lightest fold so far."""
-    sizes = _sizes(df, group)
-    listed = sizes.orderBy(F.desc("n"), group).limit(GREEDY_LIMIT + 1).collect()
-    if len(listed) > GREEDY_LIMIT:
-        raise ValueError(f"more than {GREEDY_LIMIT} groups: use snake_folds")
+    """(group, fold): largest group first, each to the lightest fold so far.
+
+    The list of groups and sizes goes through the driver; :func:`snake_folds`
+    does without.
+    """
+    listed = _sizes(df, group).orderBy(F.desc("n"), group).collect()
     if len(listed) < k:
         raise ValueError(f"{len(listed)} groups cannot fill {k} folds")
     loads, rows = [0] * k, []
@@ -51,17 +47,14 @@ def greedy_folds(df: DataFrame, group: str, k: int = N_SPLITS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, f"{group} {kind}, fold int")
 
 
-def group_folds(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "auto") -> DataFrame:
-    """No group on both sides of any fold."""
-    if method == "auto":
-        few = df.select(group).distinct().limit(GREEDY_LIMIT + 1).count() <= GREEDY_LIMIT
-        method = "greedy" if few else "snake"
+def group_folds(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "snake") -> DataFrame:
+    """No group on both sides of any fold; the same folds at every size of table."""
     if method not in ("greedy", "snake"):
         raise ValueError(f"unknown method {method!r}")
     return (greedy_folds if method == "greedy" else snake_folds)(df, group, k)
 
 
-def with_group_fold(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "auto") -> DataFrame:
+def with_group_fold(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "snake") -> DataFrame:
     """``df`` plus the fold in which each row is held out."""
     return attach(df, settle(group_folds(df, group, k, method)), group, "inner")
 
@@ -167,7 +160,7 @@ def build_folds(
     test_if: Column,
     k: int = N_SPLITS,
     seed=SEED,
-    method: str = "auto",
+    method: str = "snake",
 ) -> DataFrame:
     """Every single-source protocol as one long table."""
     grouped = with_group_fold(df, group, k, method)
@@ -190,7 +183,7 @@ def build_merged_folds(
     order: Sequence[str] | None = None,
     k: int = N_SPLITS,
     seed=SEED,
-    method: str = "auto",
+    method: str = "snake",
 ) -> DataFrame:
     """Every multi-source protocol as one long table."""
     names = MERGED_PROTOCOLS

@@ -346,18 +346,15 @@ def fit_pca(df: DataFrame, vec: str, k: int):
 
 def fit_lda(df: DataFrame, vec: str, label: str, ridge: float = 1e-6):
     """(mean, axes) of the supervised projection with n_classes - 1 axes."""
-    vocabulary(df, label)  # one d x d matrix per class reaches the driver
-    parts = [_unpack(r) for r in scatter(df, label, vec).collect()]
-    n = sum(p[0] for p in parts)
-    mean = sum(p[1] for p in parts) / n
+    # total scatter and class means say it all: one d x d matrix and k x d numbers
+    n, total, outer = _unpack(scatter(df, [], vec).first())
+    classes = moments(df, label, vec).select("n", "mean").collect()
+    mean = total / n
     d = len(mean)
-    within, between = np.zeros((d, d)), np.zeros((d, d))
-    for m, total, outer in parts:
-        centre = total / m
-        within += outer - m * np.outer(centre, centre)
-        between += m * np.outer(centre - mean, centre - mean)
+    between = sum(r["n"] * np.outer(np.subtract(r["mean"], mean), np.subtract(r["mean"], mean)) for r in classes)
+    within = outer - n * np.outer(mean, mean) - between
     within += ridge * np.trace(within) / d * np.eye(d)
     root = np.linalg.inv(np.linalg.cholesky(within))
     values, axes = np.linalg.eigh(root @ between @ root.T)
-    order = np.argsort(values)[::-1][: len(parts) - 1]
+    order = np.argsort(values)[::-1][: len(classes) - 1]
     return mean, (root.T @ axes)[:, order]

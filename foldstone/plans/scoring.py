@@ -19,7 +19,7 @@ Oof = Callable[[DataFrame, str, str, str], DataFrame]
 
 
 def group_safe_predictions(
-    df: DataFrame, key: str, vec: str, label: str, group: str, k: int = 5, method: str = "auto",
+    df: DataFrame, key: str, vec: str, label: str, group: str, k: int = 5, method: str = "snake",
     oof: Oof = nearest_centroid_oof, normalise: bool = True,
 ) -> DataFrame:
     """Group folds, in-group normalisation, out-of-fold predictions."""

@@ -29,6 +29,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(hadoop) and files.getFileStatus(hadoop).isDirectory()
+
+
 def write_csv(df: DataFrame, path: str, force: bool = False) -> None:
     """CSV with header and LF lines."""
     df.write.mode("overwrite" if force else "errorifexists").option("header", True).option(
@@ -111,8 +117,14 @@ def append_results(rows: DataFrame, path: str) -> None:
     typed.write.mode("append").parquet(path)
 
 
+def write_batch(rows: DataFrame, path: str, number: int) -> None:
+    """The log rows of one numbered batch; writing it again replaces it."""
+    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULTS_SCHEMA])
+    typed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS_SCHEMA).parquet(path)
+    return spark.read.schema(RESULTS_SCHEMA).parquet(path).select(*RESULTS_SCHEMA.fieldNames())
 
 
 def write_guarded(df: DataFrame, joined: DataFrame, path: str) -> None:

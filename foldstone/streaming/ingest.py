@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.evaluate import PRED, TRUE, scores
-from ..sources.tables import append_results
+from ..sources.tables import write_batch
 
 #: Schema of the ``binaryFile`` source; a stream must be told.
 FILE_SCHEMA = T.StructType(
@@ -44,9 +44,13 @@ def ingest(stream: DataFrame, out: str, checkpoint: str):
 
 
 def log_stream(rows: DataFrame, path: str, checkpoint: str):
-    """Append result rows to the shared log, batch by batch."""
+    """Add result rows to the shared log, batch by batch.
+
+    A batch that is replayed after a failure replaces its own folder, so no
+    row is logged twice. The folder ``batch=<id>`` is no column of the log.
+    """
     return (
-        rows.writeStream.foreachBatch(lambda batch, _: append_results(batch, path))
+        rows.writeStream.foreachBatch(lambda batch, number: write_batch(batch, path, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

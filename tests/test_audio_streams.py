@@ -207,3 +207,14 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
     I.count_stream(stream(), out, mark).awaitTermination()
     rows = {str(r["window_start"])[:10]: r["n"] for r in spark.read.parquet(out).collect()}
     assert rows == {"2024-01-01": 1, "2024-01-03": 1}
+
+
+def test_replayed_batches_are_logged_once(spark, tmp_path):
+    from foldstone.sources import tables as B
+
+    row = {f.name: 0.5 if f.name in ("accuracy", "macro_f1") else "x" for f in B.RESULTS_SCHEMA}
+    rows = spark.createDataFrame([tuple(row[f.name] for f in B.RESULTS_SCHEMA)] * 3, B.RESULTS_SCHEMA)
+    for number in (0, 1, 1):
+        B.write_batch(rows, str(tmp_path / "log"), number)
+    log = B.read_results(spark, str(tmp_path / "log"))
+    assert log.count() == 6 and log.columns == B.RESULTS_SCHEMA.fieldNames()

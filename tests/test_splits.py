@@ -139,3 +139,10 @@ def test_nested_folds_stay_inside_the_train_side(inventory):
     both = inner.join(outer.select("actor", F.col("fold").alias("own")).distinct(), "actor")
     assert both.where("outer = own").count() == 0
     assert inner.groupBy("outer", "actor").count().where("count > 1").count() == 0
+
+
+def test_default_folds_do_not_depend_on_the_number_of_groups(spark):
+    small = spark.range(600).selectExpr("id as key", "id % 50 as grp")
+    default = {r["grp"]: r["fold"] for r in S.group_folds(small, "grp", 5).collect()}
+    snake = {r["grp"]: r["fold"] for r in S.snake_folds(small, "grp", 5).collect()}
+    assert default == snake

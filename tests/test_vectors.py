@@ -330,3 +330,31 @@ def test_array_helpers(spark):
         A.distance("a", "b").alias("d"), A.argmax(F.col("a")).alias("m"), A.rounded("a", 0).alias("r"), A.concat_all([F.col("a"), F.col("b")]).alias("c"), A.as_double("a").alias("e")
     ).first()
     assert row["d"] == pytest.approx(np.sqrt(17)) and row["m"] == 2 and len(row["c"]) == 6
+
+
+def test_levers_do_not_see_test_labels(spark):
+    from foldstone.catalog.vectors import lever_tables
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, (rng.normal(size=18) + (i % 3)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "key int, label int, vec array<double>")
+    train, test = df.where("key >= 40"), df.where("key < 40")
+    moved = test.withColumn("label", (F.col("label") + 1) % 3)
+
+    def projected(rows):
+        return {n: sorted((r["key"], [round(x, 9) for x in r["vec"]]) for r in t[1].collect()) for n, t in lever_tables(train, rows).items()}
+
+    assert projected(test) == projected(moved)
+
+
+def test_weights_fit_as_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, (rng.normal(size=4) + (i % 2)).tolist(), float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key int, label int, vec array<double>, w double")
+    repeated = df.where("w > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    scaler = N.fit_scaler(df, "vec")
+    fits = [
+        M.fit("logistic-regression", table, "vec", "label", {"max_iter": 200}, weight=w, scaler=scaler).model.coefficientMatrix.toArray()
+        for table, w in ((df, "w"), (repeated, None))
+    ]
+    assert np.allclose(fits[0], fits[1], atol=1e-3)
