@@ -240,16 +240,22 @@ def soft_vote(spark, d):
     return M.soft_vote(heads, "key", list(range(10)))
 
 
-def _one_fold(spark, d):
-    rows = folded(spark, d)
-    return rows.where("fold <> 0"), rows.where("fold = 0")
+def _every_fold(spark, d, predict):
+    """Predictions of every row by a model of the other folds, pooled."""
+    rows = materialise(folded(spark, d), "folded")
+    out = None
+    for f in range(K):
+        part = predict(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _mllib(name, params):
     def run(spark, d):
-        train, test = _one_fold(spark, d)
-        out = M.fit_predict(name, train, test, "vec", "label", "key", params=params)
-        return out.select("key", "y_true", "y_pred")
+        def predict(train, test):
+            return M.fit_predict(name, train, test, "vec", "label", "key", params=params).select("key", "y_true", "y_pred")
+
+        return _every_fold(spark, d, predict)
 
     return run
 
@@ -291,15 +297,19 @@ def fold_runner(spark, d):
 
 @query("mdl_15")
 def hierarchical(spark, d):
-    train, test = _one_fold(spark, d)
-    out = M.two_stage(train, test, "vec", "label", [0, 1, 2, 3, 4], "logistic-regression", {"max_iter": 15})
-    return out.select("key", "gate", "y_true", "y_pred")
+    def predict(train, test):
+        out = M.two_stage(train, test, "vec", "label", [0, 1, 2, 3, 4], "logistic-regression", {"max_iter": 15})
+        return out.select("key", "gate", "y_true", "y_pred")
+
+    return _every_fold(spark, d, predict)
 
 
 @query("mdl_16")
 def frozen_head(spark, d):
-    train, test = _one_fold(spark, d)
-    return M.warm_start_head(train, train.where("grp < 12"), test, "vec", "label", True, hidden=16, max_iter=20).select("key", "y_true", "y_pred")
+    def predict(train, test):
+        return M.warm_start_head(train, train, test, "vec", "label", True, hidden=16, max_iter=20).select("key", "y_true", "y_pred")
+
+    return _every_fold(spark, d, predict)
 
 
 # ------------------------------------------------------------------- transfer
