@@ -11,8 +11,8 @@ saving, the share of windows above fixed savings, and the mean saving; a
 logistic function of these, fitted on documents that trained no dictionary and
 drawn as they come, gives a calibrated probability.
 
-Training reads a bounded sample: ``SAMPLE`` documents of each class, about,
-chosen by a hash of the id, and of a long one pieces of ``TAKEN`` bytes in all
+Training reads a bounded sample: about ``SAMPLE`` toxic and twice as many
+ordinary documents, chosen by a hash of the id, and of a long one pieces of ``TAKEN`` bytes in all
 spread over the whole text; ``CALIBRATION`` documents for the logistic, which
 are scored whole. Scoring reads every text whole.
 
@@ -204,8 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: i
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
-    forms = F.pmod(F.xxhash64(F.lit("role"), "doc_id"), F.lit(2)) == 0
-    share = F.when(F.col("toxic") == 1, min(1.0, 2 * sample / counts[1])).otherwise(min(1.0, 4 * sample / counts[0]))
+    # three quarters may form the dictionaries, the rest calibrates
+    forms = F.pmod(F.xxhash64(F.lit("role"), "doc_id"), F.lit(4)) > 0
+    share = F.when(F.col("toxic") == 1, min(1.0, 4 / 3 * sample / counts[1])).otherwise(min(1.0, 8 / 3 * sample / counts[0]))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: i
     plain = [w for x in ordinary for w in windows(x)]
     plain = random.Random(5).sample(plain, min(len(plain), 40_000))
     model = Model(train_dictionary(plain, ORDINARY_BYTES), train_dictionary(telling_stretches(toxic, ordinary), TOXIC_BYTES))
-    held = usable.where(~forms & _drawn("calibrate", min(1.0, 2 * calibration / sum(counts.values()))))
+    held = usable.where(~forms & _drawn("calibrate", min(1.0, 4 * calibration / sum(counts.values()))))
     state = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
