@@ -16,9 +16,11 @@ neighbouring pairs pass: merges inside a piece do not depend on what stands
 beside it until a merge crosses a border, and the first one that would cross
 shows in the pair alone. Each position of the lattice then has one live state.
 
-No piece has the meta symbol after another character (checked at compile time;
-otherwise texts are not cut), so a text is cut before every run of meta symbols
-and equal words are composed once a task, in a cache of bounded size.
+Between two characters that no piece has side by side every path has a border.
+Where the pieces allow it (checked when the model is compiled, otherwise texts
+stay whole) a text is therefore cut before runs of meta symbols, after runs of
+letters and around control characters but the carriage return, and equal parts are composed once a
+task, in a cache of bounded size.
 
 Only models whose normaliser is the identity are compiled; others are refused.
 
@@ -38,6 +40,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +49,10 @@ META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words a generation of the cache holds (two are kept), and longest word kept.
-CACHE = 250_000
+CACHE = 300_000
 LONGEST_KEPT = 64
+#: Documents whose ids are held at once.
+SLICE = 128
 #: Where the driver finds the model; the file's bytes go along with the tasks.
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -88,10 +93,11 @@ class Transducer:
     dummy: bool = True
     squeeze: bool = False
     ids: dict[str, int] = field(default_factory=dict)
-    ends: dict[str, int] = field(default_factory=dict)
+    trie: dict = field(default_factory=dict)
     byte_ids: list[int] = field(default_factory=list)
     unknown: int = 0
-    cuts: bool = True
+    parts: re.Pattern | None = None
+    plain: list[bytes] = field(default_factory=list)
     pairs: dict[int, bool] = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
@@ -128,13 +134,20 @@ class Transducer:
                 self.byte_ids[int(self.pieces[i][3:5], 16)] = i
             elif k == UNKNOWN:
                 self.unknown = i
-        # the trie as its set of prefixes: a prefix maps to its piece, or -1 inside
-        for piece, i in self.ids.items():
-            for n in range(1, len(piece)):
-                self.ends.setdefault(piece[:n], -1)
-            self.ends[piece] = i
+        # BPE pieces that merging never reaches from their characters are on no path
+        reached = usable if self.model == UNIGRAM else [i for i in usable if len(self.merged(self.pieces[i])) == 1]
+        for i in reached:
+            node = self.trie
+            for char in self.pieces[i]:
+                node = node.setdefault(char, {})
+            node[""] = i
         self.inner = {c for p in self.ids if len(p) > 1 for c in p}
-        self.cuts = not any(re.search(f"[^{META}]{META}", p) for p in self.ids)
+        # where no piece reaches across, texts are cut: the finest rule whose borders all hold
+        self.parts = next((r for r in (_FINE, _COARSE) if all(len(r.findall(p)) == 1 for p in self.ids)), None)
+        self.plain = [
+            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " \u2047 ".encode() if k == UNKNOWN
+            else p.replace(META, " ").encode() for p, k in zip(self.pieces, self.kinds)
+        ]
         self.least = min((self.scores[i] for i in usable), default=0.0) - 10.0
 
     # ------------------------------------------------------------- the machines
@@ -154,17 +167,17 @@ class Transducer:
 
     def arcs(self, line: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the arcs that leave a position; fallback (-1) where its character has none."""
-        found, end = [], at
-        ends, n = self.ends, len(line)
+        found, node, end, n = [], self.trie, at, len(line)
         while end < n:
-            end += 1
-            piece = ends.get(line[at:end])
-            if piece is None:
+            node = node.get(line[end])
+            if node is None:
                 break
-            if piece >= 0:
+            end += 1
+            piece = node.get("")
+            if piece is not None:
                 found.append((end, piece))
         if not found or found[0][0] != at + 1:
-            found.append((at + 1, -1))
+            found.insert(0, (at + 1, -1))
         return found
 
     def merged(self, line: str) -> list[str]:
@@ -198,6 +211,11 @@ class Transducer:
         return [p for p in parts if p is not None]
 
     def passes(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both leaves exactly these two."""
+        ids = self.ids
+        # no merge can cross where no piece does
+        if not any(left[i:] + right[:j] in ids for i in range(len(left)) for j in range(1, len(right) + 1)):
+            return True
         return self.merged(left + right) == [left, right]
 
     def _pair(self, line: str, a: int, b: int, c: int, left: int, right: int) -> bool:
@@ -206,7 +224,7 @@ class Transducer:
             key = left * len(self.pieces) + right
             known = self.pairs.get(key)
             if known is None:
-                if len(self.pairs) > 2 * CACHE:
+                if len(self.pairs) > CACHE:
                     self.pairs.clear()
                 known = self.pairs[key] = self.passes(line[a:b], line[b:c])
             return known
@@ -247,91 +265,90 @@ class Transducer:
         Longest pieces are tried first. A prefix has one encoding at most, so
         a position from which no path goes on is dead for good.
         """
-        n, at, k = len(line), 0, 0
-        path: list[tuple[int, int, int]] = []  # start, piece, place among the arcs
-        arcs: dict[int, list[tuple[int, int]]] = {}
+        n, at = len(line), 0
+        path: list[tuple[int, int]] = []  # start, piece
+        tried: list[list[tuple[int, int]]] = []  # arcs left at each start
         dead = set()
-        pairs, many = self.pairs, len(self.pieces)
+        pairs, many, arcs = self.pairs, len(self.pieces), self.arcs
+        left, here = -2, arcs(line, 0) if n else []
         while at < n:
-            here = arcs.get(at)
-            if here is None:
-                here = arcs[at] = self.arcs(line, at)[::-1]
-            start, left = path[-1][:2] if path else (0, -2)
-            while k < len(here):
-                end, piece = here[k]
-                if end not in dead and (end - at == 1 or self._alone(piece, line[at:end])):
-                    if left == -2:
-                        break
-                    fits = pairs.get(left * many + piece) if left >= 0 and piece >= 0 else None
-                    if fits or (fits is None and self._pair(line, start, at, end, left, piece)):
-                        break
-                k += 1
-            if k < len(here):
-                path.append((at, here[k][1], k))
-                at, k = here[k][0], 0
+            while here:
+                end, piece = here.pop()
+                if left == -2:
+                    break
+                fits = pairs.get(left * many + piece) if left >= 0 and piece >= 0 else None
+                if fits is None:
+                    fits = self._pair(line, path[-1][0], at, end, left, piece)
+                if fits and end not in dead:
+                    break
             else:
                 dead.add(at)
-                at, _, k = path.pop()
-                k += 1
-        return [p[:2] for p in path]
-
-    def _alone(self, piece: int, text: str) -> bool:
-        """Whether merging reaches the piece at all from its characters."""
-        key = -1 - piece
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.pairs[key] = self.merged(text) == [text]
-        return known
+                at, _ = path.pop()
+                here = tried.pop()
+                left = path[-1][1] if path else -2
+                continue
+            path.append((at, piece))
+            tried.append(here)
+            at, left = end, piece
+            here = arcs(line, at)
+        return path
 
     # ------------------------------------------------------------------ whole texts
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        line = self.normalise(text)
-        if not line:
+        if not text:
             return np.zeros(0, np.int32)
-        if not self.cuts:
-            return np.array(self.path(line), np.int32)
-        known = []
-        for word in _RUNS.findall(line):
-            ids = self.words.get(word)
+        if self.parts is None:
+            return np.array(self.path(self.normalise(text)), np.int32)
+        if self.squeeze or not self.dummy or text[0] == " " or "  " in text or META in text:
+            return np.frombuffer(self._parts(self.normalise(text)), np.int32)
+        # single spaces: every word, and every end of a line, begins a part of its own
+        get, known = self.words.get, []
+        for word in text.replace("\n", " \n").split(" "):
+            ids = get(word)
             if ids is None:
-                ids = self._word(word)
+                ids = self._kept(word, word if word[:1] == "\n" else META + word)
+                get = self.words.get
             known.append(ids)
         return np.frombuffer(b"".join(known), np.int32)
 
-    def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def _parts(self, line: str) -> bytes:
+        """The ids of a normalised line, part by part."""
+        parts = self.parts.findall(line)
+        if len(parts) == 1:
+            return np.array(self.path(line), np.int32).tobytes()
+        out = []
+        for part in parts:
+            # kept like the word it would be, or under a key that no word has
+            key = part[1:] if part[0] == META and len(part) > 1 else " " + part
+            ids = self.words.get(key)
+            out.append(self._kept(key, part) if ids is None else ids)
+        return b"".join(out)
+
+    def _kept(self, key: str, line: str) -> bytes:
+        ids = self.older.get(key)
         if ids is None:
-            ids = np.array(self.path(word), np.int32).tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self.words) >= CACHE:  # words not met for a whole generation are forgotten
+            ids = self._parts(line)
+        if len(key) <= LONGEST_KEPT:
+            if len(self.words) >= CACHE:  # what is not met for a whole generation is forgotten
                 self.older, self.words = self.words, {}
-            self.words[word] = ids
+            self.words[key] = ids
         return ids
 
     def decode(self, ids) -> str:
         """The text of ids: pieces back to characters, runs of byte pieces to UTF-8."""
-        out, run = [], bytearray()
-        for i in ids:
-            if self.kinds[i] == BYTE:
-                run.append(int(self.pieces[i][3:5], 16))
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if self.kinds[i] == UNKNOWN:
-                out.append(" ⁇ ")
-            elif self.kinds[i] != CONTROL:
-                out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(META, " ")
+        plain = self.plain
+        text = b"".join([plain[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-#: A run of meta symbols with the characters up to the next one.
-_RUNS = re.compile(f"{META}*[^{META}]+|{META}+")
+_LETTER, _CONTROL = r"[^\W\d_¹²³]", r"[\x00-\x0C\x0E-\x1F]"
+_OTHER = rf"(?:(?!{_LETTER})[^{META}\x00-\x0C\x0E-\x1F])"
+#: Parts of a line: meta symbols, then other characters, then letters; control characters alone.
+_FINE = re.compile(rf"{_CONTROL}|{META}*(?:{_OTHER}*{_LETTER}+|{_OTHER}+)|{META}+")
+#: Parts of a line: meta symbols with the characters up to the next one.
+_COARSE = re.compile(f"{META}*[^{META}]+|{META}+")
 _compiled: dict[int, Transducer] = {}
 
 
@@ -380,16 +397,25 @@ def coded(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every document: encoded, and decoded again in the same task."""
     state = docs.sparkSession.sparkContext.broadcast(model or read_model())
 
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(state.value)
-        for texts in batches:
-            ids = [None if t is None else machine.encode(t) for t in texts]
-            same = [None if i is None else machine.decode(i.tolist()) == t.replace(META, " ") for i, t in zip(ids, texts)]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=object)})
-
-    return docs.select("doc_id", both(F.col("text")).alias("c")).select(
-        "doc_id", "c.ids", F.coalesce(F.size("c.ids"), F.lit(0)).alias("n_tokens"), "c.round_trip"
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(1).to_pylist()
+                ids = [None if t is None else machine.encode(t) for t in texts]
+                same = [None if i is None else machine.decode(i.tolist()) == t.replace(META, " ") for i, t in zip(ids, texts)]
+                flat = np.concatenate([np.zeros(0, np.int32), *[i for i in ids if i is not None]])
+                ends = np.cumsum([0, *[0 if i is None else len(i) for i in ids]])
+                nulls = pa.array([i is None for i in ids], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=nulls)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), lists, pa.array(np.diff(ends), pa.int32()), pa.array(same, pa.bool_())],
+                    names=["doc_id", "ids", "n_tokens", "round_trip"],
+                )
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        both, "doc_id bigint, ids array<int>, n_tokens int, round_trip boolean"
     )
 
 
@@ -397,6 +423,6 @@ def op9_pieces(spark, sf_dir: str) -> DataFrame:
     """Token counts, digest of the ids and round trip of every document's whole text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return coded(docs).select(
-        "doc_id", F.when(F.col("ids").isNotNull(), F.col("n_tokens")).otherwise(0).cast("bigint").alias("n_tokens"),
+        "doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.md5(F.concat_ws(",", "ids")).alias("ids_md5"), "round_trip",
     )
