@@ -14,8 +14,12 @@ A host's wrapper counts pages, text and link text of every element, and names
 the element that holds the articles: outside menus, page headers, footers,
 sidebars, notices, adverts, forms and reader comments (known by element, role
 or class), an ``article``, else ``main``, else what classes call content, else
-the element reached by following most of the text. Constants inside it are
-page furniture. A page without the named element is read by its own wrapper.
+the element reached by following most of the text. A text inside it that
+nearly all pages of the host carry at the same place is page furniture: blocks
+at its path with this very text are left out, other blocks there stay. Where
+such texts are half of the main element or more, the pages are copies of each
+other and all of it stays. A page without the named element is read by its own
+wrapper.
 
 Defined results. Null or empty html: empty text. No main text: empty. Null
 URL: the pages share one host without a name. Broken markup: unclosed
@@ -39,8 +43,9 @@ from ..session import materialise
 
 #: Wrappers folded by one task step.
 BLOCK = 64
-#: Pages on which a text has to be the same to count as furniture.
+#: Pages on which a text has to be the same to count as furniture, and their share of the host's pages.
 CONSTANT_PAGES = 8
+CONSTANT_SHARE = 0.9
 
 #: Elements of HTML by what they mean here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +63,11 @@ WORDS = set(
     "signup login comment comments commentlist disqus respond reply replies share sharing social related recommended popup modal "
     "overlay widget pagination pager toolbar masthead topbar hidden skip".split()
 )
+#: Words that say nothing about furniture; a class such as ``share-buttons`` is furniture, ``no-sidebar`` is not.
+PLAIN_WORDS = set(
+    "box block wrap wrapper container inner outer bar list links link item items posts post article articles story entry button buttons "
+    "icon icons area section panel site page global primary secondary left right top bottom form unit slot text header body js".split()
+)
 CONTENT_WORDS = set("content post entry article story articlebody maincontent main".split())
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -82,21 +92,27 @@ class Node:
         self.parts: list = []
 
 
+def _says(tokens: list[set[str]], words: set[str]) -> bool:
+    """Whether one whole class or id is made of the given words, and plain ones beside them."""
+    return any(t & words and t <= words | PLAIN_WORDS for t in tokens)
+
+
 def _element(name: str, tag: str, inside_article: bool) -> Node | None:
     """The node of an opening tag; None for inline elements that mean nothing here."""
     attrs = {}
     if "=" in tag:
         for k, a, b, c in _ATTR.findall(tag):
             attrs.setdefault(k.lower(), a or b or c)
-    classes = re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()) if attrs else []
-    words = {w for w in classes if w}
+    classes = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split() if attrs else []
+    tokens = [{w for w in re.split(r"[^a-z]+", c) if w} for c in classes]
+    words = set().union(*tokens)
     dropped = (
         name in DROPPED or (name == "header" and not inside_article) or attrs.get("role", "").lower() in ROLES
-        or bool(words & WORDS) or attrs.get("aria-hidden") == "true" or bool(re.search(r"\shidden(?:[\s=>]|$)", tag))
-    ) and name not in ("html", "body", "article", "main") or (name == "article" and bool(words & {"comment", "comments", "reply", "advert", "ad", "related", "sponsored"}))
+        or _says(tokens, WORDS) or attrs.get("aria-hidden") == "true" or bool(re.search(r"\shidden(?:[\s=>]|$)", tag))
+    ) and name not in ("html", "body", "article", "main") or (name == "article" and _says(tokens, {"comment", "comments", "reply", "advert", "ad", "related", "sponsored"}))
     if name not in BLOCKS and not dropped:
         return None
-    content = name == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody" or bool(words & CONTENT_WORDS)
+    content = name == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody" or any(t & CONTENT_WORDS and not t & WORDS for t in tokens)
     return Node(name, ".".join([name, *sorted(words)[:3]]), bool(dropped), content, name not in BLOCKS)
 
 
@@ -169,11 +185,15 @@ def parse(html: str | None) -> Node:
 LABEL, PAGES, OPTIONAL, REPEATED, CONSTANT, TEXT, LINKS, FLAGS, CHILDREN = range(9)
 
 
+def own_text(node: Node) -> str:
+    """The text of an element without that of the elements in it."""
+    return _SPACE.sub(" ", "".join(p[0] for p in node.parts if type(p) is tuple)).strip()
+
+
 def item_of(node: Node) -> list:
     """The wrapper of one page's element."""
-    own = [p for p in node.parts if type(p) is tuple]
-    text = _SPACE.sub(" ", "".join(t for t, _ in own)).strip()
-    links = sum(len(t) for t, is_link in own if is_link)
+    text = own_text(node)
+    links = sum(len(p[0]) for p in node.parts if type(p) is tuple and p[1])
     kids = [item_of(p) for p in node.parts if type(p) is Node]
     flags = ("d" if node.dropped else "") + ("c" if node.content else "")
     constant = f"{hash_of(text):x}" if text else ""
@@ -280,7 +300,7 @@ def _elements(item: list, path: tuple = ()) -> Iterator[tuple[tuple, list]]:
 
 
 def rule_of(wrapper: str) -> str:
-    """The path of the main element and the paths of its constants, as JSON."""
+    """The path of the main element and (path, text hash) of its constants, as JSON."""
     top = json.loads(wrapper)
     elements = [(p, x, _content(x)) for p, x in _elements(top)]
     root: tuple = ()
@@ -299,20 +319,21 @@ def rule_of(wrapper: str) -> str:
                 break
             at, root = best, (*root, best[LABEL])
     inside = [(p, x) for p, x, _ in elements if p[:len(root)] == root and x[TEXT]]
-    fixed = [p for p, x in inside if x[CONSTANT] and x[PAGES] >= CONSTANT_PAGES and not x[REPEATED]]
-    if len(fixed) == len(inside):
-        fixed = []
-    return json.dumps({"root": root, "fixed": fixed})
+    least = max(CONSTANT_PAGES, CONSTANT_SHARE * top[PAGES])
+    held = [(p, x) for p, x in inside if x[CONSTANT] and x[PAGES] >= least and not x[REPEATED]]
+    copies = 2 * sum(x[TEXT] for _, x in held) >= sum(x[TEXT] for _, x in inside)
+    return json.dumps({"root": root, "fixed": [] if copies else [(p, x[CONSTANT]) for p, x in held]})
 
 
-def _blocks(node: Node, path: tuple, fixed: set, out: list[str]) -> None:
+def _blocks(node: Node, path: tuple, fixed: dict[tuple, set[str]], out: list[str]) -> None:
     """Texts of the blocks of an element in page order; inline dropped elements leave nothing."""
     line: list[str] = []
+    furniture = path in fixed and f"{hash_of(own_text(node)):x}" in fixed[path]
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(line)).strip()
         line.clear()
-        if text and path not in fixed:
+        if text and not furniture:
             out.append(text)
 
     for part in node.parts:
@@ -344,7 +365,10 @@ def text_by(page: Node, rule: str | None) -> str | None:
     found = list(_at(page, (page.label,), root)) if root else []
     if not found:
         return None
-    fixed, out = {tuple(p) for p in said["fixed"]}, []
+    fixed: dict[tuple, set[str]] = {}
+    for path, text in said["fixed"]:
+        fixed.setdefault(tuple(path), set()).add(text)
+    out: list[str] = []
     for node in found:
         _blocks(node, root, fixed, out)
     return "\n".join(out)

@@ -138,6 +138,29 @@ def test_constants_of_a_host_are_furniture(spark):
     assert texts == {f"text number {i}\nmore {i}" for i in range(12)}
 
 
+def test_a_constant_leaves_its_siblings(spark):
+    body = "<h1>Head {0}</h1><p>By our staff</p><ul><li>point {0}</li></ul><p>Paragraph number {0} of the article</p>"
+    rows = [("http://s.example/", f"<body><article>{body.format(i)}</article>") for i in range(12)]
+    texts = {r["text"] for r in wrappers.extract(pages_of(spark, rows)).collect()}
+    assert texts == {f"Head {i}\npoint {i}\nParagraph number {i} of the article" for i in range(12)}
+
+
+def test_copies_on_a_host_are_no_furniture(spark):
+    quote = "<blockquote>The same long quotation on every copy</blockquote>"
+    rows = [("http://n.example/", f"<body><article><p>Own words {i}</p>{quote if i < 10 else ''}</article>") for i in range(30)]
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(pages_of(spark, rows)).collect()}
+    assert all(found[i] == f"Own words {i}" + "\nThe same long quotation on every copy" * (i < 10) for i in range(30))
+    rows = [("http://m.example/", f"<body><article><h1>A head</h1>{quote}<p>copy {i}</p></article>") for i in range(10)]
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(pages_of(spark, rows)).collect()}
+    assert found == {i: f"A head\nThe same long quotation on every copy\ncopy {i}" for i in range(10)}
+
+
+def test_class_words_are_whole_classes():
+    said = lambda c: wrappers.main_text(f'<body><article><p>one</p><div class="{c}"><p>two</p></div></article>')
+    assert {said(c) for c in ("no-sidebar", "has-comments wide", "content-sidebar-wrap", "skip-level-math")} == {"one\ntwo"}
+    assert {said(c) for c in ("cookie-notice", "wide share", "share-buttons", "ad-1", "related-posts")} == {"one"}
+
+
 # ----------------------------------------------------------------------- revisits
 
 def test_canonical_urls(spark):
