@@ -8,17 +8,20 @@ windows of at most ``WINDOW`` bytes. A window is compressed against the
 ordinary dictionary and against both; the bytes saved by the toxic one are the
 window's evidence. A document's windows are summed up by their largest
 saving, the share of windows above fixed savings, and the mean saving; a
-logistic function of these, fitted on documents that trained no dictionary and
-drawn as they come, gives a calibrated probability.
+logistic function of these, fitted on documents that trained no dictionary,
+drawn for each label and weighted by how many labelled documents they stand
+for, gives a calibrated probability.
 
 Training reads a bounded sample: about ``SAMPLE`` toxic and twice as many
 ordinary documents, chosen by a hash of the id, and of a long one pieces of ``TAKEN`` bytes in all
-spread over the whole text; ``CALIBRATION`` documents for the logistic, which
-are scored whole. Scoring reads every text whole.
+spread over the whole text; about ``CALIBRATION`` documents of each label for
+the logistic, which are scored whole. A label with fewer than ``FEW`` documents
+to calibrate on, or with none to form its dictionary, takes what it lacks from
+the other part. Scoring reads every text whole.
 
 Defined results. Null text: empty. Empty text: no savings, the score is the
-logistic of that. Labels null: not used. No toxic or no ordinary training
-document: score 0, predicted 0. Repeated rows are scored alike; repeated texts
+logistic of that. Labels null: not used. No toxic or no ordinary labelled
+document at all: score 0, predicted 0. Repeated rows are scored alike; repeated texts
 train once. Empty table: empty result.
 """
 
@@ -44,6 +47,8 @@ GRAM = 6
 SHARE, RATIO = 0.02, 30.0
 SAMPLE = 1500
 CALIBRATION = 5000
+#: A label with fewer documents to calibrate on also takes some that formed its dictionary.
+FEW = 20
 TAKEN = 8192
 #: Probability from which a document counts as toxic.
 CUT = 0.3
@@ -94,7 +99,7 @@ def telling_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     else:
         there = np.zeros(len(mine))
     ratio = (n_mine / len(toxic)) / ((there + 0.5) / len(ordinary))
-    good = mine[(n_mine >= max(3, SHARE * len(toxic))) & (ratio > RATIO)]
+    good = mine[(n_mine >= max(min(3, len(toxic)), SHARE * len(toxic))) & (ratio > RATIO)]
     out = []
     for line in toxic:
         hit = np.nonzero(np.isin(_grams(line), good))[0]
@@ -112,7 +117,7 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
     padded = [s if len(s) >= 8 else s.ljust(8) for s in samples]
     try:
         return zstandard.train_dictionary(size, padded, k=16, d=GRAM, level=3).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         kept, room = [], size
         for s, _ in Counter(samples).most_common():
             if len(s) > room:
@@ -175,13 +180,24 @@ class Meter:
         return [float(top), *np.sqrt(shares[:5]).tolist(), *shares[1:5].tolist(), float(sums[4] / np.sqrt(n + 3)), float(np.log(n))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton steps for a ridge logistic regression."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Newton steps, halved where they overshoot, for a weighted ridge logistic regression."""
+    weight = weight / weight.sum()
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) / len(x) + ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + ridge * w)
+        while cost(w - step) > cost(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() <= 1e-9:
+            break
     return w
 
 
@@ -214,21 +230,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: i
             lines = [_pieces(normal(t), int(i)) for i, t in zip(part["doc_id"], part["text"])]
             yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "line": lines})
 
-    # the sampled ids are few by construction, so they go to the texts
+    def lines_of(chosen: DataFrame) -> list:
+        # the sampled ids are few by construction, so they go to the texts
+        return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(
+            taken, "doc_id bigint, toxic int, line binary"
+        ).collect()
+
     chosen = usable.where(forms & _drawn("train", share))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(
-        taken, "doc_id bigint, toxic int, line binary"
-    ).collect()
+    rows = lines_of(chosen)
+    bare = [c for c in (0, 1) if c not in {r["toxic"] for r in rows}]
+    if bare:  # only where a label has next to no documents: all of them may form
+        others = usable.where(F.col("toxic").isin(bare) & _drawn("train", share))
+        rows, chosen = rows + lines_of(others), chosen.where(~F.col("toxic").isin(bare)).unionByName(others)
     lines: dict[bytes, int] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["line"]))):
         lines.setdefault(bytes(r["line"]), r["toxic"])
-    toxic, ordinary = [x for x, v in lines.items() if v == 1], [x for x, v in lines.items() if v == 0]
+    toxic, ordinary = (
+        [x for x, v in lines.items() if v == c] or sorted({bytes(r["line"]) for r in rows if r["toxic"] == c}) for c in (1, 0)
+    )
     if not toxic or not ordinary:
         return None
     plain = [w for x in ordinary for w in windows(x)]
     plain = random.Random(5).sample(plain, min(len(plain), 40_000))
     model = Model(train_dictionary(plain, ORDINARY_BYTES), train_dictionary(telling_stretches(toxic, ordinary), TOXIC_BYTES))
-    held = usable.where(~forms & _drawn("calibrate", min(1.0, 4 * calibration / sum(counts.values()))))
     state = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,15 +262,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: i
                 "doc_id": part["doc_id"], "toxic": part["toxic"], "f": [meter.features(t) for t in part["text"]],
             })
 
-    seen = texts.join(F.broadcast(held), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(
-        measured, "doc_id bigint, toxic int, f array<double>"
-    ).collect()
-    if len({r["toxic"] for r in seen}) < 2:
-        return None
+    def features_of(held: DataFrame) -> list:
+        return texts.join(F.broadcast(held), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(
+            measured, "doc_id bigint, toxic int, f array<double>"
+        ).collect()
+
+    # drawn for each label: rare toxic documents are not left to chance
+    part = F.when(F.col("toxic") == 1, min(1.0, 4 * calibration / counts[1])).otherwise(min(1.0, 4 * calibration / counts[0]))
+    seen = features_of(usable.where(~forms & _drawn("calibrate", part)))
+    found = Counter(r["toxic"] for r in seen)
+    few = [c for c in (0, 1) if found[c] < FEW]
+    if few:
+        formed = Counter(r["toxic"] for r in rows)
+        lacking = F.when(F.col("toxic") == 1, min(1.0, 2 * FEW / max(1, formed[1]))).otherwise(min(1.0, 2 * FEW / max(1, formed[0])))
+        already = {r["doc_id"] for r in seen}
+        more = chosen.where(F.col("toxic").isin(few) & _drawn("lacking", lacking))
+        seen += [r for r in features_of(more) if r["doc_id"] not in already]
     seen.sort(key=lambda r: (r["doc_id"], r["f"]))
     x, y = np.array([r["f"] for r in seen]), np.array([r["toxic"] for r in seen], float)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _logistic(np.c_[(x - model.mean) / model.scale, np.ones(len(x))], y)
+    n = Counter(r["toxic"] for r in seen)
+    weight = np.where(y == 1, counts[1] / max(1, n[1]), counts[0] / max(1, n[0]))
+    model.mean = np.average(x, axis=0, weights=weight)
+    model.scale = np.sqrt(np.average((x - model.mean) ** 2, axis=0, weights=weight)) + 1e-9
+    model.weights = _logistic(np.c_[(x - model.mean) / model.scale, np.ones(len(x))], y, weight)
     return model
 
 

@@ -242,6 +242,24 @@ def test_toxicity_on_held_out_documents(spark, make_docs):
     assert toxicity.scored(make_docs([]), model).count() == 0
 
 
+@pytest.mark.parametrize("place", ["forms", "calibrates", "rare"])
+def test_few_toxic_documents_are_enough(spark, make_docs, place):
+    rng = random.Random(10)
+    syllables = "an the in on er st re ti ou ha ea nd".split()
+    line = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(40))
+    role = spark.range(4000).select("id", (F.pmod(F.xxhash64(F.lit("role"), "id"), F.lit(4)) > 0).alias("forms")).collect()
+    marked = [r["id"] for r in role if place == "rare" or r["forms"] == (place == "forms")][:24 if place == "rare" else 8]
+    words = " grumblewort snottlepig wretchface grumblewort foulmouthed snottlepig"
+    rows = [(i, line() + words * (i in marked), None, None) for i in range(4000)]
+    table = spark.createDataFrame([(i, int(i in marked)) for i in range(4000)], "doc_id long, toxic int")
+    model = toxicity.fit(make_docs(rows), table, calibration=200 if place == "rare" else 5000)
+    assert model is not None
+    fresh = make_docs([(9000 + i, line() + words * (i < 10), None, None) for i in range(200)])
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(fresh, model).collect()}
+    assert min(scores[9000 + i] for i in range(10)) >= toxicity.CUT
+    assert sum(scores[9000 + i] >= toxicity.CUT for i in range(10, 200)) <= 2
+
+
 def test_toxicity_without_both_classes(spark, make_docs):
     docs = make_docs([(1, "some text", None, None)])
     assert toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
