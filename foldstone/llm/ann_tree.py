@@ -6,7 +6,8 @@ tree best bin first: a priority queue holds the nodes met so far by the inner
 product with their centre plus a share of their spread, the best one is opened
 next, and each leaf that comes out is visited. How many leaves are visited is
 widened, on calibration queries answered exactly over all rows, until the
-recall reached is ``RECALL``. Visited leaves are searched in double precision
+recall reached is ``RECALL``; a query whose leaves hold fewer rows than it asks
+for goes on until they suffice. Visited leaves are searched in double precision
 on the original vectors.
 
 Defined results. Vectors that are null, empty, zero, hold null or non-finite
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vector_blocks import (
-    QUERY_SCHEMA, best, chunks_of, matrix, packed, query_blocks, sample_of, searched, top_scores, usable,
+    QUERY_SCHEMA, best, chunked, matrix, packed, query_blocks, rows_of, sample_of, searched, top_scores, usable,
 )
 
 SAMPLE = 16_384
@@ -67,15 +68,16 @@ class Tree:
                     todo.append((kid, mine))
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
+    def visit(self, q: np.ndarray, visits: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: at least ``visits``, and by the ``rows`` of leaves as many as hold ``least``."""
         size = float(np.sqrt(q @ q))
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or (rows is not None and held < least)):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf[node])
+                held += rows.get(self.leaf[node], 0) if rows is not None else 0
                 continue
             for kid in kids:
                 heapq.heappush(queue, (-float(q @ self.centers[kid]) - 0.25 * size * self.spread[kid], kid))
@@ -184,7 +186,8 @@ def nearest(rows: DataFrame, is_query, vec_id="vec_id", vector="embedding", k: i
     from ..session import materialise
 
     assigned = materialise(vecs.withColumn("cell", leaf_of("v")), "leaves")
-    chunks = chunks_of(assigned)
+    held = rows_of(assigned)
+    chunks = chunked(held)
     blocks = packed(assigned, chunks)
     asked = assigned.where(is_query).select("vec_id", "v", F.lit(float("-inf")).alias("floor"))
     total = asked.count()
@@ -195,7 +198,7 @@ def nearest(rows: DataFrame, is_query, vec_id="vec_id", vector="embedding", k: i
     def cells_of(q: np.ndarray, floor: np.ndarray):
         by: dict[int, list[int]] = {}
         for i, row in enumerate(q):
-            for cell in state.value.visit(row, visits):
+            for cell in state.value.visit(row, visits, held, k + 1):  # one row is the query itself
                 by.setdefault(cell, []).append(i)
         for cell, at in by.items():
             yield cell, np.array(at)

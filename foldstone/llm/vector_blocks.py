@@ -58,10 +58,18 @@ def sample_of(vecs: DataFrame, rows: int, salt: str = "sample") -> np.ndarray:
     return np.array([r["v"] for r in picked])
 
 
+def rows_of(assigned: DataFrame) -> dict[int, int]:
+    """Rows of every cell; as many entries as there are cells."""
+    return {r["cell"]: r["n"] for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def chunks_of(assigned: DataFrame, block: int = BLOCK) -> dict[int, int]:
-    """Chunks of every cell; as many entries as there are cells."""
-    counts = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["cell"]: -(-r["n"] // block) for r in counts}
+    """Chunks of every cell."""
+    return chunked(rows_of(assigned), block)
+
+
+def chunked(rows: dict[int, int], block: int = BLOCK) -> dict[int, int]:
+    return {cell: -(-n // block) for cell, n in rows.items()}
 
 
 def _lookup(spark, chunks: dict[int, int]) -> DataFrame:

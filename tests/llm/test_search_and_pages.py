@@ -84,6 +84,15 @@ def test_tree_visits_every_leaf_once():
     assert set(tree.assign(x)) == set(range(tree.leaves))
 
 
+def test_queries_in_small_leaves_find_k_rows(make_vectors):
+    rng = np.random.default_rng(4)
+    x = 20 * np.eye(8)[rng.integers(0, 4, 2400)] + 0.1 * rng.normal(size=(2400, 8))
+    x[::400] = [[-300.0 * (j == 7) + i for j in range(8)] for i in range(6)]  # six outliers, a leaf of their own, all of them queries
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = ann_tree.nearest(make_vectors(rows), F.col("vec_id") % 20 == 0, k=20, leaf=500, recall=0.5).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {i: 20 for i in range(0, 2400, 20)}
+
+
 # -------------------------------------------------------------------------- pages
 
 def page(i, body, extra=""):
