@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann_tree, langid, mixing, mtree, piece_fst, secret_scan, simhash, toxicity, warc, wrappers
+from . import (
+    ann_tree, cover_codes, langid, mixing, mtree, piece_fst, positional_index, prefix_trie, secret_scan, simhash, toxicity, warc, wrappers,
+)
 
 QUERIES = {
     "op1_ann": ann_tree.op1_ann,
@@ -15,9 +17,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pieces": piece_fst.op9_pieces,
     "op10_topk": mtree.op10_topk,
+    "op11_codes": cover_codes.op11_codes,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_decontaminate": positional_index.op13_decontaminate,
 }
 ORACLES = {
     "op4_secrets": secret_scan.oracle(),
     "op7_revisits": warc.ORACLE,
     "op10_topk": mtree.ORACLE,
+    "op11_codes": cover_codes.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_decontaminate": positional_index.ORACLE,
 }
