@@ -64,6 +64,12 @@ def h(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {text})), 1, 8))::BIGINT"
 
 
+def h60(*parts: str) -> str:
+    """SQL of the 60-bit key hash."""
+    text = ", ".join(f"({p})::VARCHAR" for p in parts)
+    return f"('0x' || substr(md5(concat_ws('|', {text})), 1, 15))::BIGINT"
+
+
 def m(*parts: str) -> str:
     """SQL of the key digest."""
     text = ", ".join(f"({p})::VARCHAR" for p in parts)

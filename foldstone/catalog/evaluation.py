@@ -6,8 +6,9 @@ from ..operators import evaluate as E
 from ..operators import uncertainty as U
 from ..operators.splits import with_group_fold
 from ..functions.text import sorted_json_column
+from ..vocab import N_BOOT
 from .base import (
-    EVENT_LABELS, HIGH_EVENTS, PRED, h, obs, pred, query, rounded, score_sql, tidy,
+    EVENT_LABELS, HIGH_EVENTS, PRED, h, h60, obs, pred, query, rounded, score_sql, tidy,
 )
 
 LABELS_SQL = "labels5(label, o) AS (VALUES ('click',0),('error',1),('purchase',2),('signup',3),('view',4))"
@@ -179,7 +180,6 @@ def protocol_ranking(spark, d):
 
 # ---------------------------------------------------------------- uncertainty
 
-N_BOOT = 200
 
 
 def _boot_sql(long: str, by: str = "", metric: str = "macro_f1") -> str:
@@ -191,7 +191,7 @@ def _boot_sql(long: str, by: str = "", metric: str = "macro_f1") -> str:
     return f"""cells AS (SELECT {b}config, grp, y_true, y_pred, count(*) AS n FROM {long} GROUP BY ALL),
 groups AS (SELECT {b}grp, row_number() OVER ({over}ORDER BY md5(grp::VARCHAR), grp) - 1 AS pos,
    count(*) OVER ({over}) AS g FROM (SELECT DISTINCT {b}grp FROM cells) AS _d),
-draws AS (SELECT {b}b, {h("'42'", 'b', 'pos')} % g AS pick FROM groups, range({N_BOOT}) AS t(b)),
+draws AS (SELECT {b}b, {h60("'42'", 'b', 'pos')} % g AS pick FROM groups, range({N_BOOT}) AS t(b)),
 rep AS (SELECT {rb}r.config, d.b, r.y_true, r.y_pred, sum(r.n) AS n FROM draws d
    JOIN (SELECT cells.*, groups.pos FROM cells JOIN groups ON groups.grp = cells.grp{"".join(f" AND groups.{c.strip()} = cells.{c.strip()}" for c in by.split(",") if c.strip())}) r
    ON d.pick = r.pos{on} GROUP BY ALL),
@@ -248,6 +248,58 @@ def row_ci(spark, d):
     return tidy(U.cluster_bootstrap(pred(spark, d), "key", n_boot=40))
 
 
+def _draw_sql(n: str, p: str, *key: str) -> str:
+    """SQL of a binomial draw from key hashes, as ``functions.binomial`` makes it."""
+    text = ", ".join(f"({k})::VARCHAR" for k in key)
+    u = lambda t, name: f"(('0x' || substr(md5(concat_ws('|', {text}, {t}::VARCHAR, '{name}')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496"
+    tail = lambda k: f"""CASE WHEN {k} < 10 THEN lgamma({k} + 1e0) - (0.5::DOUBLE * ln(2 * pi()) + ({k} + 0.5::DOUBLE) * ln({k} + 1e0) - ({k} + 1e0))
+      ELSE (1 / 12e0 - (1 / 360e0 - 1 / 1260e0 / (({k} + 1e0) * ({k} + 1e0))) / (({k} + 1e0) * ({k} + 1e0))) / ({k} + 1e0) END"""
+    q = f"least({p}, 1e0 - {p})"
+    gaps = f"list_transform(range(64), lambda t: floor(ln({u('t', 'g')}) / ln(1e0 - {q}))::BIGINT + 1)"
+    few = f"len(list_filter(list_transform([{gaps}], lambda g: list_transform(range(1, 65), lambda i: list_sum(g[1:i])))[1], lambda s: s <= {n}))"
+    sd, mode = f"sqrt({n} * {q} * (1e0 - {q}))", f"floor(({n} + 1) * {q})"
+    b = f"(1.15::DOUBLE + 2.53::DOUBLE * {sd})"
+    a = f"(-0.0873::DOUBLE + 0.0248::DOUBLE * {b} + 0.01::DOUBLE * {q})"
+    odds = f"({q} / (1e0 - {q}))"
+    rest = f"({n} - {mode} + 1e0)"
+    top = f"(({mode} + 0.5::DOUBLE) * ln(({mode} + 1e0) / ({odds} * {rest})) + {tail(mode)} + {tail(f'({n} - {mode})')})"
+    tries = f"list_transform(range(48), lambda t: {{'u': {u('t', 'u')} - 0.5::DOUBLE, 'v': {u('t', 'v')}}})"
+    placed = f"list_transform({tries}, lambda x: {{'v': x.v, 'us': 0.5::DOUBLE - abs(x.u), 'k': floor((2 * {a} / (0.5::DOUBLE - abs(x.u)) + {b}) * x.u + {n} * {q} + 0.5::DOUBLE)}})"
+    bound = f"""{top} + ({n} + 1e0) * ln({rest} / ({n} - x.k + 1e0)) + (x.k + 0.5::DOUBLE) * ln(({n} - x.k + 1e0) * {odds} / (x.k + 1e0)) - ({tail('x.k')}) - ({tail(f'({n} - x.k)')})"""
+    good = f"""x.k >= 0 AND x.k <= {n} AND CASE WHEN x.us >= 0.07::DOUBLE AND x.v <= 0.92::DOUBLE - 4.2::DOUBLE / {b} THEN true
+      ELSE ln(x.v * ((2.83::DOUBLE + 5.1::DOUBLE / {b}) * {sd}) / ({a} / (x.us * x.us) + {b})) <= {bound} END"""
+    # k outside the range must not reach a logarithm
+    many = f"list_filter(list_filter({placed}, lambda x: x.k >= 0 AND x.k <= {n}), lambda x: {good})[1].k::BIGINT"
+    return f"""CASE WHEN {n} = 0 OR {p} <= 0 THEN 0 WHEN {p} >= 1 THEN {n} ELSE (CASE WHEN {p} > 0.5::DOUBLE THEN {n} ELSE 0 END)
+      + (CASE WHEN {p} > 0.5::DOUBLE THEN -1 ELSE 1 END) * (CASE WHEN {n} * {q} < 10 THEN {few} ELSE {many} END) END"""
+
+
+def _row_boot_sql(by: str = "", level: str = "''", metric: str = "macro_f1") -> str:
+    """boot and point of a bootstrap of single rows of long(by, y_true, y_pred); {level} is the text of the level."""
+    b, g = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    on = f"USING ({by})" if by else "ON true"
+    return f"""cells AS (SELECT {b}y_true, y_pred, count(*) AS n FROM long GROUP BY ALL),
+listed AS (SELECT {b}{level} AS lv, list(y_true ORDER BY y_true, y_pred) AS ts, list(y_pred ORDER BY y_true, y_pred) AS ps, list(n ORDER BY y_true, y_pred) AS ns, sum(n)::BIGINT AS total FROM cells {g}),
+sums AS (SELECT *, list_transform(range(0, len(ns) + 1), lambda i: coalesce(list_sum(ns[1:i]), 0)::BIGINT) AS w FROM listed),
+tree AS (SELECT {b}lv, ts, ps, w, t.b AS b, 0::BIGINT AS lo, len(ns)::BIGINT AS hi, total AS n FROM sums, range({N_BOOT}) AS t(b)
+  UNION ALL SELECT {b}lv, ts, ps, w, b, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END, CASE WHEN side = 0 THEN x ELSE n - x END
+  FROM (SELECT *, {_draw_sql('n', 'p', "'42'", 'lv', 'b', 'lo', 'hi')} AS x
+    FROM (SELECT {b}lv, ts, ps, w, b, lo, hi, n, (lo + hi) // 2 AS mid, (w[(lo + hi) // 2 + 1] - w[lo + 1]) / (w[hi + 1] - w[lo + 1])::DOUBLE AS p FROM tree WHERE hi - lo > 1) AS _p) AS _x, range(2) AS z(side)),
+rep AS (SELECT {b}b, ts[lo + 1] AS y_true, ps[lo + 1] AS y_pred, n FROM tree WHERE hi - lo = 1 AND n > 0),
+boot AS (SELECT {b}{metric} AS value FROM ({score_sql('rep', b + 'b')}) AS _s),
+point AS (SELECT {b}{metric} AS value FROM ({score_sql('cells', by)}) AS _s)"""
+
+
+_ROW_CI = """quantile_cont(boot.value, 0.025) AS lo, quantile_cont(boot.value, 0.975) AS hi, stddev_samp(boot.value) AS se"""
+
+
+@query("stat_04_cells", rounded(f"""WITH RECURSIVE {PRED}, long AS (SELECT y_true, y_pred FROM pred), {_row_boot_sql()}
+SELECT (SELECT value FROM point) AS point, {_ROW_CI}, (SELECT sum(n)::BIGINT FROM cells) AS n FROM boot""", "point", "lo", "hi", "se"))
+def row_ci_cells(spark, d):
+    """All 2,000 draws of single rows, as multinomial draws over label pairs."""
+    return tidy(U.row_bootstrap(pred(spark, d), n_boot=N_BOOT))
+
+
 @query("stat_05", rounded(f"""WITH {PRED}, long AS (SELECT 'a' AS config, grp, y_true, y_pred FROM pred), {_boot_sql('long', metric='accuracy')}
 SELECT (SELECT value FROM point) AS point, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi,
   stddev_samp(value) AS se, (SELECT count(*) FROM groups) AS n_groups FROM boot""", "point", "lo", "hi", "se"))

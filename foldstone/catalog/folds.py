@@ -8,7 +8,7 @@ from ..operators import splits as S
 from ..operators.inventory import label_coverage
 from ..operators.profile import composition
 from ..operators.vectors import fuse
-from ..operators.neighbors import nearest
+from ..operators.cells import nearest_in_cells
 from .base import DOCS, OBS, PRED, VECS, docs, obs, pred, query, rounded, snake_sql, tidy, vecs
 
 K = 5
@@ -209,7 +209,7 @@ def cross_group_pairs(spark, d):
  QUALIFY row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.vec, b.vec), b.key) <= 3""", "distance"))
 def all_pairs(spark, d):
     rows = vecs(spark, d)
-    return tidy(nearest(rows, rows, 3, "key", "vec", "label", fold="grp").select("key", "ref", "distance"))
+    return tidy(nearest_in_cells(rows, rows, 3, "key", "vec", "label", fold="grp").select("key", "ref", "distance"))
 
 
 @query("jn_12", f"""WITH {FOLDS} SELECT protocol, fold, split, label, count(*) AS n FROM folds JOIN (SELECT key, label FROM obs) USING (key) GROUP BY ALL""")

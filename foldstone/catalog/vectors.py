@@ -12,6 +12,7 @@ from ..operators import splits as S
 from ..operators import transfer as X
 from ..operators import uncertainty as U
 from ..operators import vectors as N
+from ..operators.cells import nearest_in_cells
 from ..config import DEFAULT_AUGMENTATIONS
 from ..session import materialise
 from ..plans import merged as PM
@@ -213,6 +214,15 @@ def knn(spark, d):
     return tidy(E.score(M.knn_oof(folded(spark, d), "key", "vec", "label")))
 
 
+@query("mdl_06_neighbours", rounded(f"""WITH {VECS}, gf AS ({snake_sql('vecs', 'grp', K)}), vf AS (SELECT vecs.*, fold FROM vecs JOIN gf USING (grp))
+SELECT a.key, list_distance(a.vec, b.vec) AS distance, b.key AS ref, b.label FROM vf a JOIN vf b ON a.fold <> b.fold
+  QUALIFY row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.vec, b.vec), b.key) <= 5""", "distance"))
+def neighbours(spark, d):
+    """The five nearest rows of other folds, through the cell index."""
+    rows = folded(spark, d)
+    return tidy(nearest_in_cells(rows, rows, 5, "key", "vec", "label", "fold"))
+
+
 @query("mdl_08", rounded(f"""WITH {EL}, rf AS (SELECT el.*, gf.fold FROM el JOIN gf USING (grp)),
  e AS (SELECT f AS fold, max(vv) * 1e-9 AS eps FROM (SELECT t.f, p, var_pop(v) AS vv FROM rf, range({K}) AS t(f) WHERE fold <> t.f GROUP BY ALL) AS _e GROUP BY f),
  n AS (SELECT t.f AS fold, label, count(DISTINCT key) AS c, sum(count(DISTINCT key)) OVER (PARTITION BY t.f) AS tot FROM rf, range({K}) AS t(f) WHERE fold <> t.f GROUP BY t.f, label),
@@ -552,10 +562,11 @@ def source_cue(spark, d):
     return tidy(D.source_probe(sourced(spark, d), "key", "vec", "grp", "source", method="snake"))
 
 
-def _sil(src, by, name):
+def _sil(src, by, name, power=1):
+    dist = "list_distance(a.vec, b.vec)" if power == 1 else "list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: (x[1] - x[2]) ** 2))"
     return f"""{name}_s AS (SELECT key, grp, label, list((v - m) / sd ORDER BY p) AS vec FROM (SELECT *, avg(v) OVER (PARTITION BY p) AS m, stddev_pop(v) OVER (PARTITION BY p) AS sd FROM {src}) AS _s GROUP BY ALL),
  {name}_n AS (SELECT {by} AS o, count(*) AS c FROM {name}_s GROUP BY 1),
- {name}_t AS (SELECT a.key, a.{by} AS l, b.{by} AS o, sum(list_distance(a.vec, b.vec)) AS s FROM {name}_s a, {name}_s b GROUP BY ALL),
+ {name}_t AS (SELECT a.key, a.{by} AS l, b.{by} AS o, sum({dist}) AS s FROM {name}_s a, {name}_s b GROUP BY ALL),
  {name}_r AS (SELECT key, l, max(c) FILTER (WHERE o = l) AS own, max(s / greatest(c - 1, 1)) FILTER (WHERE o = l) AS a, min(s / c) FILTER (WHERE o <> l) AS b FROM {name}_t JOIN {name}_n USING (o) GROUP BY ALL),
  {name} AS (SELECT avg(CASE WHEN own <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette, count(*) AS n FROM {name}_r)"""
 
@@ -572,6 +583,19 @@ def silhouettes(spark, d):
     return tidy(D.silhouette_comparison(vecs(spark, d), "key", "vec", "grp", "label"))
 
 
+@query("diag_03_squared", rounded(f"WITH {EL}, {_sil('el', 'label', 's1', 2)} SELECT * FROM s1", "silhouette"))
+def squared_silhouette(spark, d):
+    """Squared Euclidean distances in closed form: linear in rows."""
+    return tidy(D.silhouette_by(vecs(spark, d), "key", "vec", "label", squared=True))
+
+
+@query("diag_04_squared", rounded(f"""WITH {EL}, {_sil('el', 'label', 's1', 2)}, {_sil('el', 'grp', 's2', 2)}, {_sil('z', 'label', 's3', 2)}, {_sil('z', 'grp', 's4', 2)}
+SELECT 'raw' AS space, 'label' AS "by", silhouette FROM s1 UNION ALL SELECT 'raw', 'group', silhouette FROM s2
+UNION ALL SELECT 'normalised', 'label', silhouette FROM s3 UNION ALL SELECT 'normalised', 'group', silhouette FROM s4""", "silhouette"))
+def squared_silhouettes(spark, d):
+    return tidy(D.silhouette_comparison(vecs(spark, d), "key", "vec", "grp", "label", squared=True))
+
+
 @query("diag_05")
 def projection(spark, d):
     rows, train = _train_scaled(spark, d)
@@ -624,22 +648,12 @@ def layer_curve(spark, d):
 
 @query("diag_09")
 def ablation(spark, d):
+    from ..plans.ablation import ablation as run
     from ..sources import audio as W
     from .storage import SMALL, wav_files
-    from dataclasses import replace
 
     files = wav_files(spark, d)
-    decoded = W.decode(files, "key")
-    base = replace(SMALL, extras=(), trim=False)
-    grid = [("baseline", base), ("deltas", replace(base, deltas=False, delta_deltas=False)), ("n_mfcc", replace(base, n_mfcc=8))]
-    out = None
-    for i, (axis, settings) in enumerate(grid):
-        rows = materialise(W.extract(decoded, "key", settings).join(files.select("key", "lang", "source"), "key"), "features")
-        folded_ = S.with_group_fold(rows, "source", K, "snake")
-        part = M.nearest_centroid_oof(folded_, "key", "features", "lang").select(F.lit(i).alias("ordinal"), F.lit(axis).alias("axis"), "y_true", "y_pred")
-        out = part if out is None else out.unionByName(part)
-    table = E.score(out, ["ordinal", "axis"]).select("ordinal", "axis", "n", "accuracy", "macro_f1")
-    return tidy(X.versus_control(table, "axis", "macro_f1", "baseline"))
+    return tidy(run(W.decode(files, "key"), files.select("key", "lang", "source"), "key", "source", "lang", SMALL.replace(extras=())))
 
 
 @query("diag_10", rounded(f"""WITH {RESULTS}, s AS (SELECT model, avg(accuracy) AS found FROM res GROUP BY 1)

@@ -70,6 +70,10 @@ class Settings:
     def __hash__(self) -> int:
         return hash((type(self).__name__, self.hash, self.name))
 
+    def replace(self, **changes: Any) -> Settings:
+        """The same settings but for ``changes``."""
+        return type(self)(**self.values | changes)
+
     def is_default(self, *names: str) -> bool:
         return all(self.values[n] == self.kind.options[n].default for n in names)
 

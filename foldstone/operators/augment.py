@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import NoiseSettings
 from ..functions import arrays as A
-from ..functions.hashing import beta_symmetric, hash32, normal
+from ..functions.hashing import beta_symmetric, hash60, normal
 from ..functions.text import stem
 from ..vocab import AUGMENT_TAG, MIX_ALPHA
 from .ranking import attach, hash_rank
@@ -80,11 +80,11 @@ def mixup(
         .where(F.col("draw") < F.bround(F.col("_n") * ratio))
         .select(label, "draw", "_n")
     )
-    first = hash32(seed, "a", F.col(label), F.col("draw")) % F.col("_n")
+    first = hash60(seed, "a", F.col(label), F.col("draw")) % F.col("_n")
     # a partner position different from the first, one candidate per try
     tried = F.transform(
         F.sequence(F.lit(0), F.lit(tries)),
-        lambda t: (first + 1 + hash32(seed, "b", F.col(label), F.col("draw"), t) % (F.col("_n") - 1)) % F.col("_n"),
+        lambda t: (first + 1 + hash60(seed, "b", F.col(label), F.col("draw"), t) % (F.col("_n") - 1)) % F.col("_n"),
     )
     lines = draws.select(label, "draw", first.alias("_a"), F.posexplode(tried).alias("_try", "_b"))
     groups = ranked.select(label, F.col("_pos"), F.col(group).alias("_g"))

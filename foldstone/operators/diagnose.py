@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..vocab import GROUP_EPS, N_SPLITS, SEED
 from .evaluate import score, scores, slice_levels, tally
 from .models import nearest_centroid_oof
-from .neighbors import silhouette
+from .neighbors import silhouette, squared_silhouette
 from .profile import value_shares
 from .ranking import attach
 from .splits import attribute_holdout_disjoint, stratified_folds, with_group_fold
@@ -60,17 +60,17 @@ def source_probe(
     )
 
 
-def silhouette_by(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
-    """Silhouette after standardising all rows."""
-    return silhouette(apply_scaler(df, fit_scaler(df, vec), vec), key, vec, label)
+def silhouette_by(df: DataFrame, key: str, vec: str, label: str, squared: bool = False) -> DataFrame:
+    """Silhouette after standardising all rows; ``squared`` distances need no pairs of rows."""
+    return (squared_silhouette if squared else silhouette)(apply_scaler(df, fit_scaler(df, vec), vec), key, vec, label)
 
 
-def silhouette_comparison(df: DataFrame, key: str, vec: str, group: str, label: str) -> DataFrame:
+def silhouette_comparison(df: DataFrame, key: str, vec: str, group: str, label: str, squared: bool = False) -> DataFrame:
     """(space, by, silhouette): raw and normalised vectors, by group and by label."""
     out = None
     for space, rows in (("raw", df), ("normalised", per_group_normalise(df, vec, group))):
         for name, column in (("group", group), ("label", label)):
-            part = silhouette_by(rows, key, vec, column).select(
+            part = silhouette_by(rows, key, vec, column, squared).select(
                 F.lit(space).alias("space"), F.lit(name).alias("by"), "silhouette"
             )
             out = part if out is None else out.unionByName(part)

@@ -27,6 +27,7 @@ from ..functions.hashing import hash32
 from ..session import materialise, settle
 from ..vocab import SEED
 from .evaluate import PRED, TRUE, score
+from .cells import nearest_in_cells
 from .neighbors import knn_vote, nearest
 from .ranking import attach, vocabulary
 from .vectors import apply_scaler, fit_scaler, leave_out_moments, moments
@@ -118,7 +119,7 @@ def knn_oof(
     df: DataFrame, key: str, vec: str, label: str, fold: str = "fold", k: int = 5, weights: str = "uniform"
 ) -> DataFrame:
     """``df`` with y_true and y_pred: vote of the k nearest rows of other folds."""
-    votes = knn_vote(nearest(df, df, k, key, vec, label, fold), key, label, weights)
+    votes = knn_vote(nearest_in_cells(df, df, k, key, vec, label, fold), key, label, weights)
     return df.withColumn(TRUE, F.col(label)).join(votes, key)
 
 
@@ -308,7 +309,7 @@ def fit_predict(
     if name == "knn":
         params = {**DEFAULTS["knn"], **(kwargs.get("params") or {})}
         scaler = fit_scaler(train, vec, kwargs.get("scale", "global"))
-        near = nearest(
+        near = nearest_in_cells(
             apply_scaler(truth, scaler, vec), apply_scaler(train, scaler, vec),
             params["n_neighbors"], key, vec, label,
         )
@@ -402,7 +403,7 @@ def _knn_grid(train: DataFrame, vec: str, label: str, key: str, inner: str, comb
     for f in range(n_folds):
         fit_rows, held = train.where(F.col(inner) != f), train.where(F.col(inner) == f)
         scaler = fit_scaler(fit_rows, vec, "global")
-        part = nearest(apply_scaler(held, scaler, vec), apply_scaler(fit_rows, scaler, vec), largest, key, vec, label)
+        part = nearest_in_cells(apply_scaler(held, scaler, vec), apply_scaler(fit_rows, scaler, vec), largest, key, vec, label)
         near = part if near is None else near.unionByName(part)
     # at most ``largest`` rows per key
     place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "ref"))

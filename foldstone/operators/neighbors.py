@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -194,3 +196,77 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     return silhouette_rows(df, key, vec, label).agg(
         F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n")
     )
+
+
+# ------------------------------------------------- silhouettes in closed form
+
+def mean_vector(vec) -> Column:
+    """Componentwise mean through one mergeable buffer."""
+    return vector_to_array(Summarizer.metrics("mean").summary(array_to_vector(vec)).getField("mean"))
+
+
+#: Bytes of label statistics that travel to the rows at once.
+STATS_BYTES = 32 << 20
+
+
+def squared_silhouette_rows(df: DataFrame, key: str, vec: str, label: str, stats_bytes: int = STATS_BYTES) -> DataFrame:
+    """(key, label, a, b, silhouette) with squared Euclidean distances; singletons 0, no other label: null.
+
+    The mean squared distance of a row to a label follows from the label's
+    count, mean and mean squared norm, so the work grows with rows times labels
+    and no two rows meet. Statistics travel in blocks of labels whose size is
+    bounded; with several blocks each gives the least mean of its labels.
+    """
+    mean, stat = "_mean", "_stat"
+    at_zero = df.where(F.col(label).isNotNull())
+    center = at_zero.agg(mean_vector(F.col(vec)).alias(mean))
+    # rows are centred first: squares of far-off vectors would swallow the differences
+    rows = at_zero.crossJoin(F.broadcast(center)).withColumn("_v", F.zip_with(vec, mean, lambda x, m: x - m)).select(key, label, "_v")
+    norm = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
+    stats = settle(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_c"), mean_vector(F.col("_v")).alias(stat), F.avg(norm).alias("_q")))
+    n, width = stats.agg(F.count(F.lit(1)), F.max(F.size(stat))).first()
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, label)}
+    schema = f"{key} {kinds[key]}, {label} {kinds[label]}, a double, b double, own bigint"
+    if not n:
+        return df.sparkSession.createDataFrame([], schema).select(key, label, "a", "b", F.lit(None).cast("double").alias("silhouette"))
+    blocks = -(-n * (width + 4) * 8 // stats_bytes)
+    found = None
+    for i in range(blocks):
+        held = stats.where(F.pmod(F.xxhash64(label), F.lit(blocks)) == i).toPandas()
+        if len(held):
+            part = rows.mapInPandas(_means_to_labels(held, key, label, stat), schema)
+            found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        found = found.groupBy(key, label).agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("own").alias("own"))
+    s = F.when(F.col("own") <= 1, 0.0).when(F.greatest("a", "b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return found.select(key, label, "a", "b", F.when(F.col("b").isNotNull(), s).alias("silhouette"))
+
+
+def _means_to_labels(held: pd.DataFrame, key: str, label: str, stat: str):
+    means, count = np.stack(held[stat].to_numpy()), held["_c"].to_numpy(float)
+    square, names = held["_q"].to_numpy(float), held[label].to_numpy()
+    place = {name: i for i, name in enumerate(names.tolist())}
+
+    def run(batches):
+        for part in batches:
+            for lo in range(0, len(part), 1024):
+                some = part.iloc[lo:lo + 1024]
+                v = np.stack(some["_v"].to_numpy())
+                to = np.maximum((v * v).sum(1)[:, None] - 2 * v @ means.T + square[None, :], 0.0)
+                at = np.array([place.get(x, -1) for x in some[label].tolist()])
+                mine = np.flatnonzero(at >= 0)
+                a, own = np.full(len(some), np.nan), np.zeros(len(some), np.int64)
+                own[mine] = count[at[mine]]
+                # a row is no neighbour of itself
+                a[mine] = to[mine, at[mine]] * own[mine] / np.maximum(own[mine] - 1, 1)
+                to[mine, at[mine]] = np.inf
+                b = to.min(1)
+                none = lambda x: pd.Series(x, dtype=object).where(np.isfinite(x), None)
+                yield pd.DataFrame({key: some[key].to_numpy(), label: some[label].to_numpy(), "a": none(a), "b": none(b), "own": own})
+
+    return run
+
+
+def squared_silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
+    """The mean over all rows of :func:`squared_silhouette_rows`."""
+    return squared_silhouette_rows(df, key, vec, label).agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("n"))

@@ -2,19 +2,23 @@
 
 A replicate only needs how often each group was drawn, so the rows are
 counted once per (group, true, predicted) and every replicate is a weighted
-sum of that small table. The cost does not depend on the number of rows.
+sum of that small table. The cost does not depend on the number of rows; for
+draws of single rows, :func:`row_bootstrap` does not even depend on that of groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.binomial import sign_test
-from ..functions.hashing import hash32
-from ..session import settle
+from ..functions.binomial import sign_test, split_draw
+from ..functions.hashing import hash60
+from ..session import materialise, settle
 from ..vocab import N_BOOT, SEED
 from .evaluate import PRED, TRUE, scores
 from .ranking import _cols, attach, hash_rank
@@ -34,20 +38,16 @@ def metric_table(counts: DataFrame, by: list[str], metric: Metric) -> DataFrame:
     return scores(counts, by).select(*by, F.col(metric).alias("value"))
 
 
-def pandas_metric(fn: Callable, group_cells: int = 100_000) -> Callable[[DataFrame, list[str]], DataFrame]:
+def pandas_metric(fn: Callable) -> Callable[[DataFrame, list[str]], DataFrame]:
     """Wrap ``fn(true, pred, weight) -> float`` over the cells of one replicate.
 
     A replicate has at most labels^2 cells, whatever the number of rows.
     """
 
     def apply(counts: DataFrame, by: list[str]) -> DataFrame:
-        import pandas as pd
-
         kinds = "".join(f"{c} {counts.schema[c].dataType.simpleString()}, " for c in by)
 
         def one(pdf):
-            if len(pdf) > group_cells:
-                raise ValueError("too many label pairs for a per-replicate function")
             head = {c: [pdf[c].iloc[0]] for c in by}
             return pd.DataFrame({**head, "value": [float(fn(pdf[TRUE], pdf[PRED], pdf["n"]))]})
 
@@ -56,16 +56,17 @@ def pandas_metric(fn: Callable, group_cells: int = 100_000) -> Callable[[DataFra
     return apply
 
 
-def draw_groups(spark, n_groups: DataFrame | int, n_boot: int, seed) -> DataFrame:
+#: Draws that meet the cells of a block of groups in one task, about.
+BLOCK_DRAWS = 1_000_000
+
+
+def draw_groups(spark, n_groups: int, n_boot: int, seed) -> DataFrame:
     """(b, pick): ``n_groups`` hashed draws with replacement per replicate."""
     total = n_boot * n_groups
     parts = max(1, min(total // 50_000 + 1, 100_000))
     ids = spark.range(0, total, 1, parts)
     b = (F.col("id") / F.lit(n_groups)).cast("bigint")
-    return ids.select(
-        b.alias("b"),
-        (hash32(seed, b, F.col("id") % n_groups) % n_groups).alias("pick"),
-    )
+    return ids.select(b.alias("b"), (hash60(seed, b, F.col("id") % n_groups) % n_groups).alias("pick"))
 
 
 def replicate_counts(
@@ -75,6 +76,10 @@ def replicate_counts(
 
     ``by`` levels get draws of their own groups; ``configs`` share one set of
     draws, which is what makes a comparison between them paired.
+
+    Draws and cells meet in blocks of groups, where a replicate's counts are a
+    product of two matrices: how often each group was drawn, and its cells. A
+    block returns one row a replicate and cell, however many groups it holds.
     """
     by = _cols(by)
     spark = counts.sparkSession
@@ -82,9 +87,7 @@ def replicate_counts(
     groups = hash_rank(counts.select(*by, group).distinct(), by, group, out="_pos")
     ranked = attach(counts, groups, [*by, group], "inner")
     if not by:
-        n_groups = groups.count()
-        draws = draw_groups(spark, n_groups, n_boot, seed)
-        drawn = draws.join(ranked, F.col("pick") + 1 == F.col("_pos"))
+        draws = draw_groups(spark, groups.count(), n_boot, seed)
     else:
         sizes = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
         slots = attach(groups.select(*by, "_pos"), sizes, by, "inner")
@@ -92,10 +95,38 @@ def replicate_counts(
         draws = slots.repartition(*by, "_pos").select(
             *by, "_pos", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
         )
-        pick = hash32(seed, F.col("b"), F.col("_pos") - 1) % F.col("_size")
-        draws = draws.select(*by, F.col("b").cast("bigint").alias("b"), (pick + 1).alias("_pos"))
-        drawn = attach(draws, ranked, [*by, "_pos"], "inner")
-    return drawn.groupBy(*by, *extra, "b", TRUE, PRED).agg(F.sum("n").alias("n"))
+        pick = hash60(seed, F.col("b"), F.col("_pos") - 1) % F.col("_size")
+        draws = draws.select(*by, F.col("b").cast("bigint").alias("b"), pick.alias("pick"))
+    width = max(16, BLOCK_DRAWS // n_boot)
+    # levels travel as one text, which null values have too
+    block = [F.to_json(F.struct(*by)).alias("_by") if by else F.lit("").alias("_by")]
+    cells = ranked.select(*block, ((F.col("_pos") - 1) / width).cast("bigint").alias("_block"), (F.col("_pos") - 1).alias("pick"),
+                          F.struct(*by, *extra, TRUE, PRED).alias("cell"), "n")
+    # cells are numbered inside their block, in the order of their values
+    numbered = cells.withColumn("_code", F.dense_rank().over(Window.partitionBy("_by", "_block").orderBy("cell")) - 1)
+    stored = materialise(numbered, "cells")
+    drawn = draws.select(*block, (F.col("pick") / width).cast("bigint").alias("_block"), "pick", "b")
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in ("_by", "_block", "b", "_code", "n")})
+        start = int(right["_block"].iat[0]) * width
+        times = np.bincount(left["b"].to_numpy() * width + left["pick"].to_numpy() - start, minlength=n_boot * width).reshape(n_boot, width)
+        order = np.argsort(right["_code"].to_numpy(), kind="stable")
+        code, pos, n = (right[c].to_numpy()[order] for c in ("_code", "pick", "n"))
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        sums = np.stack([times[:, pos[a:b] - start] @ n[a:b] for a, b in zip(first, np.append(first[1:], len(code)))])
+        c, b = np.nonzero(sums)
+        return pd.DataFrame({"_by": left["_by"].iat[0], "_block": right["_block"].iat[0], "b": b, "_code": code[first][c], "n": sums[c, b]})
+
+    parts = drawn.groupBy("_by", "_block").cogroup(stored.select("_by", "_block", "pick", "_code", "n").groupBy("_by", "_block")).applyInPandas(
+        multiply, "_by string, _block bigint, b bigint, _code int, n bigint"
+    )
+    names = settle(stored.select("_by", "_block", "_code", "cell").distinct())
+    found = parts.join(names, ["_by", "_block", "_code"])
+    return found.groupBy(*[F.col(f"cell.{c}").alias(c) for c in [*by, *extra]], "b", F.col(f"cell.{TRUE}").alias(TRUE), F.col(f"cell.{PRED}").alias(PRED)).agg(
+        F.sum("n").alias("n")
+    )
 
 
 def _summary(draws: DataFrame, by: list[str], alpha: float) -> DataFrame:
@@ -129,6 +160,44 @@ def cluster_bootstrap(
     return attach(table, size, by).select(*by, "point", "lo", "hi", "se", "n_groups")
 
 
+def row_bootstrap(
+    pred: DataFrame, metric: Metric = "macro_f1", n_boot: int = N_BOOT, alpha: float = 0.05, seed=SEED, by=()
+) -> DataFrame:
+    """point, lo, hi, se, n: an interval that resamples single rows.
+
+    Rows with one pair of labels are alike, so a replicate is a multinomial
+    draw over the label pairs. It is split in two by exact binomial draws until
+    each pair has its count: the cost depends on the pairs and not on the rows.
+    Every draw is derived from (seed, by, replicate, node).
+    """
+    by = _cols(by)
+    counts = settle(pred.groupBy(*by, TRUE, PRED).agg(F.count(F.lit(1)).alias("n")))
+    # one row a level, with its pairs in order: at most labels^2 of them
+    lists = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(TRUE, PRED, "n"))).alias("_cells"))
+    parts = max(1, n_boot // 100)
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    label = F.to_json(F.struct(*by)) if by else F.lit("")
+    work = lists.select(*by, label.alias("_by"), F.transform("_cells", lambda c: c["n"]).alias("_w"), "_cells", chunks.alias("_part")).repartition(parts, "_part")
+
+    @F.pandas_udf("array<struct<b:bigint,ns:array<bigint>>>")
+    def drawn(levels: pd.Series, weights: pd.Series, part: pd.Series) -> pd.Series:
+        out = []
+        for level, w, i in zip(levels, weights, part):
+            w = [int(x) for x in w]
+            out.append([{"b": b, "ns": split_draw(sum(w), w, seed, level, b)} for b in range(i, n_boot, parts)])
+        return pd.Series(out)
+
+    rows = work.select(*by, "_cells", F.explode(drawn("_by", "_w", "_part")).alias("_d")).select(
+        *by, F.col("_d.b").alias("b"), F.explode(F.arrays_zip("_cells", F.col("_d.ns").alias("ns"))).alias("_c")
+    )
+    cells = rows.select(*by, "b", F.col(f"_c._cells.{TRUE}").alias(TRUE), F.col(f"_c._cells.{PRED}").alias(PRED), F.col("_c.ns").alias("n")).where("n > 0")
+    draws = metric_table(cells, [*by, "b"], metric)
+    point = metric_table(counts, by, metric).withColumnRenamed("value", "point")
+    size = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    table = attach(point, _summary(draws, by, alpha), by)
+    return attach(table, size, by).select(*by, "point", "lo", "hi", "se", "n")
+
+
 def paired_comparisons(
     pred: DataFrame,
     group: str,

@@ -111,3 +111,16 @@ PERCENTILES = (10, 25, 50, 75, 90)
 POOLINGS = ("mean", "mean_std", "std")
 NORMALISATIONS = ("none", "global", "per_speaker")
 EXTRAS = ("chroma", "spectral_contrast", "spectral_centroid", "rolloff", "zcr", "rms")
+
+# FIXED VALUES -- what an ablation changes, one axis at a time
+ABLATION_AXES = {
+    "framing": ({"n_fft": 400, "hop_length": 160}, {"n_fft": 640, "hop_length": 160}),
+    "n_mfcc": ({"n_mfcc": 13}, {"n_mfcc": 20}),
+    "deltas": ({"deltas": False, "delta_deltas": False}, {"deltas": True, "delta_deltas": False}),
+    "aggregation": ({"aggregation": "mean"}, {"aggregation": "mean_std_min_max"}, {"aggregation": "percentiles"}),
+    "normalisation": ({"normalisation": "global"}, {"normalisation": "per_speaker"}),
+    "trim": ({"trim": False},),
+    "extras": ({"extras": ("chroma",)}, {"extras": ("spectral_contrast",)}, {"extras": ("chroma", "spectral_contrast", "spectral_centroid", "zcr")}),
+    "n_mels": ({"n_mels": 40}, {"n_mels": 80}),
+    "fmin": ({"fmin": 50.0},),
+}
