@@ -12,7 +12,7 @@ from ..streaming import ingest as I
 from ..streaming.udtf import frame_rows
 from .storage import _FILES
 from .base import EVENT_LABELS, PRED, VECS, query, read, rounded, score_sql, tidy, vecs
-from .vectors import RAWF, SCORES, T, _centroid_predict, encoded, folded
+from .vectors import RAWF, SCORES, T, _centroid_predict, _mllib, encoded, folded
 
 
 def event_stream(spark, d):
@@ -94,9 +94,7 @@ def model_factory(spark, d):
     from pyspark.ml.classification import DecisionTreeClassifier
 
     M.MODELS["shallow-tree"] = lambda p, n, k: DecisionTreeClassifier(maxDepth=3, featuresCol="_x", labelCol="_y", weightCol="_w")
-    rows = folded(spark, d)
-    out = M.fit_predict("shallow-tree", rows.where("fold <> 0"), rows.where("fold = 0"), "vec", "label", "key")
-    return out.select("key", "y_true", "y_pred")
+    return _mllib("shallow-tree", {})(spark, d)
 
 
 @query("udf_03", rounded(f"WITH {RAWF}, {T} {score_sql('t')}", *SCORES))
@@ -120,7 +118,7 @@ def augment_function(spark, d):
     def predict(train, test):
         return _centroid_predict(with_blends(train), test).drop("fold").join(test.select("key", "fold"), "key")
 
-    return tidy(E.score(M.run_folds(rows, range(2), predict, ["key"])))
+    return tidy(E.score(M.run_folds(rows, range(5), predict, ["key"])))
 
 
 @query("udf_05")
@@ -139,7 +137,7 @@ def selector_function(spark, d):
         out = _centroid_predict(train.withColumn("vec", cut), test.withColumn("vec", cut))
         return out.drop("fold").join(test.select("key", "fold"), "key")
 
-    return M.run_folds(rows, range(2), predict, ["key"])
+    return M.run_folds(rows, range(5), predict, ["key"])
 
 
 @query("udf_06", "SELECT vec_id AS key, layer::INT AS layer, 4 AS n FROM embeddings, range(3) AS t(layer)")

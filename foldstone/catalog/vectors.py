@@ -1,26 +1,35 @@
 """Normalisation, stored layers, classifiers and diagnostics over vectors."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.hashing import hash32
 from ..operators import augment as G
 from ..operators import diagnose as D
 from ..operators import evaluate as E
+from ..operators import boosting as BO
 from ..operators import models as M
 from ..operators import series as R
+from ..operators import stacked as ST
 from ..operators import splits as S
 from ..operators import transfer as X
 from ..operators import uncertainty as U
 from ..operators import vectors as N
 from ..operators.cells import nearest_in_cells
 from ..config import DEFAULT_AUGMENTATIONS
+from ..vocab import ARMS, N_BOOT, WEIGHT_GRID
 from ..session import materialise
 from ..plans import merged as PM
 from ..plans import scoring as PS
 from .base import (
     OBS, PRED, VECS, docs, h, obs, pred, query, read, rounded, score_sql, snake_sql, tidy, vecs,
 )
-from .evaluation import N_BOOT, RESULTS, _boot_sql, results
+from .evaluation import RESULTS, _boot_sql, results
 from .profiling import SERIES, series
 from .storage import TENSOR, R6, tensor
 
@@ -137,26 +146,27 @@ def capped(spark, d):
     return report.crossJoin(kept.agg(F.count(F.lit(1)).alias("kept")))
 
 
-def _train_scaled(spark, d):
-    """Rows scaled by the statistics of the train side of fold 0, and that train side."""
-    rows = folded(spark, d)
-    scaled = N.apply_scaler(rows, N.fit_scaler(rows.where("fold <> 0"), "vec"), "vec")
-    return scaled, scaled.where("fold <> 0")
+def _projected(spark, d, fit, out):
+    """Every row on the axes of its fold's train side, scaled by that side's statistics."""
+    rows = materialise(folded(spark, d), "folded")
+
+    def one(f):
+        scaled = N.apply_scaler(rows, N.fit_scaler(rows.where(F.col("fold") != f), "vec"), "vec")
+        mean, axes, ratio = fit(scaled.where(F.col("fold") != f))
+        held = N.project(scaled.where(F.col("fold") == f), "vec", mean, axes, out)
+        return materialise(held.withColumn("ratio", F.array(*[F.lit(float(r)) for r in ratio])), "axes")
+
+    return _at_once(spark, one, range(K))
 
 
 @query("emb_07")
 def pca(spark, d):
-    """Axes of the train side, all rows projected on them."""
-    rows, train = _train_scaled(spark, d)
-    mean, axes, _ = N.fit_pca(train, "vec", 8)
-    return tidy(N.project(rows, "vec", mean, axes, "pcs").select("key", "label", "pcs"))
+    return tidy(_projected(spark, d, lambda train: N.fit_pca(train, "vec", 8), "pcs").select("key", "label", "pcs"))
 
 
 @query("emb_08")
 def lda(spark, d):
-    rows, train = _train_scaled(spark, d)
-    mean, axes = N.fit_lda(train, "vec", "label")
-    return tidy(N.project(rows, "vec", mean, axes, "ldas").select("key", "label", "ldas"))
+    return tidy(_projected(spark, d, lambda train: (*N.fit_lda(train, "vec", "label"), ()), "ldas").select("key", "label", "ldas"))
 
 
 # ----------------------------------------------------------- frame aggregates
@@ -250,33 +260,68 @@ def soft_vote(spark, d):
     return M.soft_vote(heads, "key", list(range(10)))
 
 
-def _every_fold(spark, d, predict):
-    """Predictions of every row by a model of the other folds, pooled."""
-    rows = materialise(folded(spark, d), "folded")
-    out = None
-    for f in range(K):
-        part = predict(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _at_once(spark, one, items, parallelism=5):
+    """Union of ``one(item)``, a stored table each, fitted at the same time."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(one), items))
 
 
 def _mllib(name, params):
+    """Predictions of every row by a model of the other folds, pooled; the folds are fitted at the same time."""
+
     def run(spark, d):
-        def predict(train, test):
-            return M.fit_predict(name, train, test, "vec", "label", "key", params=params).select("key", "y_true", "y_pred")
+        rows = materialise(folded(spark, d), "folded")
 
-        return _every_fold(spark, d, predict)
+        def one(f):
+            out = M.fit_predict(name, rows.where(F.col("fold") != f), rows.where(F.col("fold") == f), "vec", "label", "key", params=params)
+            return materialise(out.select("key", "y_true", "y_pred"), "oof")
+
+        return _at_once(spark, one, range(K))
+
+    return run
+
+
+query("mdl_04")(_mllib("random-forest", {}))
+query("mdl_07")(_mllib("adaboost", {}))
+query("mdl_09")(_mllib("mlp", {}))
+
+#: Default settings over all folds; each takes a folded table.
+WHOLE = {
+    "mdl_01": lambda rows: ST.stacked_oof(rows, "key", "vec", "label"),
+    "mdl_02": lambda rows: ST.stacked_oof(rows, "key", "vec", "label", loss="squared_hinge"),
+    "mdl_03": lambda rows: ST.rbf_oof(rows, "key", "vec", "label"),
+    "mdl_05": lambda rows: BO.boosted_oof(rows, "key", "vec", "label"),
+}
+
+
+def _whole(name):
+    def run(spark, d):
+        return WHOLE[name](materialise(folded(spark, d), "folded")).select("key", "y_true", "y_pred")
+
+    return run
+
+
+def _learns(name):
+    """The same run where the label follows from the vector: what must hold of any model that learns."""
+
+    def run(spark, d):
+        hint = (F.col("vec")[0] > 0).cast("int") * 2 + (F.col("vec")[1] > 0).cast("int")
+        rows = materialise(folded(spark, d).withColumn("label", hint), "folded")
+        out = materialise(WHOLE[name](rows).select("key", "y_true", "y_pred"), "oof")
+        most = out.groupBy("y_true").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"))
+        sums = out.agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.count_distinct("y_true").alias("n_labels"),
+            F.count_if(~F.col("y_pred").isin(0, 1, 2, 3)).alias("n_foreign"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("right"),
+        )
+        return sums.crossJoin(most).select("n", "n_keys", "n_labels", "n_foreign", (F.col("right") > F.col("c")).alias("beats_majority"))
 
     return run
 
 
-query("mdl_01")(_mllib("logistic-regression", {"max_iter": 30}))
-query("mdl_02")(_mllib("linear-svc", {"max_iter": 5}))
-query("mdl_03")(_mllib("svm-rbf", {"max_iter": 5, "width": 128}))
-query("mdl_04")(_mllib("random-forest", {"n_estimators": 20, "max_depth": 8}))
-query("mdl_05")(_mllib("xgboost", {"n_estimators": 2, "max_depth": 3}))
-query("mdl_07")(_mllib("adaboost", {"n_estimators": 6}))
-query("mdl_09")(_mllib("mlp", {"hidden": 32, "max_iter": 30}))
+_LEARNS = f"WITH {VECS} SELECT count(*) AS n, count(DISTINCT key) AS n_keys, count(DISTINCT (vec[1] > 0, vec[2] > 0)) AS n_labels, 0::BIGINT AS n_foreign, true AS beats_majority FROM vecs"
+for _name in WHOLE:
+    query(_name)(_whole(_name))
+    query(f"{_name}_learns", _LEARNS)(_learns(_name))
 
 
 @query("mdl_10")
@@ -307,19 +352,34 @@ def fold_runner(spark, d):
 
 @query("mdl_15")
 def hierarchical(spark, d):
-    def predict(train, test):
-        out = M.two_stage(train, test, "vec", "label", [0, 1, 2, 3, 4], "logistic-regression", {"max_iter": 15})
-        return out.select("key", "gate", "y_true", "y_pred")
-
-    return _every_fold(spark, d, predict)
+    rows = materialise(folded(spark, d), "folded")
+    return ST.two_stage_oof(rows, "key", "vec", "label", [0, 1, 2, 3, 4]).select("key", "gate", "y_true", "y_pred")
+
+
+@query("mdl_15_gate", f"""WITH {VECS} SELECT count(*) AS n, count(DISTINCT key) AS n_keys, 0::BIGINT AS left_branch, true AS high_gate FROM vecs""")
+def hierarchical_gate(spark, d):
+    """No prediction leaves the branch of its gate, and a gate that follows from the vector is learned."""
+    rows = materialise(folded(spark, d).withColumn("label", (F.col("vec")[0] > 0).cast("int") * 5 + F.pmod("label", F.lit(5))), "folded")
+    out = ST.two_stage_oof(rows, "key", "vec", "label", [5, 6, 7, 8, 9])
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"),
+        F.count_if((F.col("y_pred") >= 5) != (F.col("gate") == "high")).alias("left_branch"),
+        (F.avg(((F.col("y_true") >= 5) == (F.col("gate") == "high")).cast("double")) > 0.8).alias("high_gate"),
+    )
 
 
 @query("mdl_16")
 def frozen_head(spark, d):
-    def predict(train, test):
-        return M.warm_start_head(train, train, test, "vec", "label", True, hidden=16, max_iter=20).select("key", "y_true", "y_pred")
+    """A body from all sources, a head from the base source, for every fold."""
+    own, external = sourced_folds(spark, d)
+    own, external = materialise(own, "own"), materialise(external, "external")
 
-    return _every_fold(spark, d, predict)
+    def one(f):
+        train = own.where(F.col("fold") != f).drop("fold")
+        out = M.warm_start_head(train.unionByName(external), train, own.where(F.col("fold") == f).drop("fold"), "vec", "label", True)
+        return materialise(out.select("key", "y_true", "y_pred"), "head")
+
+    return _at_once(spark, one, range(K))
 
 
 # ------------------------------------------------------------------- transfer
@@ -344,17 +404,48 @@ def down_weights(spark, d):
     return tidy(X.weighted_train(docs(spark, d).select("key", "source"), "source", "src0", 0.05).select("key", "weight"))
 
 
+def inner_roles(own, external, k=K, n_inner=3):
+    """Base and external rows with one inner-fold column for each outer fold: -1 in the outer fold, -2 for external rows."""
+    rows = own
+    for f in range(k):
+        inner = S.with_group_fold(own.where(F.col("fold") != f).drop("fold").select("grp", "key"), "grp", n_inner, "snake")
+        rows = rows.join(inner.select("key", F.col("fold").alias(f"inner{f}")), "key", "left").withColumn(f"inner{f}", F.coalesce(f"inner{f}", F.lit(-1)))
+    for f in range(k):
+        external = external.withColumn(f"inner{f}", F.lit(-2))
+    return rows.unionByName(external.withColumn("fold", F.lit(-2)))
+
+
+def _weight_scores(spark, d, label=None):
+    own, external = sourced_folds(spark, d)
+    if label is not None:
+        own, external = own.withColumn("label", label), external.withColumn("label", label)
+    rows = materialise(inner_roles(own, external), "roles")
+    counts = materialise(ST.penalty_search(
+        rows, "key", "vec", "label", "fold", [f"inner{f}" for f in range(K)], (1.0,), 3, external=(0.0, *WEIGHT_GRID),
+    ), "counts")
+    marks = E.scores(counts, ["outer", "weight", "inner"]).select("outer", "weight", "inner", F.col("n").alias("n_held"), "macro_f1")
+    return marks.groupBy("outer", "weight").agg(F.sum("n_held").alias("n"), F.avg("macro_f1").alias("macro_f1"))
+
+
 @query("trf_02")
 def weight_search(spark, d):
-    own, external = sourced_folds(spark, d)
-    train = own.where("fold <> 0").drop("fold")
-    inner = S.with_group_fold(train, "grp", 3, "snake").withColumnRenamed("fold", "inner")
-    return X.pick_weight(inner, external, "vec", "label", "key", "inner", "logistic-regression", {"max_iter": 6}, (0.0, 1.0, 0.1))[1]
+    """All weights x inner folds x outer folds as one stack of models; the first best weight of an outer fold is chosen."""
+    table = _weight_scores(spark, d)
+    best = F.max_by("weight", F.struct(F.round("macro_f1", 12), F.col("weight") == 0, "weight")).over(Window.partitionBy("outer"))
+    return tidy(table.withColumn("chosen", F.col("weight") == best))
+
+
+@query("trf_02_learns", f"""WITH {SRC3}, w AS (SELECT unnest([{', '.join(f'{w}::DOUBLE' for w in (0.0, *WEIGHT_GRID))}]) AS weight)
+SELECT t.f::INT AS outer, weight, (SELECT count(*) FROM own JOIN gf USING (grp) WHERE fold <> t.f) AS n, true AS above_chance FROM range({K}) AS t(f), w""")
+def weight_search_learns(spark, d):
+    """Where the label follows from the vector: every candidate is scored on each train row once and learns."""
+    hint = (F.col("vec")[0] > 0).cast("int") * 2 + (F.col("vec")[1] > 0).cast("int")
+    return _weight_scores(spark, d, hint).select("outer", "weight", "n", (F.col("macro_f1") > 0.25).alias("above_chance"))
 
 
 @query("trf_03")
 def density(spark, d):
-    return tidy(X.importance_weights(sourced(spark, d), "source", "s0", "vec", 20).select("key", "source", "weight"))
+    return tidy(X.importance_weights(sourced(spark, d), "source", "s0", "vec").select("key", "source", "weight"))
 
 
 @query("trf_04")
@@ -400,7 +491,7 @@ def _near(cent: str, rows: str, on: str, name: str) -> str:
 
 
 _SWEEP = f"""{SRC3}, el AS (SELECT sv.key, sv.label, source, fold, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM sv LEFT JOIN gf ON gf.grp = sv.grp AND source = 's0'),
- cc AS (SELECT k.mask, t.f AS fold, label, p, avg(v) AS c FROM el, range(4) AS k(mask), range(2) AS t(f)
+ cc AS (SELECT k.mask, t.f AS fold, label, p, avg(v) AS c FROM el, range(4) AS k(mask), range({K}) AS t(f)
    WHERE (source = 's0' AND fold <> t.f) OR (source = 's1' AND mask & 1 = 1) OR (source = 's2' AND mask & 2 = 2) GROUP BY ALL),
  dd AS (SELECT c.mask, s.key, s.label AS y_true, c.label AS y_pred, sum((s.v - c.c) * (s.v - c.c)) AS d FROM el s JOIN cc c ON s.p = c.p AND s.fold = c.fold WHERE source = 's0' GROUP BY ALL),
  pp AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY mask, key ORDER BY d, y_pred) = 1),
@@ -416,28 +507,28 @@ def _centroid_predict(train, test):
 def sweep_scores(spark, d):
     own, external = sourced_folds(spark, d)
     rows = own.unionByName(external.withColumn("fold", F.lit(-1)))
-    out = X.sweep(rows, "source", "s0", ["s1", "s2"], range(2), _centroid_predict, ["key"])
+    out = X.sweep(rows, "source", "s0", ["s1", "s2"], range(K), _centroid_predict, ["key"])
     table = E.score(out, "subset").select("subset", "n", "accuracy", "macro_f1")
     return tidy(X.versus_control(table, "subset", "macro_f1", "(base only)").orderBy(F.desc("macro_f1")))
 
 
 @query("trf_07")
 def four_arms(spark, d):
+    """All arms on all folds, pooled."""
     own, external = sourced_folds(spark, d)
-    train, test = own.where("fold <> 0").drop("fold"), own.where("fold = 0").drop("fold")
-    everything = train.unionByName(external)
-    settings = {"hidden": 8, "max_iter": 10}
-    parts = {
-        "ravdess_only": M.fit_predict("mlp", train, test, "vec", "label", "key", params=settings),
-        "pooled": M.fit_predict("mlp", everything, test, "vec", "label", "key", params=settings),
-        "two_stage": M.warm_start_head(everything, train, test, "vec", "label", False, **settings),
-        "two_stage_frozen": M.warm_start_head(everything, train, test, "vec", "label", True, **settings),
-    }
-    out = None
-    for arm, part in parts.items():
-        rows = part.select(F.lit(arm).alias("arm"), "y_true", "y_pred")
-        out = rows if out is None else out.unionByName(rows)
-    return tidy(E.score(out, "arm"))
+    own, external = materialise(own, "own"), materialise(external, "external")
+
+    def one(cell):
+        arm, f = cell
+        train, test = own.where(F.col("fold") != f).drop("fold"), own.where(F.col("fold") == f).drop("fold")
+        everything = train.unionByName(external)
+        if arm in ("ravdess_only", "pooled"):
+            out = M.fit_predict("mlp", train if arm == "ravdess_only" else everything, test, "vec", "label", "key", params={"max_iter": 100})
+        else:
+            out = M.warm_start_head(everything, train, test, "vec", "label", arm == "two_stage_frozen")
+        return materialise(out.select(F.lit(arm).alias("arm"), "y_true", "y_pred"), "arm")
+
+    return tidy(E.score(_at_once(spark, one, [(arm, f) for arm in ARMS for f in range(K)]), "arm"))
 
 
 @query("trf_08")
@@ -466,7 +557,7 @@ def _candidates(spark, d):
 
 @query("trf_09_nested")
 def nested_cv(spark, d):
-    found = PS.nested_selection(_candidates(spark, d), "key", "vec", "label", "grp", n_boot=50)
+    found = PS.nested_selection(_candidates(spark, d), "key", "vec", "label", "grp", n_boot=N_BOOT)
     return tidy(found["optimism"].crossJoin(found["interval"]))
 
 
@@ -598,11 +689,8 @@ def squared_silhouettes(spark, d):
 
 @query("diag_05")
 def projection(spark, d):
-    rows, train = _train_scaled(spark, d)
-    mean, axes, ratio = N.fit_pca(train, "vec", 2)
-    out = N.project(rows, "vec", mean, axes, "pc")
-    return tidy(out.select("key", "label", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"),
-                           F.lit(float(ratio[0])).alias("ratio1"), F.lit(float(ratio[1])).alias("ratio2")))
+    out = _projected(spark, d, lambda train: N.fit_pca(train, "vec", 2), "pc")
+    return tidy(out.select("key", "label", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"), F.col("ratio")[0].alias("ratio1"), F.col("ratio")[1].alias("ratio2")))
 
 
 _INV = f"""{EL}, rf AS (SELECT el.*, gf.fold, {h("'half'", 'key')} % 2 = 0 AS half FROM el JOIN gf USING (grp)), te AS (SELECT * FROM rf WHERE NOT half),
@@ -641,9 +729,41 @@ def _layer(spark, d, layer):
     return S.with_group_fold(N.per_group_normalise(rows, "vec", "grp"), "grp", K, "snake")
 
 
-@query("diag_08")
+AXES = {"layer": [0, 1, 2, 3], "pooling": ["mean", "mean_std", "std"], "normalisation": ["none", "per_speaker"]}
+
+
+def _choice(spark, d):
+    stored = materialise(tensor(spark, d), "tensor")
+    about = materialise(S.with_group_fold(vecs(spark, d).select("key", "grp", "label"), "grp", K, "snake"), "folds")
+
+    def table_of(choice):
+        rows = N.select_layer(stored, "key", choice["layer"], choice["pooling"], 4).select("key", "vec").join(about, "key")
+        return N.per_group_normalise(rows, "vec", "grp") if choice["normalisation"] == "per_speaker" else rows
+
+    return table_of
+
+
+_AX = f"""{TENSOR}, gf AS ({snake_sql('vecs', 'grp', K)}), el AS (SELECT key, grp, label, layer, stat, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM tensor),
+ po AS (SELECT key, grp, label, layer, 'mean' AS pooling, p, v FROM el WHERE stat = 'mean' UNION ALL SELECT key, grp, label, layer, 'std', p, v FROM el WHERE stat = 'std'
+   UNION ALL SELECT key, grp, label, layer, 'mean_std', p + CASE WHEN stat = 'std' THEN 1000 ELSE 0 END, v FROM el),
+ co AS (SELECT key, grp, label, layer, pooling, 'none' AS normalisation, p, v FROM po UNION ALL
+   SELECT key, grp, label, layer, pooling, 'per_speaker', p, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8) FROM po WINDOW w AS (PARTITION BY layer, pooling, grp, p)),
+ cf AS (SELECT co.*, fold FROM co JOIN gf USING (grp)),
+ ce AS (SELECT layer, pooling, normalisation, t.f AS fold, label, p, avg(v) AS c FROM cf, range({K}) AS t(f) WHERE fold <> t.f GROUP BY ALL),
+ di AS (SELECT layer, pooling, normalisation, s.key, s.label AS y_true, c.label AS y_pred, sum((s.v - c.c) * (s.v - c.c)) AS d FROM cf s JOIN ce c USING (layer, pooling, normalisation, fold, p) GROUP BY ALL),
+ pr AS (SELECT * FROM di QUALIFY row_number() OVER (PARTITION BY layer, pooling, normalisation, key ORDER BY d, y_pred) = 1),
+ t AS (SELECT layer, pooling, normalisation, y_true, y_pred, count(*) AS n FROM pr GROUP BY ALL), sc AS ({score_sql('t', 'layer, pooling, normalisation')}),
+ o AS (SELECT *, list_position(['mean', 'mean_std', 'std'], pooling) AS po, list_position(['none', 'per_speaker'], normalisation) AS no, round(macro_f1, 12) AS m FROM sc),
+ s1 AS (SELECT *, row_number() OVER (ORDER BY m DESC, layer) = 1 AS chosen FROM o WHERE po = 1 AND no = 1),
+ s2 AS (SELECT *, row_number() OVER (ORDER BY m DESC, po) = 1 AS chosen FROM o WHERE layer = (SELECT layer FROM s1 WHERE chosen) AND no = 1),
+ s3 AS (SELECT *, row_number() OVER (ORDER BY m DESC, no) = 1 AS chosen FROM o WHERE layer = (SELECT layer FROM s1 WHERE chosen) AND po = (SELECT po FROM s2 WHERE chosen))"""
+
+
+@query("diag_08", rounded(f"""WITH {_AX} SELECT 0 AS step, 'layer' AS axis, layer::VARCHAR AS candidate, n, accuracy, macro_f1, chosen FROM s1
+ UNION ALL SELECT 1, 'pooling', pooling, n, accuracy, macro_f1, chosen FROM s2 UNION ALL SELECT 2, 'normalisation', normalisation, n, accuracy, macro_f1, chosen FROM s3""", "accuracy", "macro_f1"))
 def layer_curve(spark, d):
-    return tidy(D.axis_curve([(f"L{l}", _layer(spark, d, l)) for l in (0, 2)], "key", "vec", "label"))
+    """Every layer, then every pooling of the best one, then normalisation."""
+    return tidy(D.axis_search(AXES, _choice(spark, d), "key", "vec", "label"))
 
 
 @query("diag_09")
@@ -666,12 +786,10 @@ def drift(spark, d):
 
 @query("diag_11")
 def encoders(spark, d):
-    a, b = _layer(spark, d, 0), S.with_group_fold(vecs(spark, d), "grp", K, "snake")
-    out = None
-    for name, rows in (("encoder_a", a), ("encoder_b", b)):
-        part = M.nearest_centroid_oof(rows, "key", "vec", "label").select(F.lit(name).alias("config"), "grp", "y_true", "y_pred")
-        out = part if out is None else out.unionByName(part)
-    return tidy(U.paired_comparisons(out, "grp", "config", "encoder_a", n_boot=100))
+    """Two encoders at their best layers, tested on shared draws, and how well each tells groups apart."""
+    raw = materialise(S.with_group_fold(vecs(spark, d), "grp", K, "snake"), "folded")
+    halves = [(f"L{i}", raw.withColumn("vec", F.slice("vec", 1 + 16 * i, 16))) for i in range(4)]
+    return tidy(D.encoder_comparison({"encoder_a": [(f"L{l}", _layer(spark, d, l)) for l in range(4)], "encoder_b": halves}, "encoder_a", "key", "vec", "label", "grp"))
 
 
 def lever_tables(train, test):
@@ -701,7 +819,7 @@ def levers(spark, d):
             groups = test.select("key", "grp")
             part = _centroid_predict(train, test).join(groups, "key").select(F.lit(name).alias("config"), "grp", "y_true", "y_pred")
             out = part if out is None else out.unionByName(part)
-    return tidy(U.paired_comparisons(materialise(out, "levers"), "grp", "config", "baseline", n_boot=100))
+    return tidy(U.paired_comparisons(materialise(out, "levers"), "grp", "config", "baseline", n_boot=N_BOOT))
 
 
 @query("merged_read")

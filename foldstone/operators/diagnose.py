@@ -7,14 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..vocab import GROUP_EPS, N_SPLITS, SEED
+from ..session import materialise
+from ..vocab import GROUP_EPS, N_BOOT, N_SPLITS, SEED
 from .evaluate import score, scores, slice_levels, tally
 from .models import nearest_centroid_oof
 from .neighbors import silhouette, squared_silhouette
 from .profile import value_shares
 from .ranking import attach
 from .splits import attribute_holdout_disjoint, stratified_folds, with_group_fold
-from .uncertainty import cluster_bootstrap
+from .uncertainty import cluster_bootstrap, paired_comparisons
 from .vectors import apply_scaler, fit_scaler, per_group_normalise
 
 Oof = Callable[..., DataFrame]
@@ -138,6 +139,61 @@ def axis_curve(
     return scores(tally(out, ["ordinal", "candidate"]), ["ordinal", "candidate"])
 
 
+def axis_search(
+    axes: dict[str, Sequence], table_of: Callable[[dict], DataFrame], key: str, vec: str, label: str, oof: Oof = nearest_centroid_oof
+) -> DataFrame:
+    """(step, axis, candidate, n, accuracy, macro_f1, chosen): the best value of one axis after another.
+
+    All candidates of an axis are scored in one job, with the axes before it
+    at their best and those after it at their first value; ties go to the
+    first declared. ``table_of(choice)`` is the folded table of a choice.
+    """
+    spark = None
+    choice = {axis: values[0] for axis, values in axes.items()}
+    out = None
+    for step, (axis, values) in enumerate(axes.items()):
+        tables = [(str(v), table_of({**choice, axis: v})) for v in values]
+        spark = tables[0][1].sparkSession
+        curve = materialise(axis_curve(tables, key, vec, label, oof).select("ordinal", "candidate", "n", "accuracy", "macro_f1"), "axis")
+        marks = {r["ordinal"]: round(r["macro_f1"], 12) for r in curve.select("ordinal", "macro_f1").collect()}  # one row a candidate
+        best = max(sorted(marks), key=lambda i: marks[i])
+        choice[axis] = values[best]
+        part = curve.select(
+            F.lit(step).alias("step"), F.lit(axis).alias("axis"), "candidate", "n", "accuracy", "macro_f1", (F.col("ordinal") == best).alias("chosen")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def encoder_comparison(
+    encoders: dict[str, Sequence[tuple[str, DataFrame]]], control: str, key: str, vec: str, label: str, group: str, n_boot: int = N_BOOT,
+    oof: Oof = nearest_centroid_oof,
+) -> DataFrame:
+    """(encoder, layer, point, delta, lo, hi, p_value, identity): each encoder at its best layer against ``control`` at its own.
+
+    ``encoders`` maps a name to its folded layer tables. The best layer has the
+    largest pooled macro-F1, the first of equal ones; the difference is tested
+    on shared draws of groups; ``identity`` is how well groups can be told
+    from the chosen layer.
+    """
+    best, long, leaks = [], None, None
+    for name, layers in encoders.items():
+        stored = [(layer, materialise(rows, "layer")) for layer, rows in layers]
+        curve = axis_curve(stored, key, vec, label, oof).select("ordinal", "macro_f1").collect()
+        at = max(sorted((r["ordinal"], round(r["macro_f1"], 12)) for r in curve), key=lambda r: (r[1], -r[0]))[0]
+        rows = stored[at][1]
+        best.append((name, stored[at][0]))
+        part = oof(rows, key, vec, label).select(F.lit(name).alias("encoder"), group, "y_true", "y_pred")
+        long = part if long is None else long.unionByName(part)
+        probe = identity_probe(rows.drop("fold"), key, vec, group).where("space = 'raw'").select(F.lit(name).alias("encoder"), F.col("accuracy").alias("identity"))
+        leaks = probe if leaks is None else leaks.unionByName(probe)
+    long = materialise(long, "encoders")
+    chosen = leaks.sparkSession.createDataFrame(best, "encoder string, layer string").join(leaks, "encoder")
+    tested = paired_comparisons(long, group, "encoder", control, n_boot=n_boot).drop("significant")
+    base = score(long.where(F.col("encoder") == control)).select(F.lit(control).alias("encoder"), F.col("macro_f1").alias("point"))
+    return chosen.join(tested.unionByName(base, allowMissingColumns=True), "encoder")
+
+
 def drift_check(found: DataFrame, committed: DataFrame, key, metric: str, tolerance: float = 1e-6) -> DataFrame:
     """Reproduction of control cells before anything else is read."""
     old = committed.withColumnRenamed(metric, "_committed")
