@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import arrays as A
 from ..functions.hashing import hash32
 from ..operators import augment as G
 from ..operators import diagnose as D
@@ -114,7 +115,14 @@ def encoded(spark, d):
 SELECT key, layer, 'mean' AS stat, list(round(m, 6) + 0e0 ORDER BY q) AS vec FROM s GROUP BY ALL
 UNION ALL SELECT key, layer, 'std', list(round(sd, 6) + 0e0 ORDER BY q) FROM s GROUP BY ALL""")
 def encode(spark, d):
-    return tidy(N.pool_frames(encoded(spark, d), "key"))
+    """Batch inference: the encoder is loaded once a worker."""
+
+    def load():
+        import numpy as np
+
+        return lambda x: np.stack([x.reshape(len(x), -1, 16) * (l + 1) for l in range(3)], axis=1)
+
+    return tidy(N.pool_frames(N.encode_batches(vecs(spark, d), load, "key", "vec", 64, (3, 4, 16)), "key"))
 
 
 @query("emb_02", f"WITH {SERIES} SELECT key, grp, frame_idx FROM series WHERE frame_idx < grp % 50 + 20")
@@ -282,7 +290,6 @@ def _mllib(name, params):
 
 
 query("mdl_04")(_mllib("random-forest", {}))
-query("mdl_07")(_mllib("adaboost", {}))
 query("mdl_09")(_mllib("mlp", {}))
 
 #: Default settings over all folds; each takes a folded table.
@@ -291,6 +298,7 @@ WHOLE = {
     "mdl_02": lambda rows: ST.stacked_oof(rows, "key", "vec", "label", loss="squared_hinge"),
     "mdl_03": lambda rows: ST.rbf_oof(rows, "key", "vec", "label"),
     "mdl_05": lambda rows: BO.boosted_oof(rows, "key", "vec", "label"),
+    "mdl_07": lambda rows: BO.stumps_oof(rows, "key", "vec", "label"),
 }
 
 
@@ -792,34 +800,62 @@ def encoders(spark, d):
     return tidy(D.encoder_comparison({"encoder_a": [(f"L{l}", _layer(spark, d, l)) for l in range(4)], "encoder_b": halves}, "encoder_a", "key", "vec", "label", "grp"))
 
 
-def lever_tables(train, test):
-    """name -> (train, test) of each lever; scaler and axes see the train rows only."""
-    scaler = N.fit_scaler(train, "vec")
-    small, large = N.apply_scaler(train, scaler, "vec"), N.apply_scaler(test, scaler, "vec")
-    mean, axes, _ = N.fit_pca(small, "vec", 16)
-    lmean, laxes = N.fit_lda(small, "vec", "label")
+def lever_predictions(spark, d):
+    """(config, grp, y_true, y_pred) of a logistic head and of each lever on it; scaler and axes see train rows only."""
+    own = materialise(folded(spark, d), "folded")
+    none = own.limit(0).drop("fold")
+    roles = materialise(inner_roles(own, none), "roles")
+    wide = own.withColumn("vec", F.concat("vec", F.transform("vec", lambda x: 2 * x + 0.5)))
+    fused = own.withColumn("vec", F.concat("vec", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: A.std_pop(F.slice("vec", i * 16 + 1, F.lit(16))))))
 
-    def doubled(rows):
-        return rows.withColumn("vec", F.concat("vec", F.transform("vec", lambda x: x * x)))
-
-    return {
-        "baseline": (train, test),
-        "pca": tuple(N.project(x, "vec", mean, axes, "vec") for x in (small, large)),
-        "lda": tuple(N.project(x, "vec", lmean, laxes, "vec") for x in (small, large)),
-        "fusion": (doubled(train), doubled(test)),
+    def on_axes(fit):
+        def one(f):
+            scaled = N.apply_scaler(own, N.fit_scaler(own.where(F.col("fold") != f), "vec"), "vec")
+            mean, axes = fit(scaled.where(F.col("fold") != f))
+            # one model a fold: the other folds train, this one is held out
+            rows = materialise(N.project(scaled, "vec", mean, axes, "vec"), "axes")
+            stack = ST.fit_stack(rows, "vec", "label", ["fold"], [s for s in ST.fold_specs(range(K)) if s.name[1] == f])
+            return stack.predict(rows, "key", "vec", ["fold"], {0: [f]}).join(own.select("key", "grp", F.col("label").alias("y_true")), "key")
+
+        return lambda: _at_once(spark, one, range(K))
+
+    oof = lambda run, rows, *more: lambda: run(rows, "key", "vec", "label", *more)
+    levers = {
+        "baseline": oof(ST.stacked_oof, own),
+        "regularisation": oof(ST.tuned_oof, roles, [f"inner{f}" for f in range(K)]),
+        "pca": on_axes(lambda train: N.fit_pca(train, "vec", 16)[:2]),
+        "lda": on_axes(lambda train: N.fit_lda(train, "vec", "label")),
+        "concat": oof(ST.stacked_oof, wide),
+        "fusion": oof(ST.stacked_oof, fused),
+        "balanced": oof(ST.balanced_oof, own),
     }
+    return _at_once(spark, lambda name: materialise(levers[name]().select(F.lit(name).alias("config"), "grp", "y_true", "y_pred"), "lever"), levers)
 
 
 @query("diag_12")
 def levers(spark, d):
-    rows = materialise(folded(spark, d), "folded")
-    out = None
-    for f in range(K):
-        for name, (train, test) in lever_tables(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)).items():
-            groups = test.select("key", "grp")
-            part = _centroid_predict(train, test).join(groups, "key").select(F.lit(name).alias("config"), "grp", "y_true", "y_pred")
-            out = part if out is None else out.unionByName(part)
-    return tidy(U.paired_comparisons(materialise(out, "levers"), "grp", "config", "baseline", n_boot=N_BOOT))
+    """All six levers against the baseline, on shared draws."""
+    return tidy(U.paired_comparisons(lever_predictions(spark, d), "grp", "config", "baseline"))
+
+
+@query("trf_05_scores", rounded(f"""WITH {SRC3}, el AS (SELECT sv.key, sv.label, source, fold, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM sv LEFT JOIN gf ON gf.grp = sv.grp AND source = 's0'),
+ st AS (SELECT t.f AS fold, p, avg(v) AS m, stddev_pop(v) AS s FROM el, range({K}) AS t(f) WHERE source <> 's0' OR el.fold <> t.f GROUP BY ALL),
+ sc AS (SELECT key, label, el.fold AS own, st.fold AS fold, el.p, (v - m) / s AS v FROM el JOIN st USING (p) WHERE source = 's0'),
+ ce AS (SELECT fold, label, p, avg(v) AS c FROM sc WHERE own <> fold GROUP BY ALL),
+ di AS (SELECT s.key, s.label AS y_true, c.label AS y_pred, sum((s.v - c.c) * (s.v - c.c)) AS d FROM sc s JOIN ce c USING (fold, p) WHERE own = fold GROUP BY ALL),
+ oof AS (SELECT y_true, y_pred FROM di QUALIFY row_number() OVER (PARTITION BY key ORDER BY d, y_pred) = 1), {T} {score_sql('t')}""", *SCORES))
+def scaler_only_scores(spark, d):
+    """Scaler from base and external rows, centroids from base rows alone."""
+    own, external = sourced_folds(spark, d)
+    own = materialise(own, "own")
+
+    def one(f):
+        train = own.where(F.col("fold") != f)
+        scaler = N.fit_scaler(train.select("vec").unionByName(external.select("vec")), "vec")
+        out = _centroid_predict(N.apply_scaler(train, scaler, "vec"), N.apply_scaler(own.where(F.col("fold") == f), scaler, "vec"))
+        return materialise(out.select("y_true", "y_pred"), "oof")
+
+    return tidy(E.score(_at_once(spark, one, range(K))))
 
 
 @query("merged_read")

@@ -33,6 +33,8 @@ from .evaluate import PRED, TRUE
 
 BINS = 32
 BLOCK_ROWS = 1024
+#: Rows of a task at least, where there are as many.
+TASK_ROWS = 8192
 #: Rounds between stored scores.
 STORED = 10
 #: Relative error of the quantile sketches, in bins.
@@ -76,8 +78,11 @@ def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1).astype(np.uint8) if len(edges) else np.zeros((len(x), 0), np.uint8)
 
 
-def _blocks(df: DataFrame, vec: str, label: str, fold: str, edges: np.ndarray, labels: list, folds: list, prior: np.ndarray) -> DataFrame:
-    """(x, y, z): binned features, (label, fold) numbers and (row, fold, class) scores of packed rows; stored."""
+def _blocks(df: DataFrame, vec: str, label: str, fold: str, edges: np.ndarray, labels: list, folds: list, prior: np.ndarray, n: int) -> DataFrame:
+    """(x, y, z): binned features, (label, fold) numbers and (row, fold, class) scores of packed rows; stored.
+
+    A task holds some thousand rows at least: what it returns does not depend on its rows.
+    """
     code, place = {v: i for i, v in enumerate(labels)}, {f: i for i, f in enumerate(folds)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +94,8 @@ def _blocks(df: DataFrame, vec: str, label: str, fold: str, edges: np.ndarray, l
                 yield pd.DataFrame({"x": [_binned(np.stack(some["v"].to_numpy()), edges).tobytes()], "y": [y.tobytes()], "z": [z.tobytes()]})
 
     rows = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("y"), F.col(fold).alias("f"))
-    return materialise(rows.mapInPandas(run, "x binary, y binary, z binary"), "boost")
+    tasks = min(rows.rdd.getNumPartitions(), max(1, -(-n // TASK_ROWS)))
+    return materialise(rows.coalesce(tasks).mapInPandas(run, "x binary, y binary, z binary"), "boost")
 
 
 class _Sums:
@@ -118,7 +124,7 @@ class _Sums:
 
 
 def _added(df: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of the arrays that ``run(frame)`` yields, added in a tree."""
+    """The sum of the arrays that ``run(frame)`` yields, added in a tree; partial sums travel as single floats."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -126,33 +132,37 @@ def _added(df: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
             for out in run(part):
                 total = out if total is None else total + out
         if total is not None:
-            yield pd.DataFrame({"s": [total.astype(np.float64).tobytes()]})
+            yield pd.DataFrame({"s": [total.astype(np.float32).tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for part in batches:
             for s in part["s"]:
-                total = np.frombuffer(s) if total is None else total + np.frombuffer(s)
+                one = np.frombuffer(s, np.float32).astype(float)
+                total = one if total is None else total + one
         if total is not None:
-            yield pd.DataFrame({"s": [total.tobytes()]})
+            yield pd.DataFrame({"s": [total.astype(np.float32).tobytes()]})
 
     sums, left = df.mapInPandas(partial, "s binary"), df.rdd.getNumPartitions()
     while left > 16:
         left = int(np.ceil(np.sqrt(left)))
         sums = sums.repartition(left).mapInPandas(add, "s binary")
     rows = sums.collect()
-    return np.sum([np.frombuffer(r["s"]) for r in rows], axis=0).reshape(shape) if rows else np.zeros(shape)
+    return np.sum([np.frombuffer(r["s"], np.float32).astype(float) for r in rows], axis=0).reshape(shape) if rows else np.zeros(shape)
 
 
 def _splits(hist: np.ndarray, ridge: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, cut) of each (fold, node) from (fold, node, feature, bin, class + 1) sums; the last entry is the weight."""
-    left = hist.cumsum(3)
-    whole = left[:, :, :, -1:, :]
-    right = whole - left
-    gain = lambda s: (s[..., :-1] ** 2).sum(-1) / (s[..., -1] + ridge)
-    score = gain(left) + gain(right) - gain(whole)
-    score[(left[..., -1] < least) | (right[..., -1] < least)] = 0.0
-    flat = score[:, :, :, :-1].reshape(*score.shape[:2], -1)
+    """(feature, cut) of each (fold, node) from (fold, class + 1, node, feature, bin) sums; the last of the classes is the weight."""
+    left = hist.cumsum(4)
+    g, h = left[:, :-1], left[:, -1]
+    whole, weight = g[..., -1], h[..., -1:]
+    # squares of the right side from those of the left: no array of its sums is made
+    ll = np.einsum("fcndb,fcndb->fndb", g, g)
+    ww = np.einsum("fcnd,fcnd->fnd", whole, whole)[..., None]
+    rr = ww - 2 * np.einsum("fcndb,fcnd->fndb", g, whole) + ll
+    score = ll / (h + ridge) + rr / (weight - h + ridge) - ww / (weight + ridge)
+    score[(h < least) | (weight - h < least)] = 0.0
+    flat = score[..., :-1].reshape(*score.shape[:2], -1)
     best = flat.argmax(2)
     cuts = score.shape[3] - 1
     good = np.take_along_axis(flat, best[..., None], 2)[..., 0] > 1e-9
@@ -169,10 +179,16 @@ class Boosted:
     folds: list
     prior: np.ndarray
     rate: float
+    votes: list[np.ndarray] = ()  # of stumps: the weight of each fold's vote
 
     def scores(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
         """(row, class) scores of vectors by the models of the numbered folds."""
         x = _binned(x, self.edges)
+        if len(self.votes):
+            z = np.zeros((len(x), len(self.labels)))
+            for tree, vote in zip(self.rounds, self.votes):
+                z[np.arange(len(x)), tree.leaf[fold, tree.node(x, fold)]] += vote[fold]
+            return z
         z = self.prior[fold].copy()
         for tree in self.rounds:
             z += self.rate * tree.leaf[fold, tree.node(x, fold)]
@@ -195,7 +211,10 @@ class Boosted:
 def boost(
     df: DataFrame, vec: str, label: str, fold: str, rounds: int = 100, depth: int = 6, rate: float = 0.3, ridge: float = 1.0, least: float = 1.0, bins: int = BINS,
 ) -> Boosted:
-    """Models of all folds, each trained on the rows of the others."""
+    """Models of all folds, each trained on the rows of the others.
+
+    ``least``: second derivatives of a child, the mean over classes.
+    """
     df = df.select(vec, label, fold)
     labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
@@ -207,16 +226,16 @@ def boost(
     for r in df.groupBy(fold, label).count().where(F.col(label).isNotNull()).collect():
         counts[[f != r[fold] for f in folds], labels.index(r[label])] += r["count"]
     prior = np.log((counts + 1e-3) / (counts + 1e-3).sum(1, keepdims=True))
-    table, sums = _blocks(df, vec, label, fold, edges, labels, folds, prior), _Sums(n_f, k, rate)
+    table, sums = _blocks(df, vec, label, fold, edges, labels, folds, prior, int(counts.sum())), _Sums(n_f, k, rate)
     model = Boosted([], edges, labels, folds, prior, rate)
     recent: list[Trees] = []
     for turn in range(rounds):
         tree = Trees([], [])
         for level in range(depth):
-            shape = (n_f, 2**level, d, bins, k + 1)
+            shape = (n_f, k + 1, 2**level, d, bins)
 
             def histograms(part, tree=tree, recent=tuple(recent), shape=shape):
-                out = np.zeros(shape)
+                out = np.zeros((n_f, k + 1, shape[2] * d * bins))
                 cell = np.arange(d)[None, :] * bins
                 for x, y, fold_, z in sums.rows(part, recent):
                     for f in range(n_f):
@@ -224,10 +243,10 @@ def boost(
                         node = tree.node(x[own], np.full(len(own), f))
                         at = (node[:, None] * d * bins + cell + x[own]).ravel()
                         for c, value in enumerate([*g.T, h.sum(1)]):
-                            out[f].reshape(-1, k + 1)[:, c] += np.bincount(at, np.repeat(value, d), minlength=shape[1] * d * bins)
+                            out[f, c] += np.bincount(at, np.repeat(value, d), minlength=shape[2] * d * bins)
                 yield out
 
-            feature, cut = _splits(_added(table, histograms, shape), ridge, least)
+            feature, cut = _splits(_added(table, histograms, shape), ridge, least * k)
             tree.feature.append(feature)
             tree.cut.append(cut)
             if (feature < 0).all():
@@ -254,7 +273,7 @@ def boost(
     return model
 
 
-def _stored(table: DataFrame, sums: _Sums, recent: list[Trees]) -> DataFrame:
+def _stored(table: DataFrame, sums: _Sums | _Weights, recent: list) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             z = [s.astype(np.float32).tobytes() for *_, s in sums.rows(part, recent)]
@@ -263,6 +282,93 @@ def _stored(table: DataFrame, sums: _Sums, recent: list[Trees]) -> DataFrame:
     return materialise(table.mapInPandas(run, "x binary, y binary, z binary"), "boost")
 
 
+def boost_stumps(df: DataFrame, vec: str, label: str, fold: str, rounds: int = 50, rate: float = 1.0, bins: int = BINS) -> Boosted:
+    """SAMME over trees of one split, all folds at once: one pass a round.
+
+    The histograms hold the class weights of the train rows, so the split with
+    the least Gini impurity, the leaves' classes and the weighted error follow
+    from them. A fold stops when a stump is perfect or no better than chance.
+    """
+    df = df.select(vec, label, fold)
+    labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    if not labels:
+        raise ValueError("no labelled rows")
+    edges = bin_edges(df, vec, bins)
+    n_f, k, d = len(folds), len(labels), len(edges)
+    n = df.where(F.col(label).isNotNull()).count()
+    table = _blocks(df, vec, label, fold, edges, labels, folds, np.zeros((n_f, 1)), n)
+    model = Boosted([], edges, labels, folds, np.zeros((n_f, k)), rate, [])
+    weights = _Weights(n_f)
+    recent: list[tuple[Trees, np.ndarray, np.ndarray]] = []
+    going = np.ones(n_f, bool)
+    for turn in range(rounds):
+        shape = (n_f, k + 1, 1, d, bins)
+
+        def histograms(part, recent=tuple(recent)):
+            out = np.zeros(shape)
+            cell = np.arange(d)[None, :] * bins
+            for x, y, fold_, z in weights.rows(part, recent):
+                for f in range(n_f):
+                    own = np.flatnonzero(fold_ != f)
+                    w, at = np.exp(z[own, f]), cell + x[own]
+                    for c in range(k):
+                        mine = y[own] == c
+                        out[f, c, 0] += np.bincount(at[mine].ravel(), np.repeat(w[mine], d), minlength=d * bins).reshape(d, bins)
+            out[:, k] = out[:, :k].sum(1)
+            yield out
+
+        hist = _added(table, histograms, shape)
+        feature, cut = _splits(hist, 1e-12, 1e-12)
+        leaf, alpha, whole = np.zeros((n_f, 2), np.int64), np.zeros(n_f), np.ones(n_f)
+        for f in np.flatnonzero(going):
+            classes = hist[f, :k, 0, max(feature[f, 0], 0)].T
+            sides = np.stack([classes[: cut[f, 0] + 1].sum(0), classes[cut[f, 0] + 1:].sum(0)]) if feature[f, 0] >= 0 else np.stack([classes.sum(0)] * 2)
+            leaf[f] = sides.argmax(1)
+            whole[f] = classes.sum() or 1.0
+            error = 1.0 - (sides.max(1).sum() if feature[f, 0] >= 0 else sides[0].max()) / whole[f]
+            if error <= 1e-12:
+                alpha[f], going[f] = 1.0, False
+            elif error >= 1 - 1 / k:
+                going[f] = False
+            else:
+                alpha[f] = rate * (np.log((1 - error) / error) + np.log(k - 1))
+        if turn == 0:
+            alpha[alpha == 0] = 1e-9  # a fold without a useful stump still has its first one's classes
+        stump = Trees([feature], [cut], leaf)
+        model.rounds.append(stump)
+        model.votes.append(alpha)
+        if not going.any():
+            break
+        recent.append((stump, alpha, np.log(whole)))
+        if len(recent) == STORED and turn + 1 < rounds:
+            table, recent = _stored(table, weights, recent), []
+    return model
+
+
+class _Weights:
+    """Logarithms of row weights by fold, in the place of scores."""
+
+    def __init__(self, n_folds: int):
+        self.f = n_folds
+
+    def rows(self, part: pd.DataFrame, recent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for xb, yb, zb in zip(part["x"], part["y"], part["z"]):
+            y = np.frombuffer(yb, np.int32).reshape(-1, 2)
+            x = np.frombuffer(xb, np.uint8).reshape(len(y), -1)
+            z = np.frombuffer(zb, np.float32).reshape(len(y), self.f).astype(float)
+            for stump, alpha, whole in recent:
+                for f in range(self.f):
+                    miss = stump.leaf[f, stump.node(x, np.full(len(x), f))] != y[:, 0]
+                    z[:, f] += alpha[f] * miss - whole[f]
+            yield x, y[:, 0], y[:, 1], z
+
+
+def stumps_oof(df: DataFrame, key: str, vec: str, label: str, fold: str = "fold", **settings) -> DataFrame:
+    """``df`` with y_true and y_pred by :func:`boost_stumps` of the other folds."""
+    return boost_stumps(df, vec, label, fold, **settings).predict(df, vec, fold).withColumn(TRUE, F.col(label))
+
+
 def boosted_oof(df: DataFrame, key: str, vec: str, label: str, fold: str = "fold", **settings) -> DataFrame:
     """``df`` with y_true and y_pred, every row by the model of the other folds."""
     return boost(df, vec, label, fold, **settings).predict(df, vec, fold).withColumn(TRUE, F.col(label))

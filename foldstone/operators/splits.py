@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from ..vocab import ARMS, MERGED_PROTOCOLS, N_SPLITS, PROTOCOLS, SEED
-from .ranking import _cols, attach, hash_rank, size_rank, vocabulary
+from .ranking import _cols, attach, hash_rank, ordered_rank, size_rank, vocabulary
 
 
 def _sizes(df: DataFrame, group: str, by=()) -> DataFrame:
@@ -29,22 +31,61 @@ def snake_folds(df: DataFrame, group: str, k: int = N_SPLITS, by=()) -> DataFram
     )
 
 
+def _below(loads, size: int, value):
+    """Groups of one size that greedy dealing gives to folds while their load is below ``value``."""
+    return sum(max(0, -(-(value - load) // size)) for load in loads)
+
+
+def _water_level(loads: list[int], size: int, m: int) -> list[int]:
+    """Loads after ``m`` groups of one size were each given to the lightest fold, the first of equal ones."""
+    lo, hi = min(loads), max(loads) + size * (m + 1)
+    while hi - lo > 1:  # the largest load at which no more than m groups are gone
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if _below(loads, size, mid) <= m else (lo, mid)
+    after = [load + size * max(0, -(-(lo - load) // size)) for load in loads]
+    left = m - _below(loads, size, lo)
+    for i, load in enumerate(after):
+        if left and load == lo:
+            after[i], left = load + size, left - 1
+    return after
+
+
 def greedy_folds(df: DataFrame, group: str, k: int = N_SPLITS) -> DataFrame:
     """(group, fold): largest group first, each to the lightest fold so far.
 
-    The list of groups and sizes goes through the driver; :func:`snake_folds`
-    does without.
+    Groups of one size are alike: the n-th of them goes where the n-th least of
+    the loads ``L_i + t * size`` is. So only the distinct sizes, of which a
+    table of N rows has less than sqrt(2 N), are walked through in order; every
+    group then finds its fold from its place within its size.
     """
-    listed = _sizes(df, group).orderBy(F.desc("n"), group).collect()
-    if len(listed) < k:
-        raise ValueError(f"{len(listed)} groups cannot fill {k} folds")
-    loads, rows = [0] * k, []
-    for row in listed:
-        fold = loads.index(min(loads))
-        loads[fold] += row["n"]
-        rows.append((row[group], fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{group} {kind}, fold int")
+    sizes = settle(_sizes(df, group).where(F.col(group).isNotNull()))
+    listed = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
+    if (total := sum(r["m"] for r in listed)) < k:
+        raise ValueError(f"{total} groups cannot fill {k} folds")
+    loads, starts = [0] * k, []
+    for r in listed:
+        starts.append((r["n"], list(loads)))
+        loads = _water_level(loads, r["n"], r["m"])
+    table = df.sparkSession.createDataFrame(starts, "n bigint, _loads array<bigint>")
+
+    @F.pandas_udf("int")
+    def place(loads: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
+        if not len(loads):
+            return pd.Series([], dtype="int32")
+        at, s, j = np.stack(loads.to_numpy()), size.to_numpy()[:, None], rank.to_numpy() - 1
+        gone = lambda v: np.maximum(0, -(-(v[:, None] - at) // s)).sum(1)
+        lo, hi = at.min(1), at.max(1) + s[:, 0] * (j + 2)
+        while (hi - lo > 1).any():
+            mid = (lo + hi) // 2
+            ok = gone(mid) <= j
+            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+        # the folds whose next group comes at this load, in their order
+        level = lo[:, None]
+        now = (level >= at) & ((level - at) % s == 0)
+        return pd.Series((np.cumsum(now, 1) <= (j - gone(lo))[:, None]).sum(1).astype(np.int32))
+
+    ranked = ordered_rank(sizes, "n", [group], out="_rank").join(table, "n")
+    return ranked.select(group, place("_loads", "n", "_rank").alias("fold"))
 
 
 def group_folds(df: DataFrame, group: str, k: int = N_SPLITS, method: str = "snake") -> DataFrame:

@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..vocab import SEED
-from .evaluate import PRED, TRUE
+from .evaluate import PRED, TRUE, scores
 from .vectors import apply_scaler, fit_scaler
 
 #: Rows of a packed block.
 BLOCK_ROWS = 2048
+#: Rows of a task at least, where there are as many.
+TASK_ROWS = 8192
 #: Bytes of stacked coefficients at once; more models are solved in turns.
 STACK_BYTES = 64 << 20
 MEMORY = 8
@@ -117,7 +119,9 @@ def _pack(df: DataFrame, vec: str, label: str, roles: Sequence[str], labels: lis
     rows = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(
         F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("y"), F.array(*[F.coalesce(F.col(r).cast("int"), F.lit(-1)) for r in roles]).alias("r")
     )
-    return rows.mapInPandas(run, "x binary, y binary")
+    # a task holds some thousand rows at least: what it returns does not depend on its rows
+    tasks = min(rows.rdd.getNumPartitions(), max(1, -(-df.count() // TASK_ROWS)))
+    return rows.coalesce(tasks).mapInPandas(run, "x binary, y binary")
 
 
 class _Pass:
@@ -353,6 +357,45 @@ def stacked_oof(
     return df.withColumn(TRUE, F.col(label)).join(found, key)
 
 
+def balanced_oof(
+    df: DataFrame, key: str, vec: str, label: str, fold: str = "fold", loss: str = "logistic", c: float = 1.0, max_iter: int = 2000, tol: float = 1e-5,
+) -> DataFrame:
+    """:func:`stacked_oof` with balanced class weights: n / (classes x rows of the class), by each model's own train rows."""
+    sizes = df.where(F.col(label).isNotNull()).groupBy(F.col(fold).cast("int").alias("f"), F.col(label).alias("l")).count().collect()  # folds x classes
+    folds, labels = sorted({r["f"] for r in sizes}), sorted({r["l"] for r in sizes})
+    n = {(r["f"], r["l"]): r["count"] for r in sizes}
+    specs = []
+    for f in folds:
+        rows = {lab: sum(n.get((g, lab), 0) for g in folds if g != f) for lab in labels}
+        whole, k = sum(rows.values()), sum(x > 0 for x in rows.values())
+        own = {lab: whole / (k * x) for lab, x in rows.items() if x}
+        # the role of a row is its fold and class
+        specs.append(Spec((c, f), 0, {g * len(labels) + i: own.get(lab, 0.0) for g in folds if g != f for i, lab in enumerate(labels)}, c))
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)).cast("int") - 1
+    rows = df.withColumn("_role", F.col(fold).cast("int") * len(labels) + F.coalesce(place, F.lit(0)))
+    stack = fit_stack(rows, vec, label, ["_role"], specs, loss, max_iter, tol, labels=labels)
+    held = {m: [s.name[1] * len(labels) + i for i in range(len(labels))] for m, s in enumerate(specs)}
+    return df.withColumn(TRUE, F.col(label)).join(stack.predict(rows, key, vec, ["_role"], held).select(key, PRED), key)
+
+
+def tuned_oof(
+    df: DataFrame, key: str, vec: str, label: str, inner: Sequence[str], penalties: Sequence[float] = (0.1, 1.0, 10.0), n_folds: int = 3, fold: str = "fold",
+    loss: str = "logistic", max_iter: int = 2000,
+) -> DataFrame:
+    """:func:`stacked_oof` with the penalty of each fold chosen by its inner folds; the first of equal ones.
+
+    ``inner[f]`` is the inner-fold column for outer fold f, -1 in that fold. Two stacks: the search, then all penalties on all folds.
+    """
+    counts = penalty_search(df, key, vec, label, fold, inner, penalties, n_folds, loss, max_iter=max_iter)
+    marks = scores(counts, ["outer", "c", "inner"]).groupBy("outer", "c").agg(F.avg("macro_f1").alias("m")).collect()  # folds x penalties
+    best = {f: max(penalties, key=lambda c: (round({r["c"]: r["m"] for r in marks if r["outer"] == f}[c], 12), -penalties.index(c))) for f in {r["outer"] for r in marks}}
+    folds = sorted(best)
+    specs = [s for s in fold_specs(folds, penalties) if s.name[0] == best[s.name[1]]]
+    stack = fit_stack(df, vec, label, [fold], specs, loss, max_iter)
+    held = {m: [s.name[1]] for m, s in enumerate(specs)}
+    return df.withColumn(TRUE, F.col(label)).join(stack.predict(df, key, vec, [fold], held).select(key, PRED), key)
+
+
 def penalty_search(
     df: DataFrame, key: str, vec: str, label: str, outer: str, inner: Sequence[str], penalties: Sequence[float], n_folds: int, loss: str = "logistic",
     external: Sequence[float] = (1.0,), external_role: int = -2, max_iter: int = 2000, tol: float = 1e-4,

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from ..functions.hashing import normal
@@ -189,6 +190,31 @@ def encode_frames(df: DataFrame, encoder, series: str, signal: str, rate: str, e
     )
 
 
+def encode_batches(
+    df: DataFrame, make_encoder, series: str, signal: str, length: int, shape: tuple[int, int, int], batch_size: int = 8
+) -> DataFrame:
+    """(series, layer, frame_idx, vec) of signals of one length, through Spark's batch inference.
+
+    ``make_encoder()`` loads a model, once for each Python worker and not for
+    each batch, and returns a function from a (batch, length) array to a
+    (batch, layers, frames, dim) one of the given ``shape``. Signals of several
+    lengths go through :func:`encode_frames`.
+    """
+    layers, frames, dim = shape
+
+    def load():
+        encoder = make_encoder()
+        return lambda x: np.asarray(encoder(x), dtype="float64").reshape(len(x), -1)
+
+    predict = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[length]])
+    flat = df.where(F.size(signal) == length).select(series, predict(signal).alias("_flat"))
+    places = F.sequence(F.lit(0), F.lit(layers * frames - 1))
+    cells = F.transform(places, lambda i: F.struct(
+        (i / frames).cast("int").alias("layer"), (i % frames).alias("frame_idx"), F.slice("_flat", i * dim + 1, F.lit(dim)).alias("vec")
+    ))
+    return flat.select(series, F.inline(cells))
+
+
 def pool_frames(frames: DataFrame, series: str) -> DataFrame:
     """(series, layer, stat, vec): mean and population sd over real frames."""
     table = moments(frames, [series, "layer"], "vec")

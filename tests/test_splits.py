@@ -146,3 +146,29 @@ def test_default_folds_do_not_depend_on_the_number_of_groups(spark):
     default = {r["grp"]: r["fold"] for r in S.group_folds(small, "grp", 5).collect()}
     snake = {r["grp"]: r["fold"] for r in S.snake_folds(small, "grp", 5).collect()}
     assert default == snake
+
+
+def test_greedy_folds_equal_dealing_one_by_one(spark):
+    import random
+
+    from foldstone.operators import splits as S
+
+    rng = random.Random(2)
+    sizes = {g: rng.choice([1, 1, 1, 2, 3, 3, 7, 20]) for g in range(150)} | {500: 90, 501: 90}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "grp long")
+    for k in (2, 5, 7):
+        loads, want = [0] * k, {}
+        for g, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+            want[g] = loads.index(min(loads))
+            loads[want[g]] += n
+        assert {r["grp"]: r["fold"] for r in S.greedy_folds(df, "grp", k).collect()} == want
+
+
+def test_water_level():
+    from foldstone.operators import splits as S
+
+    for start, size, m in (([0, 0, 0], 4, 7), ([9, 1, 5], 2, 3), ([9, 1, 5], 2, 0), ([3, 3, 10], 5, 1)):
+        loads = list(start)
+        for _ in range(m):
+            loads[loads.index(min(loads))] += size
+        assert S._water_level(start, size, m) == loads

@@ -81,3 +81,19 @@ def test_search_over_weights_and_inner_folds(spark):
     assert sum(r["n"] for r in own) == 225  # base rows outside fold 0, each once
     with pytest.raises(ValueError):
         stacked.fit_stack(df, "vec", "label", ["fold"], stacked.fold_specs([0, 1]), "absolute")
+
+
+def test_balanced_weights_and_tuned_penalties(spark):
+    x, y, df = data(spark)
+    few = df.where("label <> 'c2' OR key % 10 = 0")
+    out = stacked.balanced_oof(few, "key", "vec", "label")
+    plain = stacked.stacked_oof(few, "key", "vec", "label")
+    assert out.count() == few.count()
+    recall = lambda t: t.where("label = 'c2' AND y_pred = 'c2'").count()
+    assert recall(out) >= recall(plain)
+    roles = df.selectExpr("*", *[f"CASE WHEN fold = {f} THEN -1 ELSE key % 3 END AS i{f}" for f in range(4)])
+    tuned = stacked.tuned_oof(roles, "key", "vec", "label", [f"i{f}" for f in range(4)], (0.01, 1.0))
+    assert tuned.count() == 400 and score(tuned).first()["accuracy"] > 0.6
+    two = stacked.two_stage_oof(df, "key", "vec", "label", ["c2"])
+    assert two.count() == 400 and two.where("(y_pred = 'c2') <> (gate = 'high')").count() == 0
+    assert stacked.rbf_oof(df, "key", "vec", "label", width=64).count() == 400

@@ -358,3 +358,24 @@ def test_weights_fit_as_repeated_rows(spark):
         for table, w in ((df, "w"), (repeated, None))
     ]
     assert np.allclose(fits[0], fits[1], atol=1e-3)
+
+
+def test_batch_inference_loads_a_model_once_a_worker(spark, tmp_path):
+    from foldstone.operators import vectors as N
+
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda x: np.stack([x.reshape(len(x), 2, 3), -x.reshape(len(x), 2, 3)], axis=1)
+
+    rows = spark.createDataFrame([(i, [float(i + j) for j in range(6)]) for i in range(400)] + [(999, [1.0])], "key long, vec array<double>").coalesce(2)
+    out = N.encode_batches(rows, load, "key", "vec", 6, (2, 2, 3), batch_size=16).collect()
+    assert len(out) == 400 * 4
+    got = {(r["key"], r["layer"], r["frame_idx"]): r["vec"] for r in out}
+    assert got[7, 0, 1] == [10.0, 11.0, 12.0] and got[7, 1, 0] == [-7.0, -8.0, -9.0]
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids)) <= 8  # 400 rows are 25 batches
