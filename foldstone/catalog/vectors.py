@@ -800,6 +800,18 @@ def encoders(spark, d):
     return tidy(D.encoder_comparison({"encoder_a": [(f"L{l}", _layer(spark, d, l)) for l in range(4)], "encoder_b": halves}, "encoder_a", "key", "vec", "label", "grp"))
 
 
+def lever_tables(train, test):
+    """name -> (train, test) of the levers that are fitted; scaler and axes see the train rows only."""
+    scaler = N.fit_scaler(train, "vec")
+    small, large = N.apply_scaler(train, scaler, "vec"), N.apply_scaler(test, scaler, "vec")
+    mean, axes, _ = N.fit_pca(small, "vec", 16)
+    lmean, laxes = N.fit_lda(small, "vec", "label")
+    return {
+        "pca": tuple(N.project(x, "vec", mean, axes, "vec") for x in (small, large)),
+        "lda": tuple(N.project(x, "vec", lmean, laxes, "vec") for x in (small, large)),
+    }
+
+
 def lever_predictions(spark, d):
     """(config, grp, y_true, y_pred) of a logistic head and of each lever on it; scaler and axes see train rows only."""
     own = materialise(folded(spark, d), "folded")
@@ -808,14 +820,13 @@ def lever_predictions(spark, d):
     wide = own.withColumn("vec", F.concat("vec", F.transform("vec", lambda x: 2 * x + 0.5)))
     fused = own.withColumn("vec", F.concat("vec", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: A.std_pop(F.slice("vec", i * 16 + 1, F.lit(16))))))
 
-    def on_axes(fit):
+    def on_axes(name):
         def one(f):
-            scaled = N.apply_scaler(own, N.fit_scaler(own.where(F.col("fold") != f), "vec"), "vec")
-            mean, axes = fit(scaled.where(F.col("fold") != f))
-            # one model a fold: the other folds train, this one is held out
-            rows = materialise(N.project(scaled, "vec", mean, axes, "vec"), "axes")
-            stack = ST.fit_stack(rows, "vec", "label", ["fold"], [s for s in ST.fold_specs(range(K)) if s.name[1] == f])
-            return stack.predict(rows, "key", "vec", ["fold"], {0: [f]}).join(own.select("key", "grp", F.col("label").alias("y_true")), "key")
+            train, test = lever_tables(own.where(F.col("fold") != f), own.where(F.col("fold") == f))[name]
+            # role 0 trains, role 1 is held out
+            rows = materialise(train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1))), "axes")
+            stack = ST.fit_stack(rows.where("part = 0"), "vec", "label", ["part"], [ST.Spec((1.0, f), 0, {0: 1.0})])
+            return stack.predict(rows, "key", "vec", ["part"], {0: [1]}).join(own.select("key", "grp", F.col("label").alias("y_true")), "key")
 
         return lambda: _at_once(spark, one, range(K))
 
@@ -823,8 +834,8 @@ def lever_predictions(spark, d):
     levers = {
         "baseline": oof(ST.stacked_oof, own),
         "regularisation": oof(ST.tuned_oof, roles, [f"inner{f}" for f in range(K)]),
-        "pca": on_axes(lambda train: N.fit_pca(train, "vec", 16)[:2]),
-        "lda": on_axes(lambda train: N.fit_lda(train, "vec", "label")),
+        "pca": on_axes("pca"),
+        "lda": on_axes("lda"),
         "concat": oof(ST.stacked_oof, wide),
         "fusion": oof(ST.stacked_oof, fused),
         "balanced": oof(ST.balanced_oof, own),

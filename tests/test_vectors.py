@@ -219,7 +219,8 @@ def test_mixup(points):
         assert np.allclose(r["vec"], r["weight"] * np.array(a["vec"]) + (1 - r["weight"]) * np.array(b["vec"]))
     assert counts == {l: round(n * 1.5) for l, n in sizes.items()}
     cross = np.mean([x[r["a"]]["grp"] != x[r["b"]]["grp"] for r in mixed])
-    assert cross > 0.95
+    # small labels have four rows of five in one group: nine partners are all of it with 0.8^9, so 0.955 is expected, sd 0.01
+    assert cross > 0.92
 
 
 def test_mixup_single_group_and_single_row(spark):
