@@ -2,9 +2,11 @@
 
 Reference rows belong to the cell of their nearest pivot (pivots are spread
 points of a bounded sample). A cell keeps its radius and is cut into blocks of
-bounded size, each of one fold where folds matter; for every block the least
-and the largest distance of its rows to the pivot are stored, and the distance
-of each row. Queries are placed in the same cells.
+bounded size; for every block the least and the largest distance of its rows
+to the pivot are stored, and the distance and the fold of each row. Where only
+rows of the query's own fold count, blocks are of one fold. Vectors without
+structure reach most blocks: a query then travels once a block, so blocks are
+as large as a task can hold with ease.
 
 By the triangle inequality no row of a block is nearer to a query than the
 larger of d(query, pivot) - farthest and nearest - d(query, pivot). Pivots
@@ -29,11 +31,11 @@ from ..session import materialise
 from .ranking import first_by
 
 #: Rows of a reference block, and queries of a packed query block.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 #: Rows of the sample that pivots are spread over, and reference rows for one pivot; the sample bounds the pivots.
 SAMPLE_ROWS = 4096
-ROWS_PER_PIVOT = 1024
+ROWS_PER_PIVOT = 8192
 #: Bounds of query and block pairs computed at once.
 BOUNDS = 4_000_000
 SLACK = 1e-7
@@ -86,14 +88,17 @@ def _placed(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
     return df.withColumn("_p", place(F.col(vec))).withColumns({"_cell": F.col("_p.cell"), "_far": F.col("_p.far")}).drop("_p")
 
 
-def build_cells(refs: DataFrame, pivots: np.ndarray, key: str, vec: str, label: str, fold: str | None = None, block: int = BLOCK_ROWS) -> DataFrame:
-    """Stored reference blocks: (cell, block, fold, n, near, far) and their rows as arrays."""
+def build_cells(refs: DataFrame, pivots: np.ndarray, key: str, vec: str, label: str, fold: str | None = None, block: int = BLOCK_ROWS, one_fold: bool = False) -> DataFrame:
+    """Stored reference blocks: (cell, block, fold, n, sure, near, far) and their rows as arrays.
+
+    ``sure`` rows at least count for a query of any one fold. Blocks hold one fold each if ``one_fold``, else ``fold`` is 0.
+    """
     f = F.col(fold).cast("int") if fold else F.lit(0)
     rows = _placed(refs.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_vec"), F.col(label).alias("_label"), f.alias("_fold")), "_vec", pivots)
-    rows = materialise(rows, "placed")
-    sizes = rows.groupBy("_cell", "_fold").agg(F.count(F.lit(1)).alias("_n"))
+    rows = materialise(rows.withColumn("_part", F.col("_fold") if one_fold else F.lit(0)), "placed")
+    sizes = rows.groupBy("_cell", "_part").agg(F.count(F.lit(1)).alias("_n"))
     # a cell is cut by a hash, so one that holds a third of all rows is many blocks
-    cut = rows.join(materialise(sizes, "sizes"), ["_cell", "_fold"]).withColumn(
+    cut = rows.join(materialise(sizes, "sizes"), ["_cell", "_part"]).withColumn(
         "_block", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / block)).cast("int")
     )
     kind = {c: refs.schema[n].dataType.simpleString() for c, n in (("keys", key), ("labels", label))}
@@ -101,25 +106,27 @@ def build_cells(refs: DataFrame, pivots: np.ndarray, key: str, vec: str, label:
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_far")
         return pd.DataFrame({
-            "cell": [part["_cell"].iat[0]], "block": [part["_block"].iat[0]], "fold": [part["_fold"].iat[0]], "n": [len(part)],
+            "cell": [part["_cell"].iat[0]], "block": [part["_block"].iat[0]], "fold": [part["_part"].iat[0]], "n": [len(part)],
+            "sure": [len(part) - (0 if one_fold or fold is None else int(part["_fold"].value_counts().max()))],
+            "folds": [part["_fold"].to_numpy(np.int32).tobytes()],
             "near": [part["_far"].iat[0]], "far": [part["_far"].iat[-1]], "keys": [list(part["_key"])], "labels": [list(part["_label"])],
             "dist": [part["_far"].to_numpy(np.float64).tobytes()], "vecs": [np.stack(part["_vec"].to_numpy()).astype(np.float64).tobytes()],
         })
 
-    packed = cut.groupBy("_cell", "_fold", "_block").applyInPandas(
+    packed = cut.groupBy("_cell", "_part", "_block").applyInPandas(
         pack,
-        f"cell int, block int, fold int, n bigint, near double, far double, keys array<{kind['keys']}>, labels array<{kind['labels']}>, dist binary, vecs binary",
+        f"cell int, block int, fold int, n bigint, sure bigint, folds binary, near double, far double, keys array<{kind['keys']}>, labels array<{kind['labels']}>, dist binary, vecs binary",
     )
     return materialise(packed, "cells")
 
 
 class Directory:
-    """What is known of all blocks without their rows: about 40 bytes for ``BLOCK_ROWS`` rows."""
+    """What is known of all blocks without their rows: about 50 bytes a block."""
 
     def __init__(self, blocks: DataFrame, pivots: np.ndarray):
-        rows = blocks.select("cell", "block", "fold", "n", "near", "far").toPandas().sort_values(["cell", "fold", "block"], ignore_index=True)
+        rows = blocks.select("cell", "block", "fold", "sure", "near", "far").toPandas().sort_values(["cell", "fold", "block"], ignore_index=True)
         self.cell, self.block, self.fold = (rows[c].to_numpy(np.int64) for c in ("cell", "block", "fold"))
-        self.n, self.near, self.far = rows["n"].to_numpy(np.int64), rows["near"].to_numpy(), rows["far"].to_numpy()
+        self.sure, self.near, self.far = rows["sure"].to_numpy(np.int64), rows["near"].to_numpy(), rows["far"].to_numpy()
         self.pivots = pivots
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
@@ -127,17 +134,14 @@ class Directory:
         d = distances(q, self.pivots)[:, self.cell]
         return np.maximum(np.maximum(d - self.far, self.near - d), 0.0)
 
-    def allowed(self, folds: np.ndarray, folded: bool, same: bool) -> np.ndarray:
-        if not folded:
-            return np.ones((len(folds), len(self.cell)), bool)
-        equal = folds[:, None] == self.fold[None, :]
-        return equal if same else ~equal
+    def allowed(self, folds: np.ndarray, one_fold: bool) -> np.ndarray:
+        return folds[:, None] == self.fold[None, :] if one_fold else np.ones((len(folds), len(self.cell)), bool)
 
     def first(self, q: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
         """The blocks with the least bounds that together hold more than ``k`` allowed rows."""
         bound = np.where(allowed, self.bounds(q), np.inf)
         order = np.argsort(bound, axis=1, kind="stable")
-        held = np.cumsum(np.take_along_axis(np.where(allowed, self.n, 0), order, 1), axis=1)
+        held = np.cumsum(np.take_along_axis(np.where(allowed, self.sure, 0), order, 1), axis=1)
         use = np.empty_like(allowed)
         # up to the block that brings the count to k
         np.put_along_axis(use, order, np.concatenate([np.zeros((len(q), 1)), held[:, :-1]], axis=1) < k, 1)
@@ -147,7 +151,7 @@ class Directory:
         return allowed & ~self.first(q, allowed, k) & (self.bounds(q) <= (limit + slack(q, self.pivots))[:, None])
 
 
-def _searched(queries: DataFrame, blocks: DataFrame, directory: Directory, pick, k: int, kinds: dict[str, str]) -> DataFrame:
+def _searched(queries: DataFrame, blocks: DataFrame, directory: Directory, pick, k: int, kinds: dict[str, str], other_folds: bool) -> DataFrame:
     """(q, distance, r, rl): the k best of each pair of a query and a picked block.
 
     ``pick(vectors, folds, limits)`` says which blocks each query visits.
@@ -168,10 +172,10 @@ def _searched(queries: DataFrame, blocks: DataFrame, directory: Directory, pick,
                 use, out = pick(vecs[some], folds[some], limits[some]), []
                 for j in np.flatnonzero(use.any(0)).tolist():
                     own = np.flatnonzero(use[:, j]) + lo
-                    out.append((*cells[j], list(keys[own]), vecs[own].tobytes(), limits[own].tobytes()))
-                yield pd.DataFrame(out, columns=["cell", "fold", "block", "qs", "q_vecs", "q_limits"])
+                    out.append((*cells[j], list(keys[own]), vecs[own].tobytes(), limits[own].tobytes(), folds[own].astype(np.int32).tobytes()))
+                yield pd.DataFrame(out, columns=["cell", "fold", "block", "qs", "q_vecs", "q_limits", "q_folds"])
 
-    dealt = queries.mapInPandas(deal, f"cell int, fold int, block int, qs array<{kinds['q']}>, q_vecs binary, q_limits binary")
+    dealt = queries.mapInPandas(deal, f"cell int, fold int, block int, qs array<{kinds['q']}>, q_vecs binary, q_limits binary, q_folds binary")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -182,19 +186,22 @@ def _searched(queries: DataFrame, blocks: DataFrame, directory: Directory, pick,
                 to, reach = distances(q, pivots[row.cell:row.cell + 1])[:, 0], limits + slack(q, x)
                 a, b = np.searchsorted(dist, (to - reach).min()), np.searchsorted(dist, (to + reach).max(), "right")
                 if a < b:
-                    yield _block_best(np.asarray(row.qs), q, limits, np.asarray(row.keys)[a:b], np.asarray(row.labels)[a:b], x[a:b], k)
+                    barred = np.frombuffer(row.q_folds, np.int32)[:, None] == np.frombuffer(row.folds, np.int32)[None, a:b] if other_folds else None
+                    yield _block_best(np.asarray(row.qs), q, limits, np.asarray(row.keys)[a:b], np.asarray(row.labels)[a:b], x[a:b], k, barred)
 
-    pairs = dealt.join(blocks.select("cell", "fold", "block", "keys", "labels", "dist", "vecs"), ["cell", "fold", "block"])
-    return pairs.select("cell", "qs", "q_vecs", "q_limits", "keys", "labels", "dist", "vecs").mapInPandas(
+    pairs = dealt.join(blocks.select("cell", "fold", "block", "keys", "labels", "folds", "dist", "vecs"), ["cell", "fold", "block"])
+    return pairs.select("cell", "qs", "q_vecs", "q_limits", "q_folds", "keys", "labels", "folds", "dist", "vecs").mapInPandas(
         search, f"q {kinds['q']}, distance double, r {kinds['r']}, rl {kinds['rl']}"
     )
 
 
-def _block_best(qs, q, limits, keys, labels, x, k) -> pd.DataFrame:
+def _block_best(qs, q, limits, keys, labels, x, k, barred=None) -> pd.DataFrame:
     """The k nearest rows of a block for each query, ties to smaller keys, none beyond a query's limit."""
     d, wide = distances(q, x), slack(q, x)
+    if barred is not None:
+        d[barred] = np.inf
     edge = np.partition(d, k - 1, axis=1)[:, k - 1] if x.shape[0] > k else np.full(len(q), np.inf)
-    row, col = np.nonzero(d <= (np.minimum(edge, limits) + wide)[:, None])
+    row, col = np.nonzero((d <= (np.minimum(edge, limits) + wide)[:, None]) & np.isfinite(d))
     # what is left is few: exact distances, and keys decide between equal ones
     exact = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
     place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
@@ -218,23 +225,24 @@ def nearest_in_cells(
     kinds = {"q": queries.schema[key].dataType.simpleString(), "r": refs.schema[key].dataType.simpleString(), "rl": refs.schema[label].dataType.simpleString()}
     if not len(pivots):
         return refs.sparkSession.createDataFrame([], f"{key} {kinds['q']}, distance double, ref {kinds['r']}, {label} {kinds['rl']}")
-    blocks = build_cells(refs, pivots, key, vec, label, fold, block)
+    one_fold, other_folds = fold is not None and same_fold, fold is not None and not same_fold
+    blocks = build_cells(refs, pivots, key, vec, label, fold, block, one_fold)
     directory = Directory(blocks, pivots)
     asked = queries.select(
         F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("v"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("f"),
     )
 
     def first(q, folds, limits):
-        return directory.first(q, directory.allowed(folds, fold is not None, same_fold), k)
+        return directory.first(q, directory.allowed(folds, one_fold), k)
 
     def rest(q, folds, limits):
-        return directory.rest(q, directory.allowed(folds, fold is not None, same_fold), k, limits)
+        return directory.rest(q, directory.allowed(folds, one_fold), k, limits)
 
     everywhere = asked.withColumn("limit", F.lit(float("inf")))
-    start = materialise(first_by(_searched(everywhere, blocks, directory, first, k, kinds), "q", [F.col("distance"), F.col("r")], k), "near")
+    start = materialise(first_by(_searched(everywhere, blocks, directory, first, k, kinds, other_folds), "q", [F.col("distance"), F.col("r")], k), "near")
     reach = start.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("limit"))
     again = asked.join(reach, "q", "left").select("q", "v", "f", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-    found = start.unionByName(_searched(again, blocks, directory, rest, k, kinds))
+    found = start.unionByName(_searched(again, blocks, directory, rest, k, kinds, other_folds))
     return first_by(found, "q", [F.col("distance"), F.col("r")], k).select(
         F.col("q").alias(key), "distance", F.col("r").alias("ref"), F.col("rl").alias(label)
     )
