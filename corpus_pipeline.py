@@ -3,13 +3,20 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is stored
 as Parquet and read again before the next one. All but the last return the
 columns of ``documents``.
+
+Defined results. Null or empty text, or one without a letter: its language is
+not recognised and the row goes. Repeated rows are near copies: one stays, as
+of texts that tie; different texts with one ``doc_id`` both stay, and so do
+different texts without one. Null source: a source of its own in the mix. Very
+long texts are read whole by every stage. Extra columns pass unchanged to the
+last stage, which states its own columns. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldstone.llm import langid, mixing, piece_fst, secret_scan, simhash
+from foldstone.llm import langid, mixing, near_copies, piece_fst, secret_scan
 from foldstone.session import materialise
 
 
@@ -19,8 +26,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, by fingerprints of five-word shingles."""
-    return simhash.deduplicated(docs, width=5)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more, checked exactly."""
+    return near_copies.deduplicated(docs)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
