@@ -5,11 +5,15 @@ subwords are the character n-grams of one to four that touch a letter,
 boundaries included. Each is hashed to a row of an embedding table; the text
 is the mean of its rows, and a linear softmax over it gives the language.
 Table and softmax are trained together by stochastic gradient descent in
-numpy on a bounded sample: at most about ``per_class`` texts of each language,
-chosen by a hash of the id, and of these only subword counts reach the driver
-(at most ``buckets`` numbers a text). Part of the sample calibrates, whole and
-thinned: the weight of missing evidence, a temperature on the softmax, and a
-threshold below which a prediction is rejected.
+numpy on a bounded sample: about ``per_class`` texts of each language, fewer
+where all languages together would pass ``most_rows``, chosen by a hash of the
+id; of these only subword counts reach the driver (at most ``buckets`` numbers
+a text). Part of the sample calibrates, whole and thinned: the weight of
+missing evidence, a temperature on the softmax, and a threshold below which a
+prediction is rejected. The threshold is the lowest that rejects all but one
+in a hundred of texts in no learned language (random subwords, and languages
+scored by models trained without them), but never so high that more than
+``loss`` of the well predicted texts would go: then it stands at that share.
 
 Prediction folds table and softmax into one (buckets x languages) matrix,
 sends it along once (its size is fixed by the two parameters) and reads every
@@ -18,7 +22,9 @@ text whole, in pieces of bounded length.
 Defined results. Null text, or one without a letter: ``und``, score 0,
 rejected. Rows with null language teach nothing. No labelled row at all: every
 text is ``und`` with score 0 and rejected. Repeated rows and ids: each row is
-predicted by itself. Empty table: empty result.
+predicted by itself. Columns named like a result (``lang_pred``, ``score``,
+``rejected``) are replaced; :func:`accepted` keeps every column. Very long
+texts are read whole. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import fold_of
 
 UNKNOWN = "und"
@@ -38,12 +45,15 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 WIDTH = 16
 LONGEST = 4
-#: Labelled texts of each language in the sample, about; and languages learned, at most: the most frequent.
+#: Labelled texts of each language in the sample, and of all languages together, about.
 PER_CLASS = 300
-MOST_CLASSES = 400
+MOST_ROWS = 6_000
 EPOCHS = 20
 #: Share of well predicted calibration texts that the rejection threshold may lose.
-LOSS = 0.001
+LOSS = 0.005
+#: Share of texts in no learned language that it should reject, and models that each leave a part of the languages out.
+REJECTED = 0.99
+PARTS = 4
 #: Characters hashed at once.
 PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,23 +124,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = WIDTH,
-          epochs: int = EPOCHS, seed: int = 11, loss: float = LOSS) -> Model | None:
-    """Fit on (language, bucket ids, counts) rows; every fifth calibrates."""
-    if not rows:
-        return None
-    names = sorted({r[0] for r in rows})
+def _descend(means: list, labels: np.ndarray, learn: np.ndarray, classes: int, buckets: int, width: int, epochs: int,
+             seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets x classes logits, bias) by stochastic gradient descent over the rows ``learn``."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / width, (buckets, width)).astype(np.float32)
-    out = np.zeros((width, len(names)), np.float32)
-    bias = np.zeros(len(names), np.float32)
-    place = {n: i for i, n in enumerate(names)}
-    labels = np.array([place[r[0]] for r in rows])
-    means = [(r[1], (r[2] / r[2].sum()).astype(np.float32)) for r in rows]
-    held = np.arange(len(rows)) % 5 == 4
-    if len(rows) < 50:
-        held[:] = False
-    learn = np.nonzero(~held)[0]
+    out = np.zeros((width, classes), np.float32)
+    bias = np.zeros(classes, np.float32)
     rate = 20.0
     steps, step = epochs * len(learn), 0
     for _ in range(epochs):
@@ -145,7 +145,24 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS
             bias -= 0.01 * pace * err
             table[ids] -= pace * share[:, None] * back
             step += 1
-    model = Model(names, (table @ out).astype(np.float64), bias.astype(np.float64), 0.0, 1.0, 0.0)
+    return (table @ out).astype(np.float64), bias.astype(np.float64)
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = WIDTH,
+          epochs: int = EPOCHS, seed: int = 11, loss: float = LOSS) -> Model | None:
+    """Fit on (language, bucket ids, counts) rows; every fifth calibrates."""
+    if not rows:
+        return None
+    names = sorted({r[0] for r in rows})
+    place = {n: i for i, n in enumerate(names)}
+    labels = np.array([place[r[0]] for r in rows])
+    means = [(r[1], (r[2] / r[2].sum()).astype(np.float32)) for r in rows]
+    held = np.arange(len(rows)) % 5 == 4
+    if len(rows) < 50:
+        held[:] = False
+    learn = np.nonzero(~held)[0]
+    rng = np.random.default_rng(seed + 1)
+    model = Model(names, *_descend(means, labels, learn, len(names), buckets, width, epochs, seed), 0.0, 1.0, 0.0)
     check = np.nonzero(held)[0] if held.any() else learn
     # calibrated on whole texts and on thinned ones, so that little evidence gives little confidence
     bags, truth = [], []
@@ -165,20 +182,49 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS
     model.prior, model.temperature = map(float, grid[int(np.argmin(cost))])
     p = probs(model.prior, model.temperature)[::3]
     right = p.max(1)[p.argmax(1) == truth[::3]]
-    floor = float(np.quantile(right, loss)) if len(right) else 0.0
-    model.threshold = min(floor, 1 / len(names) + 0.1)
+    spare = float(np.quantile(right, loss)) if len(right) else 0.0
+    foreign = _foreign_scores(model, rows, means, labels, learn, check, width, max(1, epochs // 4), seed, rng)
+    model.threshold = min(spare, float(np.quantile(foreign, REJECTED)))
     return model
 
 
-def sample_of(labelled: DataFrame, per_class: int = PER_CLASS, most_classes: int = MOST_CLASSES) -> DataFrame:
-    """About ``per_class`` rows of each language of (doc_id, text, lang), by a hash of the id.
+def _foreign_scores(model: Model, rows: list, means: list, labels: np.ndarray, learn: np.ndarray, check: np.ndarray, width: int,
+                    epochs: int, seed: int, rng: np.random.Generator) -> np.ndarray:
+    """Top scores of texts in no learned language.
 
-    Languages beyond ``most_classes``, the most frequent first, are not learned.
+    Each calibration text gives one of random subwords, as long as itself, and
+    one score by a model that never saw its language (with three languages or
+    more: a model of one language is always certain).
     """
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    kept = sizes.orderBy(F.desc("n"), "lang").limit(most_classes).select("lang", (F.lit(float(per_class)) / F.col("n")).alias("share"))
+    buckets, classes = model.logits.shape
+    size = np.array([rows[i][2].sum() for i in check])
+    noise = [rng.multinomial(min(int(n), 1 << 20), np.full(buckets, 1 / buckets)) for n in size]
+    top = [float(model.scores(c).max()) for c in noise]
+    for part in range(PARTS if classes > 2 else 0):
+        gone = np.arange(classes) % PARTS == part
+        left = np.nonzero(~gone)[0]
+        theirs = check[gone[labels[check]]]
+        if not len(theirs) or len(left) < 2:
+            continue
+        own = np.full(classes, -1)
+        own[left] = np.arange(len(left))
+        seen = learn[~gone[labels[learn]]]
+        logits, bias = _descend(means, own[labels], seen, len(left), buckets, width, epochs, seed)
+        other = Model([model.names[i] for i in left], logits, bias, model.prior, model.temperature, 0.0)
+        for i in theirs:
+            counts = np.zeros(buckets, np.int64)
+            counts[rows[i][1]] = rows[i][2]
+            top.append(float(other.scores(counts).max()))
+    return np.array(top)
+
+
+def sample_of(labelled: DataFrame, per_class: int = PER_CLASS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """About ``per_class`` rows of each language of (doc_id, text, lang), by a hash of the id; about ``most_rows`` in all."""
+    sizes = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    each = min(float(per_class), most_rows / max(1, sizes.count()))
+    kept = sizes.select("lang", (F.lit(each) / F.col("n")).alias("share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 11) / F.lit(float(2**53))
-    return labelled.join(F.broadcast(kept), "lang").where(draw < F.col("share")).drop("share")
+    return labelled.join(kept, "lang").where(draw < F.col("share")).drop("share")
 
 
 def fit(labelled: DataFrame, per_class: int = PER_CLASS, buckets: int = BUCKETS, **options) -> Model | None:
@@ -198,13 +244,14 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS, buckets: int = BUCKETS,
     rows = sample_of(usable, per_class).select("doc_id", "text", "lang").mapInPandas(
         counted, "lang string, id bigint, ids binary, counts binary"
     ).collect()
-    rows.sort(key=lambda r: (r["id"], r["ids"], r["lang"]))
+    rows.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["ids"], r["lang"]))
     parsed = [(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows]
     return train(parsed, buckets, **options)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` of every whole text."""
+    others = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     state = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -225,7 +272,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             off.append(bool(p[best] < m.threshold))
         return pd.DataFrame({"lang_pred": names, "score": scores, "rejected": off})
 
-    return docs.withColumn("_lang", judged(F.col(text))).select(*[F.col(c) for c in docs.columns], "_lang.*")
+    return docs.withColumn("_lang", judged(F.col(text))).select(*[F.col(c) for c in others], "_lang.*")
 
 
 def teachable(fold: Column, docs: DataFrame) -> DataFrame:

@@ -57,23 +57,59 @@ def spans_of(text: Column, kind: str, rank: int, rule) -> Column:
     gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
     values = F.regexp_extract_all(text, whole, F.lit(2 + group)) if group else hits
     # patterns whose least length cannot change where a match begins are tested on the way
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
-
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.length(piece["hit"])
-        span = F.struct(
-            begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("stop"),
-            piece["value"].alias("value"),
-        )
-        keep = F.length(piece["value"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
     pieces = F.transform(
         F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value")),
-        lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), p["value"].alias("value")),
+        lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), p["value"].alias("value")),
     )
-    return F.when(text.rlike(test), F.aggregate(pieces, start, step)["out"]).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    spans = F.transform(_placed(pieces), lambda p: F.struct(
+        p["at"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (p["at"] + p["hit"]).alias("stop"),
+        p["value"].alias("value"),
+    ))
+    kept = F.filter(spans, lambda s: F.length(s["value"]) >= least)
+    return F.when(text.rlike(test), kept).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+
+
+def _running(items: Column, kind: str, size, out) -> Column:
+    """``out(begin, item)`` of every item, where ``begin`` is the sum of ``size`` over the items before it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+
+    def step(state: Column, item: Column) -> Column:
+        return F.struct(
+            (state["at"] + size(item)).alias("at"), F.concat(state["out"], F.array(out(state["at"], item))).alias("out")
+        )
+
+    return F.aggregate(items, start, step)["out"]
+
+
+def _placed(pieces: Column) -> Column:
+    """(at, hit, value) of (gap, hit, value) pieces in a row: where each hit begins.
+
+    A growing array is copied at every step, so the pieces are cut into as many
+    runs as each has pieces: positions inside a run first, then those of the runs.
+    """
+    long = lambda c: c.cast("bigint")
+    placed = "struct<at:bigint,hit:int,value:string>"
+
+    def cut(items: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+        runs = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / step).cast("int"))),
+            lambda i: F.slice(items, i * step + 1, step),
+        )
+        return let(runs, both)
+
+    def both(runs: Column) -> Column:
+        whole = lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda n, p: n + p["gap"] + p["hit"])
+        begins = _running(F.transform(runs, whole), "bigint", lambda n: n, lambda at, n: at)
+        inside = lambda run: _running(run, placed, lambda p: long(p["gap"] + p["hit"]), lambda at, p: F.struct(
+            (at + p["gap"]).alias("at"), p["hit"].alias("hit"), p["value"].alias("value")))
+        return F.flatten(F.transform(
+            F.arrays_zip(begins.alias("begin"), runs.alias("run")),
+            lambda z: let(z["begin"], lambda begin: F.transform(inside(z["run"]), lambda p: F.struct(
+                (p["at"] + begin).alias("at"), p["hit"].alias("hit"), p["value"].alias("value")))),
+        ))
+
+    return let(pieces, cut)
 
 
 def _run_rule(rule):

@@ -272,17 +272,6 @@ def near_groups(docs: DataFrame, doc_id="doc_id", text="text", distance: int = D
     return prints.join(labels, "fp")
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE, **options) -> DataFrame:
-    """One document of each group: the row with the smallest id, and of equal ids one row.
-
-    Rows without an id are all kept: nothing names them.
-    """
-    groups = near_groups(docs, distance=distance, **options)
-    keep = materialise(groups.where("component_id = doc_id").select(F.col("doc_id").alias("_k_")).distinct(), "kept")
-    chosen = docs.join(keep, docs["doc_id"] == keep["_k_"], "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
-
-
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint and component of every document."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
