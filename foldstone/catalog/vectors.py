@@ -3,6 +3,7 @@
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..operators import splits as S
 from ..operators import transfer as X
 from ..operators import uncertainty as U
 from ..operators import vectors as N
+from ..operators import wide as WD
 from ..operators.cells import nearest_in_cells
 from ..config import DEFAULT_AUGMENTATIONS
 from ..vocab import ARMS, N_BOOT, WEIGHT_GRID
@@ -177,6 +179,77 @@ def lda(spark, d):
     return tidy(_projected(spark, d, lambda train: (*N.fit_lda(train, "vec", "label"), ()), "ldas").select("key", "label", "ldas"))
 
 
+#: every vector beside its products of two components, i <= j: 64 become 2,144
+_LIFTED = f"""{VECS}, gf AS ({snake_sql('vecs', 'grp', K)}), base AS (SELECT key, label, vec, gf.fold FROM vecs JOIN gf USING (grp)),
+ wide AS (SELECT key, label, fold, list_concat(vec, flatten(list_transform(range(1, len(vec) + 1), lambda i: list_transform(range(i, len(vec) + 1), lambda j: vec[i] * vec[j])))) AS vec FROM base),
+ cells AS (SELECT fold, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM wide),
+ spread AS (SELECT fold, sum(s) AS total FROM (SELECT t.f AS fold, p, var_samp(v) AS s FROM cells, range({K}) AS t(f) WHERE cells.fold <> t.f GROUP BY ALL) AS _s GROUP BY fold)"""
+
+
+def lifted(spark, d):
+    """Fold rows with all second-order products of their vectors, stored."""
+    products = F.flatten(F.transform("vec", lambda x, i: F.transform(F.slice("vec", i + 1, F.size("vec")), lambda y: x * y)))
+    return materialise(folded(spark, d).select("key", "label", "fold", F.concat("vec", products).alias("vec")), "lifted")
+
+
+@query("emb_07_wide", rounded(f"""WITH {_LIFTED} SELECT t.f::INT AS fold, (SELECT count(*) FROM base WHERE fold <> t.f) AS n, (SELECT count(*) FROM base WHERE fold = t.f) AS held,
+ (SELECT total FROM spread WHERE fold = t.f) AS total, 8 AS axes, true AS converged, true AS orthonormal, true AS same_variances, true AS uncorrelated FROM range({K}) AS t(f)""", "total"))
+def wide_pca(spark, d):
+    """Principal axes of 2,144 columns for every fold, with what must hold of them whatever their signs.
+
+    The scores of the train side are projected again and measured by Spark:
+    their variances are those reported, and they do not correlate.
+    """
+    rows = lifted(spark, d)
+    fits = WD.fit_pca(rows, "vec", 8, fold="fold")
+    parts = []
+    for f, fit in fits.items():
+        flags = {
+            "converged": fit.residual <= 1e-6,
+            "orthonormal": bool(abs(fit.axes.T @ fit.axes - np.eye(fit.axes.shape[1])).max() < 1e-9),
+        }
+        train = WD.project(rows.where(F.col("fold") != f), "vec", {None: fit}, "pcs")
+        part = N.scatter(train, [], "pcs").select(
+            F.lit(f).alias("fold"), "n", (fit.values.sum() / F.lit(float(fit.ratio.sum()))).alias("total"),
+            F.lit(fit.axes.shape[1]).alias("axes"), *[F.lit(v).alias(c) for c, v in flags.items()],
+            F.array(*[F.lit(float(v)) for v in fit.values]).alias("_v"), "flat",
+        )
+        parts.append(part)
+    k = F.col("axes")
+    # flat holds the sums and then the sums of products, row by row
+    cov = F.transform(
+        F.sequence(F.lit(0), k * k - 1),
+        lambda c: (F.get("flat", k + c) - F.get("flat", (c / k).cast("int")) * F.get("flat", c % k) / F.col("n")) / (F.col("n") - 1),
+    )
+    out = reduce(DataFrame.unionByName, parts).withColumn("_c", cov)
+    top = F.get("_v", F.lit(0))
+    same = F.forall(F.sequence(F.lit(0), k - 1), lambda i: F.abs(F.get("_c", i * (k + 1)) - F.get("_v", i)) < 1e-8 * top)
+    apart = F.forall(F.sequence(F.lit(0), k * k - 1), lambda c: (c % (k + 1) == 0) | (F.abs(F.get("_c", c)) < 1e-8 * top))
+    held = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("held"))
+    return tidy(out.join(held, "fold").select("fold", "n", "held", "total", "axes", "converged", "orthonormal", same.alias("same_variances"), apart.alias("uncorrelated")))
+
+
+@query("emb_08_wide", f"""WITH {VECS}, gf AS ({snake_sql('vecs', 'grp', K)}), base AS (SELECT key, label, fold FROM vecs JOIN gf USING (grp))
+SELECT t.f::INT AS fold, count(*) AS n, count(DISTINCT label) - 1 AS axes, true AS solved, true AS unit_within FROM base, range({K}) AS t(f) WHERE fold <> t.f AND label IS NOT NULL GROUP BY ALL""")
+def wide_lda(spark, d):
+    """Discriminant axes of 2,144 columns for every fold; within a class their scores have at most unit scatter.
+
+    It is exactly one with the ridge counted, whose share is what lies between.
+    """
+    rows = lifted(spark, d).where("label IS NOT NULL")
+    fits = WD.fit_lda(rows, "vec", "label", fold="fold")
+    parts = []
+    for f, fit in fits.items():
+        train = WD.project(rows.where(F.col("fold") != f), "vec", {None: fit}, "lda")
+        parts.append(N.moments(train, "label", "lda").select(
+            F.lit(f).alias("fold"), "n", "m2", F.lit(fit.axes.shape[1]).cast("bigint").alias("axes"), F.lit(fit.residual <= 1e-8).alias("solved"),
+        ))
+    table = reduce(DataFrame.unionByName, parts)
+    out = table.select("fold", "n", "axes", "solved", F.posexplode("m2").alias("p", "m2")).groupBy("fold", "axes", "solved", "p").agg(
+        F.sum("n").alias("n"), F.sum("m2").alias("w"))
+    return out.groupBy("fold", "axes", "solved").agg(F.max("n").alias("n"), F.min((F.col("w") > 0) & (F.col("w") <= 1 + 1e-6)).alias("unit_within"))
+
+
 # ----------------------------------------------------------- frame aggregates
 
 
