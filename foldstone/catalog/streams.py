@@ -9,9 +9,10 @@ from ..operators.augment import mixup
 from ..session import scratch_path
 from ..sources import tables as B
 from ..streaming import ingest as I
-from ..streaming.udtf import frame_rows
+from ..streaming.udtf import frame_rows, series_frames
 from .storage import _FILES
 from .base import EVENT_LABELS, PRED, VECS, query, read, rounded, score_sql, tidy, vecs
+from .profiling import SERIES, series
 from .vectors import RAWF, SCORES, T, _centroid_predict, _mllib, encoded, folded
 
 
@@ -148,3 +149,11 @@ def encoder_function(spark, d):
 @query("udf_07", f"""WITH {VECS} SELECT key, i::INT AS frame_idx, list_transform(vec[i * 8 + 1 : i * 8 + 16], lambda x: round(x, 6) + 0e0) AS vec FROM vecs, range(7) AS t(i)""")
 def frame_udtf(spark, d):
     return tidy(frame_rows(vecs(spark, d), "key", "vec", 16, 8))
+
+
+@query("udf_07_series", f"""WITH {SERIES}, n AS (SELECT grp, count(*) AS n FROM series GROUP BY grp),
+ frames AS (SELECT grp, unnest(range((n - 16) // 8 + 1)) AS frame_idx FROM n WHERE n >= 16)
+SELECT f.grp, f.frame_idx, list(round(x, 6) + 0e0 ORDER BY s.frame_idx) AS vec FROM frames f JOIN series s ON s.grp = f.grp AND s.frame_idx BETWEEN f.frame_idx * 8 AND f.frame_idx * 8 + 15 GROUP BY ALL""")
+def series_udtf(spark, d):
+    """Frames of 16 events every 8 for each user, from event rows by PARTITION BY and ORDER BY."""
+    return tidy(series_frames(series(spark, d).select("grp", "frame_idx", "x"), "grp", "frame_idx", "x", 16, 8))
