@@ -8,6 +8,7 @@ from ..operators.ranking import first_by
 from ..operators.vectors import select_layer
 from ..operators.series import aggregate_values
 from ..sources import audio as W
+from ..sources import recordings as RC
 from ..sources import tables as B
 from ..session import scratch_path
 from .base import OBS, VECS, obs, query, read, rounded, tidy, vecs
@@ -269,6 +270,21 @@ def framing(spark, d):
     return frames.groupBy("key").agg(F.count(F.lit(1)).alias("frames"), F.max(F.size("vec")).alias("width"))
 
 
+@query("fea_02_ranges", rounded(f"""WITH {SAMPLES}, files AS (SELECT DISTINCT key, n FROM bytes WHERE n > 0), cut AS (SELECT s.key, f.i AS frame_idx, s.y
+ FROM sig s, range(3) AS o(k), LATERAL (SELECT (s.i + 128) // 128 - o.k AS i) AS f WHERE f.i >= 0 AND s.i + 128 < f.i * 128 + 256)
+SELECT key, n // 128 + 1 AS frames, coalesce(energy, 0) AS energy FROM files LEFT JOIN (SELECT key, sum(y * y) AS energy FROM cut JOIN files USING (key) WHERE frame_idx <= n // 128 GROUP BY key) AS _e USING (key)""", "energy", digits=3))
+def framing_by_ranges(spark, d):
+    """Frames of files on the shared folder, read by byte ranges of 2,048 samples: their number and the sum of their squares."""
+    root = scratch_path(spark, "wavs")
+    name = F.concat(F.col("key").cast("string"), F.lit(".wav"))
+    written = RC.write_files(wav_files(spark, d), root, name, F.col("content"))
+    written.agg(F.sum("bytes")).collect()
+    frames = RC.range_frames(RC.plan(RC.list_files(spark, root)), 256, 128, samples=2048)
+    key = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
+    energy = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return tidy(frames.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("frames"), F.sum(energy).alias("energy")), 3)
+
+
 @query("fea_03")
 def frame_descriptors(spark, d):
     rows = W.decode(wav_files(spark, d), "key").where("load_error IS NULL")

@@ -16,10 +16,15 @@ from pyspark.sql import types as T
 from ..config import FeatureSettings
 from ..operators.series import aggregate_vectors, delta_kernel, resolve_width
 from ..vocab import CLIP_LEVEL, TARGET_RATE
+from . import containers as C
 
 _LEVELS = T.StructType(
     [T.StructField("peak", T.DoubleType()), T.StructField("rms", T.DoubleType()), T.StructField("clipped", T.LongType())]
 )
+_FOUND = T.StructType(
+    [T.StructField("rate", T.IntegerType()), T.StructField("channels", T.IntegerType()),
+     T.StructField("subtype", T.StringType()), T.StructField("frames", T.LongType())]
+)
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*.wav", content: bool = True) -> DataFrame:
@@ -75,59 +80,65 @@ def pcm_blob(data: Column, rate: Column, channels: Column, bits: int = 16) -> Co
     )
 
 
+@F.pandas_udf(_FOUND)
+def _walked(content: pd.Series) -> pd.DataFrame:
+    """The layout behind other chunks; null where there is none."""
+    rows = []
+    for blob in content:
+        try:
+            of = C.layout(C.in_memory(blob), len(blob))
+            rows.append((of.rate, of.channels, of.subtype, of.frames))
+        except Exception:  # not readable is a finding
+            rows.append((None, None, None, None))
+    return pd.DataFrame(rows, columns=["rate", "channels", "subtype", "frames"]).astype(
+        {"rate": "Int32", "channels": "Int32", "frames": "Int64"}
+    )
+
+
 def probe_headers(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, native_sr, channels, subtype, duration_s, frames); never raises.
 
-    Reads the canonical 44-byte header. Other chunk layouts and unreadable
-    files become a row with rate -1.
+    The canonical 44-byte header of PCM is read in SQL. Only files with other
+    chunks, extensible formats or float samples go through a walk over their
+    chunks. Unreadable files become a row with rate -1.
     """
     c = F.col(content)
-    canonical = (
+    names = F.create_map(*[F.lit(v) for (tag, bits), name in C.SUBTYPES.items() if tag == C.PCM for v in (bits, name)])
+    rate, channels, bits = little_endian(c, 25, 4), little_endian(c, 23, 2), little_endian(c, 35, 2).cast("int")
+    canonical = F.coalesce(
         is_wav(c)
         & (F.octet_length(c) >= 44)
-        & (F.hex(F.substring(c, 13, 4)) == "666D7420")
+        & (F.hex(F.substring(c, 13, 8)) == "666D742010000000")
+        & (little_endian(c, 21, 2) == C.PCM)
         & (F.hex(F.substring(c, 37, 4)) == "64617461")
+        & (rate > 0) & (channels > 0) & names[bits].isNotNull(),
+        F.lit(False),
     )
-    rate, channels, bits = little_endian(c, 25, 4), little_endian(c, 23, 2), little_endian(c, 35, 2)
     size = F.least(little_endian(c, 41, 4), (F.octet_length(c) - 44).cast("bigint"))
-    usable = canonical & (rate > 0) & (channels > 0) & (bits >= 8)
-    frames = F.floor(size / F.greatest(channels * F.floor(bits / 8), F.lit(1)))
-    return files.select(
+    # other rows only: null content does not travel
+    rows = files.select(key, c, canonical.alias("_plain"), _walked(F.when(~canonical & is_wav(c), c)).alias("_w"))
+
+    def pick(plain, walked, missing):
+        return F.when(F.col("_plain"), plain).otherwise(F.coalesce(walked, missing))
+
+    found = rows.select(
         key,
-        F.when(usable, rate).otherwise(-1).cast("int").alias("native_sr"),
-        F.when(usable, channels).otherwise(-1).cast("int").alias("channels"),
-        F.when(usable, F.concat(F.lit("PCM_"), bits.cast("string")))
-        .otherwise("UNREADABLE: no PCM header").alias("subtype"),
-        F.when(usable, frames / rate).otherwise(0.0).alias("duration_s"),
-        F.when(usable, frames).otherwise(0).cast("int").alias("frames"),
+        pick(rate.cast("int"), F.col("_w.rate"), F.lit(-1)).alias("native_sr"),
+        pick(channels.cast("int"), F.col("_w.channels"), F.lit(-1)).alias("channels"),
+        pick(names[bits], F.col("_w.subtype"), F.lit("UNREADABLE: no PCM header")).alias("subtype"),
+        pick(F.floor(size / F.greatest(channels * F.floor(bits / 8), F.lit(1))), F.col("_w.frames"), F.lit(0)).alias("frames"),
+    )
+    return found.select(
+        key, "native_sr", "channels", "subtype",
+        F.when(F.col("native_sr") > 0, F.col("frames") / F.col("native_sr")).otherwise(0.0).alias("duration_s"),
+        F.col("frames").cast("int").alias("frames"),
     )
 
 
 def _samples(blob: bytes) -> tuple[np.ndarray, int]:
-    """(frames x channels float32, rate) of a PCM WAV, walking its chunks."""
-    if blob[:4] != b"RIFF" or blob[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    at, form, data = 12, None, None
-    while at + 8 <= len(blob) and data is None:
-        name, size = blob[at : at + 4], int.from_bytes(blob[at + 4 : at + 8], "little")
-        body = blob[at + 8 : at + 8 + size]
-        form = body if name == b"fmt " else form
-        data = body if name == b"data" else None
-        at += 8 + size + size % 2
-    if form is None or data is None or int.from_bytes(form[:2], "little") != 1:
-        raise ValueError("no PCM data")
-    channels, rate = int.from_bytes(form[2:4], "little"), int.from_bytes(form[4:8], "little")
-    width = int.from_bytes(form[14:16], "little") // 8
-    data = data[: len(data) // (channels * width) * channels * width]
-    if width == 1:
-        x = (np.frombuffer(data, "u1").astype("float32") - 128) / 128
-    elif width == 3:
-        wide = np.zeros((len(data) // 3, 4), "u1")
-        wide[:, 1:] = np.frombuffer(data, "u1").reshape(-1, 3)
-        x = wide.view("<i4").ravel().astype("float32") / 2147483648.0
-    else:
-        x = np.frombuffer(data, f"<i{width}").astype("float32") / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels), rate
+    """(frames x channels float32, rate) of a WAV in memory."""
+    of = C.layout(C.in_memory(blob), len(blob))
+    return C.samples(blob[of.offset : of.offset + of.frames * of.align], of), of.rate
 
 
 def _resample(y: np.ndarray, rate: int, target: int) -> np.ndarray:
