@@ -1,5 +1,8 @@
 """Sources and sinks: files, stored tables, and the audio container."""
 
+from urllib.parse import urlsplit
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +38,15 @@ def wav_files(spark, d):
 _FILES = "(VALUES ('region.parquet'), ('nation.parquet'), ('customer.parquet'), ('supplier.parquet'), ('part.parquet'), ('orders.parquet'), ('lineitem.parquet'), ('events.parquet'), ('documents.parquet'), ('embeddings.parquet'), ('pages.parquet'), ('benchmark.parquet'), ('labels.parquet'), ('conversations.parquet')) AS t(name)"
 
 
+def table_of(d) -> Column:
+    """The table below ``d`` that a path is of, whether it is one file or a folder of part files."""
+    return F.regexp_extract("path", r"\Q" + urlsplit(d).path.rstrip("/") + r"\E/+([^/]+)", 1)
+
+
 @query("src_01", f"SELECT name, true AS has_bytes FROM {_FILES}")
 def scan(spark, d):
     files = W.scan_files(spark, d, "*.parquet", content=False)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("has_bytes"))
+    return files.groupBy(table_of(d).alias("name")).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
 @query("src_02", "SELECT doc_id AS key, doc_id % 50 <> 7 AS ok FROM documents")
