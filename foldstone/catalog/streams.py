@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import tables as B
 from ..streaming import ingest as I
 from ..streaming.udtf import frame_rows, series_frames
-from .storage import _FILES
+from .storage import _FILES, table_of
 from .base import EVENT_LABELS, PRED, VECS, query, read, rounded, score_sql, tidy, vecs
 from .profiling import SERIES, series
 from .vectors import RAWF, SCORES, T, _centroid_predict, _mllib, encoded, folded
@@ -28,11 +28,10 @@ def event_stream(spark, d):
 def file_ingest(spark, d):
     out, mark = scratch_path(spark, "ingest"), scratch_path(spark, "mark")
     for _ in range(2):  # the second run finds nothing new
-        stream = I.file_stream(spark, d, "*.parquet").select(
-            F.element_at(F.split("path", "/"), -1).alias("name"), "length"
-        )
+        stream = I.file_stream(spark, d, "*.parquet").select(table_of(d).alias("name"), "path", "length")
         I.ingest(stream, out, mark).awaitTermination()
-    return spark.read.parquet(out).groupBy("name").agg(F.count(F.lit(1)).alias("times"))
+    files = spark.read.parquet(out).groupBy("name", "path").agg(F.count(F.lit(1)).alias("times"))
+    return files.groupBy("name").agg(F.max("times").alias("times"))
 
 
 @query("str_02", "SELECT event_type AS model, count(*) AS n FROM events GROUP BY 1")
