@@ -274,7 +274,7 @@ def silence_trim(spark, d):
  (SELECT doc_id, doc_id % 2 + 1 AS ch, octet_length(encode(text)) AS n FROM documents WHERE doc_id % 50 <> 7) AS _t""")
 def framing(spark, d):
     rows = W.decode(wav_files(spark, d), "key", rate=None).where("load_error IS NULL")
-    frames = W.frames_of(rows, "key", 256, 128)
+    frames = W.frames_of(rows, "key", 256, 128, empty=True)
     return frames.groupBy("key").agg(F.count(F.lit(1)).alias("frames"), F.max(F.size("vec")).alias("width"))
 
 

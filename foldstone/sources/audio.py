@@ -210,15 +210,16 @@ def frame_power(decoded: DataFrame, key: str, window: int, hop: int) -> DataFram
     return rows.select(key, F.posexplode(powers("samples")).alias("frame_idx", "power"))
 
 
-def frames_of(decoded: DataFrame, key: str, window: int, hop: int) -> DataFrame:
+def frames_of(decoded: DataFrame, key: str, window: int, hop: int, empty: bool = False) -> DataFrame:
     """(key, frame_idx, vec): centred, zero-padded frames as rows.
 
     Frames are cut inside the row and exploded afterwards, so the signal
-    itself is never copied once per frame.
+    itself is never copied once per frame. A signal without samples has no
+    frames, or with ``empty`` the one of its padding.
     """
     pad = F.array_repeat(F.lit(0.0).cast("float"), window // 2)
     starts = F.sequence(F.lit(0), F.size("samples"), F.lit(hop))
-    padded = decoded.where(F.size("samples") > 0).select(
+    padded = decoded.where(F.size("samples") >= (0 if empty else 1)).select(
         key, F.concat(pad, "samples", pad).alias("_y"), starts.alias("_starts")
     )
     cut = F.transform("_starts", lambda s: F.slice("_y", s + 1, window))

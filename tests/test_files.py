@@ -19,3 +19,28 @@ def short_texts(spark, tmp_path_factory):
 def test_decoded_without_samples(spark, short_texts):
     got = {r["key"]: r["n_samples"] for r in QUERIES["src_05"](spark, short_texts).collect()}
     assert got == {3: 1, 4: 300}
+
+
+def test_one_frame_without_samples(spark, short_texts):
+    got = {r["key"]: (r["frames"], r["width"]) for r in QUERIES["fea_02"](spark, short_texts).collect()}
+    assert got == {1: (1, 256), 2: (1, 256), 3: (1, 256), 4: (3, 256), 5: (1, 256)}
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """A table of one file and two of several part files."""
+    root = str(tmp_path_factory.mktemp("tables (1)"))
+    for name, parts in (("a", 3), ("b", 2)):
+        spark.range(60).repartition(parts).write.parquet(f"{root}/{name}.parquet")
+    part = next(f for f in os.listdir(f"{root}/a.parquet") if f.endswith(".parquet"))
+    with open(f"{root}/a.parquet/{part}", "rb") as one, open(f"{root}/c.parquet", "wb") as out:
+        out.write(one.read())
+    return root
+
+
+def test_a_folder_is_one_table(spark, stored):
+    assert sorted(map(tuple, QUERIES["src_01"](spark, stored).collect())) == [("a.parquet", True), ("b.parquet", True), ("c.parquet", True)]
+
+
+def test_a_folder_arrives_once(spark, stored):
+    assert sorted(map(tuple, QUERIES["str_01"](spark, stored).collect())) == [("a.parquet", 1), ("b.parquet", 1), ("c.parquet", 1)]
