@@ -214,7 +214,7 @@ def trim_sql(window: int, hop: int, top_db: float) -> str:
  20 * log10(max(abs(y))) AS dbfs_peak, count(*) FILTER (WHERE abs(y) >= 0.999) AS n_clipped FROM sig GROUP BY key""", "duration", "peak_amp", "rms", "dbfs_peak", digits=8))
 def amplitude(spark, d):
     rows = W.audit_measures(W.decode(wav_files(spark, d), "key", rate=None), "key")
-    return tidy(rows.where("load_error IS NULL").select("key", "n_frames", "duration", "peak_amp", "rms", "dbfs_peak", "n_clipped"), 8)
+    return tidy(rows.where("load_error IS NULL AND n_frames > 0").select("key", "n_frames", "duration", "peak_amp", "rms", "dbfs_peak", "n_clipped"), 8)
 
 
 _AUDIT = ["duration", "peak_amp", "rms", "dbfs_peak", "trimmed_duration", "lead_silence", "trail_silence", "silence_fraction"]

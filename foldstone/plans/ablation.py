@@ -17,7 +17,7 @@ from ..operators.splits import with_group_fold
 from ..operators.transfer import versus_control
 from ..operators.vectors import per_group_normalise
 from ..session import materialise
-from ..sources.audio import extract
+from ..sources.audio import extract_each
 from ..vocab import ABLATION_AXES, N_SPLITS
 
 
@@ -33,21 +33,20 @@ def ablation(
 ) -> DataFrame:
     """(ordinal, axis, config, n, accuracy, macro_f1, vs_control_pp) of every cell, pooled over its folds.
 
-    ``decoded`` is read once per distinct stored feature set: settings that
-    differ only in what is applied to stored features share one extraction.
+    ``decoded`` is read once and never stored: a clip gives the vectors of all
+    distinct feature sets, a column each. Settings that differ only in what is
+    applied to stored features share a column.
     ``meta`` holds key, group and label; folds are the same in all cells.
     """
     grid = settings_grid(base, axes)
     folded = materialise(with_group_fold(meta.select(key, group, label), group, k, method), "folds")
-    decoded = materialise(decoded, "decoded")
-    features = {s.hash: s for _, s in reversed(grid)}
-
-    def stored(settings: FeatureSettings) -> DataFrame:
-        return materialise(extract(decoded, key, settings).join(folded, key), "features")
+    features = {f"f{s.hash}": s for _, s in reversed(grid)}
+    stored = materialise(extract_each(decoded, key, features), "features").join(folded, key)
 
     def counted(cell) -> DataFrame:
         i, (axis, settings) = cell
-        rows = tables[settings.hash]
+        vec = F.col(f"f{settings.hash}")
+        rows = stored.where(vec.isNotNull()).select(*folded.columns, vec.alias("features"))
         if settings.normalisation == "per_speaker":
             rows = per_group_normalise(rows, "features", group)
         part = tally(oof(rows, key, "features", label)).select(
@@ -58,7 +57,6 @@ def ablation(
     # independent jobs, as many at a time as ``parallelism`` says
     at_once = inheritable_thread_target(decoded.sparkSession)
     with ThreadPoolExecutor(parallelism) as pool:
-        tables = dict(zip(features, pool.map(at_once(stored), features.values())))
         counts = reduce(DataFrame.unionByName, pool.map(at_once(counted), enumerate(grid)))
     table = scores(counts, ["ordinal", "axis", "config"]).select("ordinal", "axis", "config", "n", "accuracy", "macro_f1")
     return versus_control(table, "axis", "macro_f1", "baseline")
