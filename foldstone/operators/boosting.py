@@ -3,9 +3,9 @@
 Features are cut into bins at quantiles of mergeable sketches. A round grows,
 for every fold at the same time, one tree with a vector of class scores in its
 leaves: at each level tasks return histograms of gradients by (fold, node,
-feature, bin), partial sums are added in a tree, and the driver picks the
-splits from the sums, whose size depends on folds, nodes, features, bins and
-classes and never on the rows. A last pass of a round sums gradients and
+feature, bin), the sums of a (fold, node) meet in one group, and the split it
+picks goes to the driver. The size of the sums depends on folds, nodes,
+features, bins and classes and never on the rows. A last pass of a round sums gradients and
 second derivatives by leaf for a Newton step of the softmax loss.
 
 Scores of the rows are stored with the rows every ``STORED`` rounds; in
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,9 @@ def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def _blocks(df: DataFrame, vec: str, label: str, fold: str, edges: np.ndarray, labels: list, folds: list, prior: np.ndarray, n: int) -> DataFrame:
     """(x, y, z): binned features, (label, fold) numbers and (row, fold, class) scores of packed rows; stored.
 
-    A task holds some thousand rows at least: what it returns does not depend on its rows.
+    A task holds some thousand rows at least, and there are no more tasks than
+    cores: what a task returns does not depend on its rows, so neither does
+    what a pass moves.
     """
     code, place = {v: i for i, v in enumerate(labels)}, {f: i for i, f in enumerate(folds)}
 
@@ -94,7 +97,7 @@ def _blocks(df: DataFrame, vec: str, label: str, fold: str, edges: np.ndarray, l
                 yield pd.DataFrame({"x": [_binned(np.stack(some["v"].to_numpy()), edges).tobytes()], "y": [y.tobytes()], "z": [z.tobytes()]})
 
     rows = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("y"), F.col(fold).alias("f"))
-    tasks = min(rows.rdd.getNumPartitions(), max(1, -(-n // TASK_ROWS)))
+    tasks = min(rows.rdd.getNumPartitions(), max(1, -(-n // TASK_ROWS)), df.sparkSession.sparkContext.defaultParallelism)
     return materialise(rows.coalesce(tasks).mapInPandas(run, "x binary, y binary, z binary"), "boost")
 
 
@@ -151,6 +154,47 @@ def _added(df: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
     return np.sum([np.frombuffer(r["s"], np.float32).astype(float) for r in rows], axis=0).reshape(shape) if rows else np.zeros(shape)
 
 
+def _chosen(df: DataFrame, run, shape: tuple[int, ...], ridge: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_splits` of the summed (fold, class + 1, node, feature, bin) arrays that ``run(frame)`` yields.
+
+    The sums of a (fold, node) meet in one group of a row a task and become a
+    split there: the driver gets two numbers a node, never a histogram.
+    """
+    n_f, k, nodes, d, bins = shape
+    one = df.rdd.getNumPartitions() == 1
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in batches:
+            for out in run(part):
+                total = out if total is None else total + out
+        if total is None:
+            return
+        total = total.reshape(shape).astype(np.float32)
+        if one:
+            feature, cut = _splits(total.astype(float), ridge, least)
+            yield pd.DataFrame({"cell": np.arange(n_f * nodes), "feature": feature.ravel(), "cut": cut.ravel()})
+            return
+        task = TaskContext.get().partitionId()
+        for f in range(n_f):
+            some = [n for n in range(nodes) if total[f, -1, n].any()]
+            if some:
+                yield pd.DataFrame({"cell": [f * nodes + n for n in some], "task": task, "s": [total[f, :, n].tobytes() for n in some]})
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        # in the order of tasks, so that reruns add alike
+        total = sum(np.frombuffer(s, np.float32).astype(float) for s in part.sort_values("task")["s"])
+        feature, cut = _splits(total.reshape(1, k, 1, d, bins), ridge, least)
+        return pd.DataFrame({"cell": part["cell"].iloc[:1], "feature": feature[0], "cut": cut[0]})
+
+    kind = "cell int, feature int, cut int"
+    rows = df.mapInPandas(partial, kind) if one else df.mapInPandas(partial, "cell int, task int, s binary").groupBy("cell").applyInPandas(pick, kind)
+    feature, cut = np.full(n_f * nodes, -1), np.zeros(n_f * nodes, np.int64)
+    for r in rows.collect():
+        feature[r["cell"]], cut[r["cell"]] = r["feature"], r["cut"]
+    return feature.reshape(n_f, nodes), cut.reshape(n_f, nodes)
+
+
 def _splits(hist: np.ndarray, ridge: float, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(feature, cut) of each (fold, node) from (fold, class + 1, node, feature, bin) sums; the last of the classes is the weight."""
     left = hist.cumsum(4)
@@ -246,7 +290,7 @@ def boost(
                             out[f, c] += np.bincount(at, np.repeat(value, d), minlength=shape[2] * d * bins)
                 yield out
 
-            feature, cut = _splits(_added(table, histograms, shape), ridge, least * k)
+            feature, cut = _chosen(table, histograms, shape, ridge, least * k)
             tree.feature.append(feature)
             tree.cut.append(cut)
             if (feature < 0).all():

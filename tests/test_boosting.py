@@ -83,3 +83,16 @@ def test_stumps_equal_plain_samme(spark):
             w = w * np.exp(alpha * miss)
         got = model.scores(x, np.full(240, f))
         assert (got.argmax(1) == votes.argmax(1)).mean() > 0.97
+
+
+def test_histograms_do_not_reach_the_driver(spark, monkeypatch):
+    df = data(spark, 300).repartition(5)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 50)
+    shapes, added = [], boosting._added
+    monkeypatch.setattr(boosting, "_added", lambda table, run, shape: shapes.append(shape) or added(table, run, shape))
+    many = boosting.boost(df, "vec", "label", "fold", rounds=2, depth=3)
+    assert shapes and all(np.prod(shape) <= 3 * 2**3 * 4 * 2 for shape in shapes)  # leaves only
+    monkeypatch.setattr(boosting, "TASK_ROWS", 8192)
+    one = boosting.boost(df, "vec", "label", "fold", rounds=2, depth=3)
+    for a, b in zip(many.rounds, one.rounds):
+        assert all((x == y).all() for x, y in zip([*a.feature, *a.cut], [*b.feature, *b.cut])) and a.leaf == pytest.approx(b.leaf, abs=1e-4)
