@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +116,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 def _prints(docs: DataFrame, doc_id: str, text: str, width: int, views: int, sample: int) -> DataFrame:
     """(digest, none, id, fps) of every distinct text: its smallest id, null last, and its fingerprints."""
 
-    @F.pandas_udf("array<bigint>")
-    def printed(texts: pd.Series) -> pd.Series:
-        return pd.Series([sampled_fingerprints(shingle_set(t, width), views, sample) for t in texts])
+    @F.arrow_udf("array<bigint>")
+    def printed(texts: pa.Array) -> pa.Array:
+        # a text at a time: a batch of long texts is not held a second time as Python strings
+        return pa.array((sampled_fingerprints(shingle_set(t.as_py(), width), views, sample) for t in texts), pa.list_(pa.int64()))
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), digest_of(text).alias("digest"), printed(_plain(text_of(text))).alias("fps"))
     rows = materialise(rows, "prints")
@@ -139,9 +141,9 @@ def _members(texts: DataFrame, distance: int) -> DataFrame:
 def _sets(docs: DataFrame, text: str, members: DataFrame, width: int) -> DataFrame:
     """(digest, shingles) of the texts that have a candidate: sorted hashes as bytes."""
 
-    @F.pandas_udf("binary")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).tobytes() for t in texts])
+    @F.arrow_udf("binary")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array((shingle_set(t.as_py(), width).tobytes() for t in texts), pa.binary())
 
     wanted = members.select("digest").distinct()
     rows = docs.select(digest_of(text).alias("digest"), _plain(text_of(text)).alias("plain"))
@@ -152,9 +154,11 @@ def _sets(docs: DataFrame, text: str, members: DataFrame, width: int) -> DataFra
 def _leader_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) between the members of each bucket and its smallest one."""
 
-    @F.pandas_udf("boolean")
-    def checked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(a, b)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def checked(a: pa.Array, b: pa.Array) -> pa.Array:
+        # sets are read where they arrived, without a copy
+        kept = (similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(a, b))
+        return pa.array(map(bool, kept), pa.bool_())
 
     leaders = members.groupBy("bucket").agg(F.min("digest").alias("a"))
     pairs = materialise(members.join(leaders, "bucket").where("digest <> a").select("a", F.col("digest").alias("b")).distinct(), "pairs")

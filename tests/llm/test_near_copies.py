@@ -86,3 +86,20 @@ def test_defined_cases(make_docs):
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [3, 7, 7, 8, 11]
     assert sorted(r["text"] for r in rows if r["doc_id"] is None) == ["alpha beta gamma", "no such id"]
     assert near_copies.deduplicated(make_docs([])).count() == 0
+
+
+def test_texts_are_read_one_at_a_time(spark, monkeypatch):
+    """No batch of texts or of sets is turned into Python objects at once: the columns stay Arrow's."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} " * 40) for i in range(20)], "doc_id long, text string")
+    plans = []
+    keep = near_copies.materialise
+    monkeypatch.setattr(near_copies, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
+    texts = near_copies._prints(docs, "doc_id", "text", near_copies.WIDTH, near_copies.VIEWS, near_copies.SAMPLE)
+    sets = near_copies._sets(docs, "text", texts.select("digest"), near_copies.WIDTH)
+    got = {bytes(r["digest"]): r for r in texts.join(sets, "digest").collect()}
+    assert len(got) == 7
+    for r in got.values():
+        shingles = np.frombuffer(r["shingles"], np.uint64)
+        assert r["fps"] == near_copies.sampled_fingerprints(shingles).tolist()
+    read = [line for p in plans for line in p.splitlines() if "ArrowEvalPython" in line]
+    assert len(read) == 2 and all(line.rstrip().endswith("250") for line in read)  # Arrow's scalar UDFs, not pandas'
