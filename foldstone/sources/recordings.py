@@ -95,30 +95,49 @@ def range_frames(
     pieces = ranges(planned, window, hop, samples)
     keys = ["path", "first"]
     pieces = pieces.repartition(partitions, *keys) if partitions else pieces.repartition(*keys)
-    half = window // 2
 
     def run(batches):
+        held, count = [], 0
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                of = C.Layout(row.tag, row.channels, row.rate, row.bits, row.offset, row.frames)
-                begin = row.first * hop - half
-                end = (row.last - 1) * hop - half + window
-                low, high = max(begin, 0), min(end, of.frames)
-                with _open(row.path) as handle:
-                    raw = handle.read_at(max(high - low, 0) * of.align, of.offset + low * of.align)
-                y = np.zeros(end - begin, "float32")
-                part = C.samples(raw, of).mean(1)
-                y[low - begin : low - begin + len(part)] = part
-                view = np.lib.stride_tricks.sliding_window_view(y, window)[::hop]
-                for at in range(0, len(view), BATCH_ROWS):
-                    cut = view[at : at + BATCH_ROWS]
-                    yield pd.DataFrame(
-                        {"path": row.path, "frame_idx": np.arange(at, at + len(cut)) + row.first, "vec": list(cut)}
-                    )
+            # ranges of one file that came to one task share its handle
+            for path, own in pdf.groupby("path", sort=False):
+                with _open(path) as handle:
+                    for row in own.itertuples(index=False):
+                        for index, cut in _range_blocks(handle, row, window, hop):
+                            held.append((path, index, cut))
+                            count += len(cut)
+                            if count >= BATCH_ROWS:
+                                yield _frame_rows(held)
+                                held, count = [], 0
+        if held:
+            yield _frame_rows(held)
 
     return pieces.mapInPandas(run, "path string, frame_idx bigint, vec array<float>")
 
 
+def _range_blocks(handle, row, window: int, hop: int):
+    """(frame indexes, frames) of a range, :data:`BATCH_ROWS` at a time."""
+    of = C.Layout(row.tag, row.channels, row.rate, row.bits, row.offset, row.frames)
+    begin = row.first * hop - window // 2
+    end = (row.last - 1) * hop - window // 2 + window
+    low, high = max(begin, 0), min(end, of.frames)
+    raw = handle.read_at(max(high - low, 0) * of.align, of.offset + low * of.align)
+    y = np.zeros(end - begin, "float32")
+    part = C.samples(raw, of).mean(1)
+    y[low - begin : low - begin + len(part)] = part
+    view = np.lib.stride_tricks.sliding_window_view(y, window)[::hop]
+    for at in range(0, len(view), BATCH_ROWS):
+        cut = view[at : at + BATCH_ROWS]
+        yield np.arange(at, at + len(cut)) + row.first, cut
+
+
+def _frame_rows(held: list) -> pd.DataFrame:
+    return pd.DataFrame({
+        "path": np.repeat(np.array([path for path, *_ in held], object), [len(cut) for *_, cut in held]),
+        "frame_idx": np.concatenate([index for _, index, _ in held]), "vec": [frame for *_, cut in held for frame in cut],
+    })
+
+
 def write_files(rows: DataFrame, root: str, name: Column, content: Column) -> DataFrame:
     """(path, bytes) after writing each row as a file below ``root``.
 

@@ -85,3 +85,11 @@ def test_a_range_reads_its_own_bytes(monkeypatch):
     assert C.layout(read, len(blob)).frames == 10 and sum(seen) < 100
     with pytest.raises(ValueError, match="no data"):
         C.layout(C.in_memory(blob[:30]), 30)
+
+
+def test_frames_of_many_ranges_share_a_batch():
+    """Short ranges are handed over together, with the path and index of each frame."""
+    held = [("a", np.arange(0, 2), np.ones((2, 4), "float32")), ("b", np.arange(5, 8), np.zeros((3, 4), "float32"))]
+    rows = R._frame_rows(held)
+    assert rows["path"].tolist() == ["a", "a", "b", "b", "b"] and rows["frame_idx"].tolist() == [0, 1, 5, 6, 7]
+    assert [v.sum() for v in rows["vec"]] == [4, 4, 0, 0, 0]
