@@ -264,6 +264,8 @@ def fit_pca(
         values = size**2 / max(s.n - 1, 1)
         total = (s.m2 / s.scale**2).sum() / max(s.n - 1, 1)
         axes = _signed(ritz[f][0] @ turn.T) / s.scale[:, None]
+        if not total > 0:  # rows that are all alike: what a rotation leaves is rounding
+            values = np.zeros(len(values))
         ratio = values / total if total > 0 else np.zeros(len(values))
         out[f] = Axes(s.n, s.mean, axes, values, ratio, ritz[f][1], passes[f])
     return out
