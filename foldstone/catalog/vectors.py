@@ -15,6 +15,7 @@ from ..operators import augment as G
 from ..operators import diagnose as D
 from ..operators import evaluate as E
 from ..operators import boosting as BO
+from ..operators import forest as FO
 from ..operators import models as M
 from ..operators import series as R
 from ..operators import stacked as ST
@@ -362,7 +363,11 @@ def _mllib(name, params):
     return run
 
 
-query("mdl_04")(_mllib("random-forest", {}))
+@query("mdl_04")
+def forest(spark, d):
+    return FO.forest_oof(materialise(folded(spark, d), "folded"), "key", "vec", "label").select("key", "y_true", "y_pred")
+
+
 query("mdl_09")(_mllib("mlp", {}))
 
 #: Default settings over all folds; each takes a folded table.
