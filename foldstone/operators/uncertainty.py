@@ -8,6 +8,7 @@ draws of single rows, :func:`row_bootstrap` does not even depend on that of grou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -56,17 +57,60 @@ def pandas_metric(fn: Callable) -> Callable[[DataFrame, list[str]], DataFrame]:
     return apply
 
 
-#: Draws that meet the cells of a block of groups in one task, about.
-BLOCK_DRAWS = 1_000_000
+#: Groups whose cells and draws meet in one task are this many draws, about, and draws that a task makes at once.
+BLOCK_DRAWS = 4_000_000
+SLOTS = 1 << 16
+#: Levels that share the hashes of a slot, about.
+LEVELS = 64
 
 
-def draw_groups(spark, n_groups: int, n_boot: int, seed) -> DataFrame:
-    """(b, pick): ``n_groups`` hashed draws with replacement per replicate."""
-    total = n_boot * n_groups
-    parts = max(1, min(total // 50_000 + 1, 100_000))
-    ids = spark.range(0, total, 1, parts)
-    b = (F.col("id") / F.lit(n_groups)).cast("bigint")
-    return ids.select(b.alias("b"), (hash60(seed, b, F.col("id") % n_groups) % n_groups).alias("pick"))
+def _hashes(seed, b: int, lo: int, hi: int) -> np.ndarray:
+    """:func:`hash60` of (seed, b, slot) for the slots ``lo`` to ``hi``."""
+    head = hashlib.md5(f"{seed}|{b}|".encode())
+    out = []
+    for slot in range(lo, hi):
+        one = head.copy()
+        one.update(b"%d" % slot)
+        out.append(one.digest())
+    return (np.frombuffer(b"".join(out), ">u8")[::2] >> np.uint64(4)).astype(np.int64)
+
+
+def draw_groups(sizes: DataFrame, n_boot: int, seed, width: int) -> DataFrame:
+    """(_by, _block, b, picks): as many hashed draws with replacement a replicate as a level has groups.
+
+    ``sizes`` is (_by, _size). The draws of a replicate that fall in one block
+    of ``width`` groups are one row, as positions of two or four bytes in it.
+    """
+    kind = np.uint16 if width <= 1 << 16 else np.uint32
+    row = sizes.agg(F.sum("_size"), F.count(F.lit(1))).first()
+    rows = (row[0] or 0) // SLOTS * n_boot + row[1] * n_boot
+    # the rows are small and each is up to SLOTS draws: a fixed number of parts, which AQE does not merge
+    parts = max(1, min((row[0] or 0) * n_boot // 500_000 + 1, rows, 100_000))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1, F.lit(SLOTS).cast("bigint"))
+    some = F.pmod(F.xxhash64("_by"), F.lit(-(-row[1] // LEVELS) or 1)).alias("some")
+    # a slot's hash is that of all levels: it is made once for some of them
+    work = sizes.select("_by", "_size", some, F.explode(chunks).alias("lo")).groupBy("lo", "some").agg(F.collect_list(F.struct("_by", "_size")).alias("levels"))
+    work = work.select("lo", "levels", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).repartition(parts, "lo", "b")
+
+    def draw(batches):
+        for part in batches:
+            out = []
+            for levels, lo, b in zip(part["levels"], part["lo"].tolist(), part["b"].tolist()):
+                levels = [(v["_by"], v["_size"]) for v in levels]
+                hashed = _hashes(seed, b, lo, min(lo + SLOTS, max(size for _, size in levels)))
+                for by, size in levels:
+                    picks = np.sort(hashed[:size - lo] % size)
+                    first = np.flatnonzero(np.concatenate([[True], picks[1:] // width != picks[:-1] // width]))
+                    for x in np.split(picks, first[1:]):
+                        block = int(x[0]) // width
+                        out.append((by, block, b, (x - block * width).astype(kind).tobytes()))
+                if len(out) > 1000:
+                    yield pd.DataFrame(out, columns=["_by", "_block", "b", "picks"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["_by", "_block", "b", "picks"])
+
+    return work.mapInPandas(draw, "_by string, _block bigint, b bigint, picks binary")
 
 
 def replicate_counts(
@@ -82,42 +126,44 @@ def replicate_counts(
     block returns one row a replicate and cell, however many groups it holds.
     """
     by = _cols(by)
-    spark = counts.sparkSession
     extra = [configs] if configs else []
     groups = hash_rank(counts.select(*by, group).distinct(), by, group, out="_pos")
     ranked = attach(counts, groups, [*by, group], "inner")
-    if not by:
-        draws = draw_groups(spark, groups.count(), n_boot, seed)
-    else:
-        sizes = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-        slots = attach(groups.select(*by, "_pos"), sizes, by, "inner")
-        # each slot of a level makes one draw per replicate; spread them first
-        draws = slots.repartition(*by, "_pos").select(
-            *by, "_pos", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
-        )
-        pick = hash60(seed, F.col("b"), F.col("_pos") - 1) % F.col("_size")
-        draws = draws.select(*by, F.col("b").cast("bigint").alias("b"), pick.alias("pick"))
     width = max(16, BLOCK_DRAWS // n_boot)
+    kind = np.uint16 if width <= 1 << 16 else np.uint32
     # levels travel as one text, which null values have too
-    block = [F.to_json(F.struct(*by)).alias("_by") if by else F.lit("").alias("_by")]
-    cells = ranked.select(*block, ((F.col("_pos") - 1) / width).cast("bigint").alias("_block"), (F.col("_pos") - 1).alias("pick"),
+    level = (F.to_json(F.struct(*by)) if by else F.lit("")).alias("_by")
+    cells = ranked.select(level, ((F.col("_pos") - 1) / width).cast("bigint").alias("_block"), (F.col("_pos") - 1).alias("pick"),
                           F.struct(*by, *extra, TRUE, PRED).alias("cell"), "n")
     # cells are numbered inside their block, in the order of their values
     numbered = cells.withColumn("_code", F.dense_rank().over(Window.partitionBy("_by", "_block").orderBy("cell")) - 1)
     stored = materialise(numbered, "cells")
-    drawn = draws.select(*block, (F.col("pick") / width).cast("bigint").alias("_block"), "pick", "b")
+    sizes = settle(stored.groupBy("_by").agg((F.max("pick") + 1).alias("_size")))
+    drawn = draw_groups(sizes, n_boot, seed, width)
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in ("_by", "_block", "b", "_code", "n")})
         start = int(right["_block"].iat[0]) * width
-        times = np.bincount(left["b"].to_numpy() * width + left["pick"].to_numpy() - start, minlength=n_boot * width).reshape(n_boot, width)
+        left = left.sort_values("b", ignore_index=True)
         order = np.argsort(right["_code"].to_numpy(), kind="stable")
         code, pos, n = (right[c].to_numpy()[order] for c in ("_code", "pick", "n"))
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        sums = np.stack([times[:, pos[a:b] - start] @ n[a:b] for a, b in zip(first, np.append(first[1:], len(code)))])
-        c, b = np.nonzero(sums)
-        return pd.DataFrame({"_by": left["_by"].iat[0], "_block": right["_block"].iat[0], "b": b, "_code": code[first][c], "n": sums[c, b]})
+        pos = pos - start
+        found = []
+        for lo in range(0, n_boot, 128):  # some replicates at a time
+            a, z = np.searchsorted(left["b"].to_numpy(), [lo, lo + 128])
+            picks = [np.frombuffer(x, kind).astype(np.int64) for x in left["picks"].iloc[a:z]]
+            if not picks:
+                continue
+            at = np.repeat(left["b"].to_numpy()[a:z] - lo, [len(x) for x in picks]) * width + np.concatenate(picks)
+            times = np.bincount(at, minlength=128 * width).reshape(128, width)
+            # integers as they are: sums of any size stay exact
+            sums = np.add.reduceat(times[:, pos] * n[None, :], first, axis=1)
+            b, c = np.nonzero(sums)
+            found.append((b + lo, code[first][c], sums[b, c]))
+        b, c, n = (np.concatenate(v) for v in zip(*found))
+        return pd.DataFrame({"_by": left["_by"].iat[0], "_block": right["_block"].iat[0], "b": b, "_code": c, "n": n})
 
     parts = drawn.groupBy("_by", "_block").cogroup(stored.select("_by", "_block", "pick", "_code", "n").groupBy("_by", "_block")).applyInPandas(
         multiply, "_by string, _block bigint, b bigint, _code int, n bigint"

@@ -1,5 +1,6 @@
 """Draws of single rows and closed-form silhouettes."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -87,3 +88,25 @@ def test_squared_silhouettes_equal_pairs(spark):
     alone = df.where("label = 'a'")
     assert all(r["silhouette"] is None for r in neighbors.squared_silhouette_rows(alone, "key", "vec", "label").collect())
     assert neighbors.squared_silhouette(df.where("false"), "key", "vec", "label").first()["n"] == 0
+
+
+def test_draws_are_spread_and_packed(spark):
+    """The draws of few small levels are many tasks of short rows, and equal plain hashes."""
+    sizes = spark.createDataFrame([("x", 3000), ("y", 70_000)], "_by string, _size bigint")
+    drawn = U.draw_groups(sizes, 40, 42, 1000)
+    assert drawn.rdd.getNumPartitions() > 4
+    rows = drawn.collect()
+    assert max(len(r["picks"]) for r in rows) < 20_000
+    got = sorted(r["_block"] * 1000 + p for r in rows if r["_by"] == "y" and r["b"] == 7 for p in np.frombuffer(r["picks"], np.uint16).tolist())
+    want = [int(hashlib.md5(f"42|7|{i}".encode()).hexdigest()[:15], 16) % 70_000 for i in range(70_000)]
+    assert got == sorted(want)
+
+
+def test_levels_with_groups_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(g, "ab"[g % 2], str(t), str(t if rng.random() < 0.6 else 2)) for g in range(200) for t in rng.integers(0, 3, 4)]
+    pred = spark.createDataFrame(rows, "grp long, half string, y_true string, y_pred string")
+    whole = sorted(map(str, U.cluster_bootstrap(pred, "grp", n_boot=150, by="half").collect()))
+    for name, value in (("BLOCK_DRAWS", 3000), ("SLOTS", 7), ("LEVELS", 1)):
+        monkeypatch.setattr(U, name, value)
+    assert sorted(map(str, U.cluster_bootstrap(pred, "grp", n_boot=150, by="half").collect())) == whole
