@@ -31,6 +31,12 @@ FOLDS = f"""{OBS}, {GROUPED}, {STRAT}, folds AS (
     FROM grouped, range({K}) AS t(f) WHERE (fold = f AND NOT early) OR (fold <> f AND early))"""
 
 
+def assigned(spark, d):
+    """Observations with their places in all protocols, without the columns that no query reads."""
+    rows = obs(spark, d).select("key", "grp", "label", "early")
+    return S.assigned_folds(rows, "key", "grp", "label", F.expr(EARLY), F.expr(LATE), K, method="snake")
+
+
 def folds(spark, d):
     return S.build_folds(obs(spark, d), "key", "grp", "label", F.expr(EARLY), F.expr(LATE), K, method="snake")
 
@@ -118,7 +124,7 @@ def arms(spark, d):
 
 @query("spl_09", "SELECT 0::BIGINT AS added, 0::BIGINT AS missing FROM (SELECT count(*) FROM events) AS _c")
 def freeze(spark, d):
-    return S.freeze_check(folds(spark, d), folds(spark, d).repartition(3, "key"))
+    return S.freeze_check_assigned(assigned(spark, d), assigned(spark, d).repartition(3, "key"), "key", K)
 
 
 # ---------------------------------------------------------------------- joins
@@ -214,7 +220,7 @@ def all_pairs(spark, d):
 
 @query("jn_12", f"""WITH {FOLDS} SELECT protocol, fold, split, label, count(*) AS n FROM folds JOIN (SELECT key, label FROM obs) USING (key) GROUP BY ALL""")
 def fold_composition(spark, d):
-    return folds(spark, d).join(obs(spark, d).select("key", "label"), "key").groupBy("protocol", "fold", "split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return S.protocol_counts(assigned(spark, d), ["label"], K)
 
 
 # ---------------------------------------------------- fold-level aggregations
@@ -230,8 +236,8 @@ SELECT j.protocol, j.fold, count(*) FILTER (WHERE split = 'train') AS n_train, c
  5 AS source_overlap, string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE split = 'test') AS test_sources
 FROM j JOIN ov ON ov.protocol = j.protocol AND ov.fold = j.fold GROUP BY j.protocol, j.fold""", "test_pct_attribute"))
 def fold_summary(spark, d):
-    meta = obs(spark, d).withColumn("source", F.concat("label", F.lit("_src")))
-    return tidy(S.summarise_folds(folds(spark, d), meta, "key", "grp", "label", F.col("key") % 2 == 1, ["click"], "source"))
+    rows = assigned(spark, d).withColumn("source", F.concat("label", F.lit("_src")))
+    return tidy(S.summarise_protocols(rows, "grp", "label", F.col("key") % 2 == 1, ["click"], "source", K))
 
 
 @query("agg_20", f"""WITH {ARMS_SQL} SELECT arms.fold, {", ".join(f"count(*) FILTER (WHERE stage = 'stage2' AND source = '{s}') AS train_{s}" for s in _DOC_SOURCES)},

@@ -192,6 +192,35 @@ def leave_one_source_out(
     )
 
 
+def assigned_folds(
+    df: DataFrame, key: str, group: str, label: str, train_if: Column, test_if: Column, k: int = N_SPLITS, seed=SEED, method: str = "snake"
+) -> DataFrame:
+    """``df`` plus all that decides on its places in every single-source protocol: a row a row."""
+    dealt = settle(group_folds(df, group, k, method)).withColumnRenamed("fold", "_own")
+    grouped = attach(df.withColumns({"_tr": train_if, "_te": test_if}), dealt, group)  # a group without a fold is in no group protocol
+    return stratified_folds(grouped, label, key, k, seed).withColumnRenamed("fold", "_mixed")
+
+
+def _protocol_cells(k: int) -> list[tuple[str, int, Column]]:
+    """(protocol, fold, side or null) of every fold of the single-source protocols, over columns of :func:`assigned_folds`."""
+    names, own, mixed, tr, te = PROTOCOLS, F.col("_own"), F.col("_mixed"), F.col("_tr"), F.col("_te")
+    side = lambda held: F.when(held, "test").when(~held, "train")
+    return [
+        *[(names[0], f, side(own == f)) for f in range(k)],
+        *[(names[1], f, side(mixed == f)) for f in range(k)],
+        (names[2], 0, F.when(tr, "train").when(te, "test")),
+        *[(names[3], f, F.when((own == f) & te, "test").when((own != f) & tr, "train")) for f in range(k)],
+    ]
+
+
+def protocol_rows(assigned: DataFrame, columns: Sequence[str | Column], k: int = N_SPLITS) -> DataFrame:
+    """(protocol, fold, columns, split) of an assigned table."""
+    cells = F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(f).alias("fold"), s.alias("split")) for p, f, s in _protocol_cells(k)])
+    return assigned.select(*columns, F.explode(cells).alias("_e")).where(F.col("_e.split").isNotNull()).select(
+        "_e.protocol", "_e.fold", *assigned.select(*columns).columns, "_e.split"
+    )
+
+
 def build_folds(
     df: DataFrame,
     key: str,
@@ -204,15 +233,13 @@ def build_folds(
     method: str = "snake",
 ) -> DataFrame:
     """Every single-source protocol as one long table."""
-    grouped = with_group_fold(df, group, k, method)
-    mixed = stratified_folds(df, label, key, k, seed)
-    names = PROTOCOLS
-    return (
-        long_table(grouped, names[0], key, k)
-        .unionByName(long_table(mixed, names[1], key, k))
-        .unionByName(attribute_holdout(df, key, train_if, test_if, names[2]))
-        .unionByName(attribute_holdout_disjoint(grouped, key, k, train_if, test_if, names[3]))
-    )
+    return protocol_rows(assigned_folds(df, key, group, label, train_if, test_if, k, seed, method), [key], k)
+
+
+def protocol_counts(assigned: DataFrame, by: Sequence[str], k: int = N_SPLITS) -> DataFrame:
+    """(protocol, fold, split, by, n): rows are counted by their places before these are spread out."""
+    counts = assigned.groupBy(*by, "_own", "_mixed", "_tr", "_te").agg(F.count(F.lit(1)).alias("n"))
+    return protocol_rows(counts, [*by, "n"], k).groupBy("protocol", "fold", "split", *by).agg(F.sum("n").alias("n"))
 
 
 def build_merged_folds(
@@ -385,34 +412,87 @@ def summarise_folds(
     )
     cell = ["protocol", "fold"]
     test, train = F.col("split") == "test", F.col("split") == "train"
-    n = F.col("_n")
-
-    def rows(condition):
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
 
     def sides(column):
         """One row per distinct value: on which sides it occurs."""
-        marks = cells.groupBy(*cell, F.col(column).alias("_v")).agg(
+        return cells.groupBy(*cell, F.col(column).alias("_v")).agg(
             F.max(train.cast("int")).alias("_tr"), F.max(test.cast("int")).alias("_te")
         )
-        return marks.groupBy(*cell)
+
+    return _composition(cells, sides, counted_labels, source)
+
+
+def summarise_protocols(
+    assigned: DataFrame,
+    group: str,
+    label: str,
+    attribute: Column,
+    counted_labels: Sequence[str] = (),
+    source: str | None = None,
+    k: int = N_SPLITS,
+) -> DataFrame:
+    """:func:`summarise_folds` of the single-source protocols, from one row a row.
+
+    The places of a row are bits of a number. Rows are counted by places and
+    the few reported columns, and every group is reduced to the places of any of
+    its rows, before places are spread out: no row is repeated for its folds.
+    """
+    sources = F.col(source) if source else F.lit(None).cast("string")
+    cells = _protocol_cells(k)
+    # 31 folds with two bits each make a number
+    masks = []
+    for lo in range(0, len(cells), 31):
+        bits = F.lit(0).cast("bigint")
+        for i, (_, _, side) in enumerate(cells[lo:lo + 31]):
+            bits = bits.bitwiseOR(F.when(side == "test", F.lit(2 << 2 * i)).when(side == "train", F.lit(1 << 2 * i)).otherwise(F.lit(0)).cast("bigint"))
+        masks.append(bits.alias(f"_m{lo}"))
+    rows = assigned.select(F.col(group).alias("_g"), F.col(label).alias("_l"), attribute.alias("_a"), sources.alias("_s"), *masks)
+    names = [f"_m{lo}" for lo in range(0, len(cells), 31)]
+    groups = settle(rows.groupBy("_g").agg(*[F.bit_or(m).alias(m) for m in names]))
+    counts = settle(rows.groupBy("_l", "_a", "_s", *names).agg(F.count(F.lit(1)).alias("_n")))
+
+    def bit(i: int, b: int) -> Column:
+        return F.getbit(f"_m{i // 31 * 31}", F.lit(2 * (i % 31) + b)).cast("int")
+
+    spread = F.explode(F.array(*[
+        F.struct(F.lit(p).alias("protocol"), F.lit(f).alias("fold"), bit(i, 0).alias("_tr"), bit(i, 1).alias("_te")) for i, (p, f, _) in enumerate(cells)
+    ]))
+    placed = lambda df, *columns: df.select(*columns, spread.alias("_e")).select(*columns, "_e.*").where("_tr + _te > 0")
+
+    def sides(column):
+        values = groups.withColumnRenamed("_g", "_v") if column == "_g" else counts.groupBy(F.col(column).alias("_v")).agg(*[F.bit_or(m).alias(m) for m in names])
+        return placed(values, "_v")
+
+    # a row is on one side of a fold
+    long = placed(counts, "_l", "_a", "_n").withColumn("split", F.when(F.col("_te") == 1, "test").otherwise("train"))
+    return _composition(long, sides, counted_labels, source)
+
+
+def _composition(rows_: DataFrame, sides, counted_labels: Sequence[str], source: str | None) -> DataFrame:
+    """The table of :func:`summarise_folds` from (protocol, fold, split, _l, _a, _n) and the (protocol, fold, _tr, _te) of each value of a column."""
+    cell = ["protocol", "fold"]
+    test, train = F.col("split") == "test", F.col("split") == "train"
+    n = F.col("_n")
+
+    def rows(condition):
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
 
     both = (F.col("_tr") == 1) & (F.col("_te") == 1)
-    counted = cells.groupBy(*cell).agg(
+    counted = rows_.groupBy(*cell).agg(
         rows(train).alias("n_train"),
         rows(test).alias("n_test"),
         F.round(100 * rows(test & F.col("_a")) / F.nullif(rows(test), F.lit(0)), 1).alias("test_pct_attribute"),
         *[rows(test & (F.col("_l") == v)).alias(f"test_{v}") for v in counted_labels],
     )
-    groups = sides("_g").agg(
+    groups = sides("_g").groupBy(*cell).agg(
         F.sum("_tr").alias("train_groups"), F.sum("_te").alias("test_groups"), F.count_if(both).alias("group_overlap")
     )
-    labels = sides("_l").agg(F.sum("_te").alias("test_labels"))
+    labels = sides("_l").groupBy(*cell).agg(F.sum("_te").alias("test_labels"))
     table = counted.join(groups, cell).join(labels, cell)
     if source:
         # a closed vocabulary: a handful of sources per fold
         listed = F.array_sort(F.collect_set(F.when(F.col("_te") == 1, F.col("_v"))))
-        found = sides("_s").agg(F.count_if(both).alias("source_overlap"), F.array_join(listed, ",").alias("test_sources"))
+        found = sides("_s").groupBy(*cell).agg(F.count_if(both).alias("source_overlap"), F.array_join(listed, ",").alias("test_sources"))
         table = table.join(found, cell)
     return table
 
@@ -428,3 +508,15 @@ def freeze_check(rebuilt: DataFrame, committed: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.greatest(F.col("_d"), F.lit(0))), F.lit(0)).cast("bigint").alias("added"),
         F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).cast("bigint").alias("missing"),
     )
+
+
+def freeze_check_assigned(rebuilt: DataFrame, committed: DataFrame, key: str, k: int = N_SPLITS) -> DataFrame:
+    """:func:`freeze_check` of the long tables of two assigned tables: only rows that differ are spread over their folds."""
+    columns = [key, "_own", "_mixed", "_tr", "_te"]
+    marks = rebuilt.select(*columns, F.lit(1).alias("_d")).unionByName(committed.select(*columns, F.lit(-1).alias("_d")))
+    left = marks.groupBy(*columns).agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    net = protocol_rows(left, [key, "_d"], k).groupBy("protocol", "fold", key, "split").agg(F.sum("_d").alias("_d"))
+    return net.agg(
+        F.coalesce(F.sum(F.greatest(F.col("_d"), F.lit(0))), F.lit(0)).cast("bigint").alias("added"),
+        F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).cast("bigint").alias("missing"),
+    )

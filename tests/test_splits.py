@@ -172,3 +172,35 @@ def test_water_level():
         for _ in range(m):
             loads[loads.index(min(loads))] += size
         assert S._water_level(start, size, m) == loads
+
+
+def test_places_of_rows_say_what_the_long_table_says(spark):
+    rows = [(i, None if i % 11 == 0 else f"g{i % 7}", "abc"[i % 3], bool(i % 2)) for i in range(150)]
+    df = spark.createDataFrame(rows, "key long, grp string, label string, early boolean")
+    for method in ("snake", "greedy"):
+        args = (df, "key", "grp", "label", F.col("early"), ~F.col("early"))
+        long, assigned = S.build_folds(*args, method=method), S.assigned_folds(*args, method=method)
+        if method == "greedy":  # rows without group stay in the protocols without groups
+            n = {r["protocol"]: r["n"] for r in long.groupBy("protocol").agg(F.count_distinct("key").alias("n")).collect()}
+            assert n["random_stratified"] == 150 and n["speaker_independent"] == 136
+        want = long.join(df, "key").groupBy("protocol", "fold", "split", "label").count().collect()
+        got = S.protocol_counts(assigned, ["label"]).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+        meta = df.withColumn("source", F.concat("label", F.lit("_src")))
+        odd = F.col("key") % 2 == 1
+        want = S.summarise_folds(long, meta, "key", "grp", "label", odd, ["a"], "source")
+        got = S.summarise_protocols(assigned.withColumn("source", F.concat("label", F.lit("_src"))), "grp", "label", odd, ["a"], "source")
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        # counts and groups come from rows that were not repeated for their folds
+        plan = S.protocol_counts(assigned, ["label"])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Window")
+
+
+def test_frozen_places_are_compared(spark):
+    df = spark.createDataFrame([(i, i % 7, "abc"[i % 3], bool(i % 2)) for i in range(60)], "key long, grp long, label string, early boolean")
+    one = S.assigned_folds(df, "key", "grp", "label", F.col("early"), ~F.col("early"))
+    moved = one.withColumn("_own", F.when(F.col("key") == 5, (F.col("_own") + 1) % 5).otherwise(F.col("_own")))
+    assert S.freeze_check_assigned(one, one.repartition(3, "key"), "key").first().asDict() == {"added": 0, "missing": 0}
+    for a, b in ((one, moved), (moved, one), (one, one.where("key <> 9")), (one.union(one), one)):
+        assert S.freeze_check_assigned(a, b, "key").first() == S.freeze_check(S.protocol_rows(a, ["key"]), S.protocol_rows(b, ["key"])).first()
+    assert S.freeze_check_assigned(one, moved, "key").first()["added"] > 0
