@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hash32
-from ..session import settle
+from ..session import materialise, settle
 from .ranking import attach, first_by
 
 #: Rows per block: bounds the memory of one task.
@@ -114,7 +114,8 @@ def distance_sums(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     block is finished there, so of all those only the smallest mean distance
     is kept, in ``best``. Blocks follow the label order, so few labels span
     blocks and a row emits a handful of values per block, however many labels
-    there are. Each pair of blocks is computed once for both of its sides.
+    there are. Each pair of blocks is computed once for both of its sides; blocks
+    are packed and stored, and pairs of them are a product of stored parts.
     """
     n = df.count()
     blocks = _block_count(n)
@@ -135,39 +136,66 @@ def distance_sums(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
         F.col(key).alias("k"), F.col(vec).alias("v"), F.col(label).alias("l"),
         F.col("_c").alias("c"), F.col("_whole").alias("whole"), block_at(spot).alias("b"),
     )
-    spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "k", "v", "l", "c", "whole", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
-    )
     columns = ["k", "l", "other", "total", "best"]
 
-    def reduce(dist, rows, cols):
-        names, first, which = np.unique(cols.l.to_numpy(), return_index=True, return_inverse=True)
-        total = np.zeros((len(names), len(rows)))
-        np.add.at(total, which, dist.T)
-        size, whole = cols.c.to_numpy()[first], cols.whole.to_numpy()[first].astype(bool)
-        own = names[:, None] == rows.l.to_numpy()[None, :]
-        means = np.where(whole[:, None] & ~own, total / size[:, None], np.inf)
-        k, l = rows.k.to_numpy(), rows.l.to_numpy()
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("l", kind="stable")
+        return pd.DataFrame({
+            "b": pdf["b"].iloc[:1], "k": [list(pdf["k"])], "l": [list(pdf["l"])], "v": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()],
+            "c": [pdf["c"].to_numpy(np.int64).tobytes()], "whole": [pdf["whole"].to_numpy(bool).tobytes()],
+        })
+
+    packed = placed.repartition(min(blocks, 10_000), "b").groupBy("b").applyInPandas(
+        pack, f"b int, k array<{kkind}>, l array<{lkind}>, v binary, c binary, whole binary"
+    )
+    stored = materialise(packed, "blocks")
+    left, right = (stored.select(*[F.col(c).alias(f"{side}_{c}") for c in stored.columns]) for side in "ij")
+
+    def side_of(row, side: str) -> dict:
+        k, l = np.asarray(getattr(row, f"{side}_k")), np.asarray(getattr(row, f"{side}_l"))
+        first = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]]))
+        code = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(l))))
+        return {
+            "k": k, "l": l, "first": first, "code": code, "v": np.frombuffer(getattr(row, f"{side}_v")).reshape(len(k), -1),
+            "size": np.frombuffer(getattr(row, f"{side}_c"), np.int64)[first], "whole": np.frombuffer(getattr(row, f"{side}_whole"), bool)[first],
+        }
+
+    def reduce(total, rows, cols):
+        """What rows get from the labels of a block, from (label, row) sums."""
+        names, whole = cols["l"][cols["first"]], cols["whole"]
+        k, l = rows["k"], rows["l"]
+        own = names[:, None] == l[None, :]
+        means = np.where(whole[:, None] & ~own, total / cols["size"][:, None], np.inf)
         at, row = np.nonzero(own | ~whole[:, None])
         sums = pd.DataFrame({"k": k[row], "l": l[row], "other": names[at], "total": total[at, row], "best": np.inf})
         mins = pd.DataFrame({"k": k, "l": l, "other": l, "total": 0.0, "best": means.min(0)})
-        return pd.concat([sums, mins])
+        return pd.concat([sums, mins])[columns]
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf.i.iat[0], pdf.j.iat[0]
-        left, right = pdf[pdf.b == i], pdf[pdf.b == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        dist = np.sqrt(np.maximum(d2, 0.0))
-        if i == j:
-            dist[left.k.to_numpy()[:, None] == right.k.to_numpy()[None, :]] = 0.0
-            return reduce(dist, left, right)
-        return pd.concat([reduce(dist, left, right), reduce(dist.T, right, left)])
-
-    parts = spread.groupBy("i", "j").applyInPandas(
-        cell, f"k {kkind}, l {lkind}, other {lkind}, total double, best double"
+    def meet(batches):
+        for part in batches:
+            for row in part.itertuples(index=False):
+                x, y, same = side_of(row, "i"), side_of(row, "j"), row.i_b == row.j_b
+                a, b = x["v"], y["v"]
+                aa, bb = (a * a).sum(1), (b * b).sum(1)
+                to_y, to_x = np.zeros((len(y["first"]), len(a))), np.zeros((len(x["first"]), len(b)))
+                key_code = np.unique(x["k"], return_inverse=True)[1] if same else None
+                for lo in range(0, len(a), 512):  # some rows at a time
+                    some = slice(lo, lo + 512)
+                    dist = np.sqrt(np.maximum(aa[some, None] + bb[None, :] - 2 * a[some] @ b.T, 0.0))
+                    if same:
+                        dist[key_code[some, None] == key_code[None, :]] = 0.0
+                    to_y[:, some] = np.add.reduceat(dist, y["first"], axis=1).T
+                    if not same:
+                        code = x["code"][some]
+                        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                        to_x[code[first]] += np.add.reduceat(dist, first, axis=0)
+                yield reduce(to_y, x, y)
+                if not same:
+                    yield reduce(to_x, y, x)
+
+    # every pair of blocks once: a product of stored blocks, for which no vector is shuffled
+    parts = left.crossJoin(right).where("i_b <= j_b").mapInPandas(
+        meet, f"k {kkind}, l {lkind}, other {lkind}, total double, best double"
     )
     return parts.groupBy(F.col("k").alias(key), F.col("l").alias(label), "other").agg(
         F.sum("total").alias("total"), F.min("best").alias("best")

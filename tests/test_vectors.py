@@ -126,6 +126,13 @@ def test_silhouette_with_many_labels(points, monkeypatch):
     assert emitted <= 2 + K._block_count(240)
 
 
+def test_vectors_are_not_copied_for_each_block(points, monkeypatch):
+    """Pairs of blocks are a product of stored blocks: only reduced sums are shuffled."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 40)
+    plan = K.distance_sums(points, "key", "vec", "label")._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and ("CartesianProduct" in plan or "NestedLoopJoin" in plan)
+
+
 def test_centroids_and_many_class_path_agree(points, monkeypatch):
     few = {r["key"]: r["y_pred"] for r in M.nearest_centroid_oof(points, "key", "vec", "label").collect()}
     monkeypatch.setattr(M, "CLASS_LIMIT", 1)
