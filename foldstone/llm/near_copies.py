@@ -11,8 +11,8 @@ into the Gray-order index of :mod:`simhash`; those within ``distance`` bits
 form one bucket.
 
 Buckets only give candidates. Every member is first compared with its bucket's
-leader; what is left, members of one bucket in different groups, is compared
-pairwise in pages of bounded size, each page pair one small group of rows that
+leader; large buckets that still hold several groups get further leaders; what
+is left, members of one bucket in different groups, is compared pairwise in pages of bounded size, each page pair one small group of rows that
 hands on a spanning forest. So no pair of a bucket is skipped that could still
 join two groups, and a bucket of many copies costs one comparison a member.
 
@@ -51,6 +51,9 @@ SAMPLE = 4
 DISTANCE = 1
 #: Texts of a page, about.
 PAGE = 32
+#: Buckets of more pages get further leaders first, at most so many.
+WIDE = 4
+LEADERS = 8
 #: Shingles put in order at once.
 PART = 1 << 16
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -147,12 +150,13 @@ def _sets(docs: DataFrame, text: str, members: DataFrame, width: int) -> DataFra
 
     wanted = members.select("digest").distinct()
     rows = docs.select(digest_of(text).alias("digest"), _plain(text_of(text)).alias("plain"))
-    rows = rows.join(wanted, "digest", "left_semi").select("digest", hashed("plain").alias("shingles"))
-    return materialise(rows.dropDuplicates(["digest"]), "sets")
+    # one text of each digest first: texts are shuffled, which pack better than hashes
+    rows = rows.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    return materialise(rows.select("digest", hashed("plain").alias("shingles")), "sets")
 
 
-def _leader_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) between the members of each bucket and its smallest one."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) that are similar."""
 
     @F.arrow_udf("boolean")
     def checked(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -160,22 +164,56 @@ def _leader_links(members: DataFrame, sets: DataFrame, least: float) -> DataFram
         kept = (similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(a, b))
         return pa.array(map(bool, kept), pa.bool_())
 
-    leaders = members.groupBy("bucket").agg(F.min("digest").alias("a"))
-    pairs = materialise(members.join(leaders, "bucket").where("digest <> a").select("a", F.col("digest").alias("b")).distinct(), "pairs")
     left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").where(checked("x", "y")).select("a", "b")
 
 
-def _rest_links(members: DataFrame, sets: DataFrame, groups: DataFrame, least: float, page: int) -> DataFrame:
-    """Verified links (a, b) between members of one bucket whose groups differ, as a forest for each pair of pages."""
+def _leader_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) between the members of each bucket and its smallest one."""
+    leaders = members.groupBy("bucket").agg(F.min("digest").alias("a"))
+    pairs = materialise(members.join(leaders, "bucket").where("digest <> a").select("a", F.col("digest").alias("b")).distinct(), "pairs")
+    return _verified(pairs, sets, least)
+
+
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, n, digest, g, big, n_big) of the members of buckets with several groups; ``big`` is the largest group of the bucket."""
     named = members.join(groups.withColumnRenamed("node", "digest"), "digest", "left").select(
         "bucket", "n", "digest", F.coalesce("component", "digest").alias("g")
     )
-    open_ = named.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("bucket")
-    pages = F.ceil(F.col("n") / page).cast("int")
-    paged = named.join(open_, "bucket").withColumn("pages", pages).withColumn("p", F.pmod(F.xxhash64("digest"), "pages").cast("int"))
-    # every page meets every page of its bucket once, itself included
+    sizes = named.groupBy("bucket", "g").agg(F.count(F.lit(1)).alias("c"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("c", "g")).alias("top"), F.count(F.lit(1)).alias("gs")).where("gs > 1")
+    return named.join(open_.select("bucket", F.col("top.g").alias("big"), F.col("top.c").alias("n_big")), "bucket")
+
+
+def _more_leaders(members: DataFrame, sets: DataFrame, found: DataFrame, groups: DataFrame, least: float, page: int) -> tuple[DataFrame, DataFrame]:
+    """Links and groups after further leaders of buckets that hold several groups and many pages.
+
+    A leader from outside the largest group is compared with all members of
+    other groups: a comparison a member. In a bucket of copies of one text a few
+    leaders join nearly all; what they do not join is left to the pages.
+    """
+    for turn in range(LEADERS):
+        rows = materialise(_open_members(members, groups).where(F.col("n") > WIDE * page), "open")
+        leader = F.min_by(F.struct(F.col("digest").alias("a"), F.col("g").alias("ga")), F.xxhash64(F.lit(turn), "digest")).alias("lead")
+        leads = rows.where("g <> big").groupBy("bucket").agg(leader).select("bucket", "lead.*")
+        pairs = materialise(rows.join(leads, "bucket").where("g <> ga").select("a", F.col("digest").alias("b")).distinct(), "pairs")
+        new = materialise(_verified(pairs, sets, least), "links")
+        if new.isEmpty():
+            break
+        found = found.union(new)
+        groups = materialise(components(found), "groups")
+    return found, groups
+
+
+def _rest_links(members: DataFrame, sets: DataFrame, groups: DataFrame, least: float, page: int) -> DataFrame:
+    """Verified links (a, b) between members of one bucket whose groups differ, as a forest for each pair of pages."""
+    rows = _open_members(members, groups)
+    # pages of the largest group come after those of the others; they need not meet each other
+    small, large = F.ceil((F.col("n") - F.col("n_big")) / page).cast("int"), F.ceil(F.col("n_big") / page).cast("int")
+    inside, at = F.col("g") == F.col("big"), F.xxhash64("digest")
+    paged = rows.withColumns({"pages": F.when(inside, small).otherwise(small + large), "p": F.when(inside, small + F.pmod(at, large)).otherwise(F.pmod(at, small)).cast("int")})
+    # every other pair of pages of a bucket meets once, a page and itself included
     meets = paged.select("bucket", "digest", "g", "p", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("q"))
     meets = meets.select("bucket", "digest", "g", "p", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).join(sets, "digest")
 
@@ -215,6 +253,7 @@ def near_copy_groups(docs: DataFrame, doc_id="doc_id", text="text", width: int =
     sets = _sets(docs, text, members, width)
     found = materialise(_leader_links(members, sets, least), "links")
     groups = materialise(components(found), "groups")
+    found, groups = _more_leaders(members, sets, found, groups, least, page)
     rest = materialise(_rest_links(members, sets, groups, least, page), "links")
     groups = components(found.union(rest)).withColumnRenamed("node", "digest")
     return texts.join(groups, "digest", "left").select(

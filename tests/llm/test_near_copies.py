@@ -65,6 +65,31 @@ def test_leader_does_not_hide_links_of_others(make_docs, monkeypatch):
     assert {r["doc_id"] for r in near_copies.deduplicated(docs, page=4).collect()} == want
 
 
+def test_large_buckets_are_joined_by_more_leaders(make_docs, monkeypatch):
+    """Copies of one text that the first leader does not join: few rows are left for pages, and groups stay exact."""
+    rng = random.Random(1)
+    base = rng.choices([f"w{i}" for i in range(400)], k=120)
+    texts = []
+    for i in range(90):
+        words = list(base)
+        words[rng.randrange(120)] = f"own{i}"
+        texts.append(" ".join(words))
+    texts += _corpus(7)[:20]
+    docs = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])
+    monkeypatch.setattr(near_copies, "_members", lambda texts, distance: _one_bucket(texts))
+    want = {i for i, top in enumerate(_brute(texts)) if i == top}
+    made, keep = [], near_copies._rest_links
+
+    def counted(members, sets, groups, least, page):
+        rows = near_copies._open_members(members, groups).collect()
+        made.append(sum(-(-(r["n"] - r["n_big"]) // page) if r["g"] == r["big"] else -(-r["n"] // page) + 1 for r in rows))
+        return keep(members, sets, groups, least, page)
+
+    monkeypatch.setattr(near_copies, "_rest_links", counted)
+    assert {r["doc_id"] for r in near_copies.deduplicated(docs, page=4).collect()} == want
+    assert 0 < made[0] < 110 * 28 / 2  # every member in every page before
+
+
 def _one_bucket(texts):
     from pyspark.sql import functions as F
 
