@@ -48,8 +48,10 @@ from pyspark.sql import functions as F
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words a generation of the cache holds (two are kept), and longest word kept.
-CACHE = 300_000
+#: Words a generation of the cache holds (two are kept), pairs of pieces kept, and longest word kept. Every Python
+#: worker of an executor has caches of its own, beside what its heap takes.
+CACHE = 150_000
+PAIRS = 300_000
 LONGEST_KEPT = 64
 #: Documents whose ids are held at once.
 SLICE = 128
@@ -224,7 +226,7 @@ class Transducer:
             key = left * len(self.pieces) + right
             known = self.pairs.get(key)
             if known is None:
-                if len(self.pairs) > CACHE:
+                if len(self.pairs) >= PAIRS:
                     self.pairs.clear()
                 known = self.pairs[key] = self.passes(line[a:b], line[b:c])
             return known

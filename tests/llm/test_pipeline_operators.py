@@ -245,6 +245,21 @@ TEXTS = [
 ]
 
 
+def test_word_and_pair_caches_are_bounded_apart(monkeypatch):
+    """Few words kept cost no known pairs, and the ids stay those of the whole cache."""
+    raw = piece_fst.read_model()
+    lines = [" ".join(f"w{i}ord{j}ing" for j in range(40)) for i in range(10)]
+    whole = piece_fst.Transducer.compile(raw)
+    expected = [whole.encode(x).tolist() for x in lines]
+    monkeypatch.setattr(piece_fst, "CACHE", 16)
+    few = piece_fst.Transducer.compile(raw)
+    assert [few.encode(x).tolist() for x in lines] == expected
+    assert len(few.words) <= 16 and len(few.older) <= 16 and len(few.pairs) == len(whole.pairs) > 16
+    monkeypatch.setattr(piece_fst, "PAIRS", 8)
+    least = piece_fst.Transducer.compile(raw)
+    assert [least.encode(x).tolist() for x in lines] == expected and len(least.pairs) <= 8
+
+
 def test_pieces_equal_the_library_and_decode(spark, make_docs):
     raw = piece_fst.read_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=raw)
