@@ -17,6 +17,7 @@ from ..operators import evaluate as E
 from ..operators import boosting as BO
 from ..operators import forest as FO
 from ..operators import models as M
+from ..operators import perceptron as NN
 from ..operators import series as R
 from ..operators import stacked as ST
 from ..operators import splits as S
@@ -368,7 +369,10 @@ def forest(spark, d):
     return FO.forest_oof(materialise(folded(spark, d), "folded"), "key", "vec", "label").select("key", "y_true", "y_pred")
 
 
-query("mdl_09")(_mllib("mlp", {}))
+@query("mdl_09")
+def perceptron(spark, d):
+    return NN.nets_oof(materialise(folded(spark, d), "folded"), "key", "vec", "label")
+
 
 #: Default settings over all folds; each takes a folded table.
 WHOLE = {
@@ -459,13 +463,7 @@ def frozen_head(spark, d):
     """A body from all sources, a head from the base source, for every fold."""
     own, external = sourced_folds(spark, d)
     own, external = materialise(own, "own"), materialise(external, "external")
-
-    def one(f):
-        train = own.where(F.col("fold") != f).drop("fold")
-        out = M.warm_start_head(train.unionByName(external), train, own.where(F.col("fold") == f).drop("fold"), "vec", "label", True)
-        return materialise(out.select("key", "y_true", "y_pred"), "head")
-
-    return _at_once(spark, one, range(K))
+    return NN.arms_oof(own, external, "key", "vec", "label", ["two_stage_frozen"]).select("key", "y_true", "y_pred")
 
 
 # ------------------------------------------------------------------- transfer
@@ -603,18 +601,7 @@ def four_arms(spark, d):
     """All arms on all folds, pooled."""
     own, external = sourced_folds(spark, d)
     own, external = materialise(own, "own"), materialise(external, "external")
-
-    def one(cell):
-        arm, f = cell
-        train, test = own.where(F.col("fold") != f).drop("fold"), own.where(F.col("fold") == f).drop("fold")
-        everything = train.unionByName(external)
-        if arm in ("ravdess_only", "pooled"):
-            out = M.fit_predict("mlp", train if arm == "ravdess_only" else everything, test, "vec", "label", "key", params={"max_iter": 100})
-        else:
-            out = M.warm_start_head(everything, train, test, "vec", "label", arm == "two_stage_frozen")
-        return materialise(out.select(F.lit(arm).alias("arm"), "y_true", "y_pred"), "arm")
-
-    return tidy(E.score(_at_once(spark, one, [(arm, f) for arm in ARMS for f in range(K)]), "arm"))
+    return tidy(E.score(NN.arms_oof(own, external, "key", "vec", "label", ARMS), "arm"))
 
 
 @query("trf_08")
