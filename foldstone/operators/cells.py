@@ -20,19 +20,29 @@ are rounded, so the result is exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import materialise
 from .ranking import first_by
 
-#: Rows of a reference block, and queries of a packed query block.
+#: Rows of a reference block, and queries of a packed query block: a reference block goes to Python once a pack.
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
+QUERY_ROWS = 4096
+#: Bytes of packed queries handed on at once, queries multiplied with a block at once, and candidates measured at once.
+DEALT_BYTES = 16 << 20
+PRODUCT_ROWS = 256
+MEASURED = 65_536
+#: Shares of a block's packs that can go to different tasks.
+SHARES = 4
 #: Rows of the sample that pivots are spread over, and reference rows for one pivot; the sample bounds the pivots.
 SAMPLE_ROWS = 4096
 ROWS_PER_PIVOT = 8192
@@ -52,6 +62,17 @@ def slack(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return SLACK * (1 + np.sqrt((q * q).sum(1)) + float(np.sqrt((x * x).sum(1).max(initial=0.0))))
 
 
+def as_bytes(x: np.ndarray) -> bytes:
+    """Vectors as bytes, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return (single if np.array_equal(single, x) else x.astype(np.float64)).tobytes()
+
+
+def from_bytes(raw, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
 def spread(x: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first points of a sample, fewer if all points are taken."""
     picked, near = [0], distances(x, x[:1])[:, 0]
@@ -110,7 +131,7 @@ def build_cells(refs: DataFrame, pivots: np.ndarray, key: str, vec: str, label:
             "sure": [len(part) - (0 if one_fold or fold is None else int(part["_fold"].value_counts().max()))],
             "folds": [part["_fold"].to_numpy(np.int32).tobytes()],
             "near": [part["_far"].iat[0]], "far": [part["_far"].iat[-1]], "keys": [list(part["_key"])], "labels": [list(part["_label"])],
-            "dist": [part["_far"].to_numpy(np.float64).tobytes()], "vecs": [np.stack(part["_vec"].to_numpy()).astype(np.float64).tobytes()],
+            "dist": [part["_far"].to_numpy(np.float64).tobytes()], "vecs": [as_bytes(np.stack(part["_vec"].to_numpy()).astype(np.float64))],
         })
 
     packed = cut.groupBy("_cell", "_part", "_block").applyInPandas(
@@ -169,47 +190,88 @@ def _searched(queries: DataFrame, blocks: DataFrame, directory: Directory, pick,
             limits, folds = part["limit"].to_numpy(np.float64), part["f"].to_numpy(np.int64)
             for lo in range(0, len(part), step):
                 some = slice(lo, lo + step)
-                use, out = pick(vecs[some], folds[some], limits[some]), []
+                use, out, held = pick(vecs[some], folds[some], limits[some]), [], 0
+                share = zlib.crc32(vecs[lo].tobytes()) % SHARES
                 for j in np.flatnonzero(use.any(0)).tolist():
                     own = np.flatnonzero(use[:, j]) + lo
-                    out.append((*cells[j], list(keys[own]), vecs[own].tobytes(), limits[own].tobytes(), folds[own].astype(np.int32).tobytes()))
-                yield pd.DataFrame(out, columns=["cell", "fold", "block", "qs", "q_vecs", "q_limits", "q_folds"])
-
-    dealt = queries.mapInPandas(deal, f"cell int, fold int, block int, qs array<{kinds['q']}>, q_vecs binary, q_limits binary, q_folds binary")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.itertuples(index=False):
-                q = np.frombuffer(row.q_vecs).reshape(len(row.qs), -1)
-                x, dist, limits = np.frombuffer(row.vecs).reshape(len(row.keys), -1), np.frombuffer(row.dist), np.frombuffer(row.q_limits)
+                    out.append((*cells[j], share, list(keys[own]), as_bytes(vecs[own]), limits[own].tobytes(), folds[own].astype(np.int32).tobytes()))
+                    held += 8 * vecs.shape[1] * len(own)
+                    if held >= DEALT_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+
+    names = ["cell", "fold", "block", "share", "qs", "q_vecs", "q_limits", "q_folds"]
+    dealt = queries.mapInPandas(deal, f"cell int, fold int, block int, share int, qs array<{kinds['q']}>, q_vecs binary, q_limits binary, q_folds binary")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                # a row is read where it arrived: its block is not copied but for what is multiplied
+                qs, keys, labels = (col[c][i].values.to_numpy(zero_copy_only=False) for c in ("qs", "keys", "labels"))
+                limits, dist = np.frombuffer(col["q_limits"][i].as_buffer()), np.frombuffer(col["dist"][i].as_buffer())
+                q_folds, folds = (np.frombuffer(col[c][i].as_buffer(), np.int32) for c in ("q_folds", "folds"))
+                centre = pivots[col["cell"][i].as_py()]
+                q, x = from_bytes(col["q_vecs"][i].as_buffer(), len(qs), len(centre)), from_bytes(col["vecs"][i].as_buffer(), len(keys), len(centre))
                 # rows lie in the order of their distance to the pivot: those beyond every query's reach are cut off
-                to, reach = distances(q, pivots[row.cell:row.cell + 1])[:, 0], limits + slack(q, x)
+                to, reach = distances(q, centre[None, :])[:, 0], limits + slack(q, x)
                 a, b = np.searchsorted(dist, (to - reach).min()), np.searchsorted(dist, (to + reach).max(), "right")
                 if a < b:
-                    barred = np.frombuffer(row.q_folds, np.int32)[:, None] == np.frombuffer(row.folds, np.int32)[None, a:b] if other_folds else None
-                    yield _block_best(np.asarray(row.qs), q, limits, np.asarray(row.keys)[a:b], np.asarray(row.labels)[a:b], x[a:b], k, barred)
+                    best = _block_best(qs, q, limits, keys[a:b], labels[a:b], x[a:b], k, centre, (q_folds, folds[a:b]) if other_folds else None)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(best, types)], names=["q", "distance", "r", "rl"])
 
-    pairs = dealt.join(blocks.select("cell", "fold", "block", "keys", "labels", "folds", "dist", "vecs"), ["cell", "fold", "block"])
-    return pairs.select("cell", "qs", "q_vecs", "q_limits", "q_folds", "keys", "labels", "folds", "dist", "vecs").mapInPandas(
-        search, f"q {kinds['q']}, distance double, r {kinds['r']}, rl {kinds['rl']}"
-    )
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    pairs = dealt.join(blocks.select("cell", "fold", "block", "keys", "labels", "folds", "dist", "vecs", shares.alias("share")), ["cell", "fold", "block", "share"])
+    schema = f"q {kinds['q']}, distance double, r {kinds['r']}, rl {kinds['rl']}"
+    types = to_arrow_schema(StructType.fromDDL(schema)).types
+    return pairs.select("cell", "qs", "q_vecs", "q_limits", "q_folds", "keys", "labels", "folds", "dist", "vecs").mapInArrow(search, schema)
 
 
-def _block_best(qs, q, limits, keys, labels, x, k, barred=None) -> pd.DataFrame:
-    """The k nearest rows of a block for each query, ties to smaller keys, none beyond a query's limit."""
-    d, wide = distances(q, x), slack(q, x)
-    if barred is not None:
-        d[barred] = np.inf
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1] if x.shape[0] > k else np.full(len(q), np.inf)
-    row, col = np.nonzero((d <= (np.minimum(edge, limits) + wide)[:, None]) & np.isfinite(d))
-    # what is left is few: exact distances, and keys decide between equal ones
-    exact = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
-    place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-    order = np.lexsort((place[col], exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    start = np.searchsorted(row, np.arange(len(q)))
-    keep = np.arange(len(row)) - start[row] < k
-    return pd.DataFrame({"q": qs[row[keep]], "distance": exact[keep], "r": keys[col[keep]], "rl": labels[col[keep]]})
+def _block_best(qs, q, limits, keys, labels, x, k, centre, folds=None) -> tuple:
+    """(q, distance, r, rl) of the k nearest rows of a block for each query, ties to smaller keys.
+
+    With ``folds`` (of queries, of rows), rows of a query's own fold are left out.
+    Products in single precision about the block's pivot say which rows can be near
+    enough, by more than they are rounded; those alone are measured exactly.
+    """
+    a, b = q - centre, x - centre
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    # d^2 = aa - 2 s with s = ab - bb/2: a row is near if s is large
+    single = np.float32 if aa.max() + bb.max() < 1e30 else np.float64
+    left, right = np.c_[a, np.ones(len(a))].astype(single), np.c_[b, -0.5 * bb].astype(single)
+    most, norm = bb.max(), np.sqrt((q * q).sum(1))
+    wide = 4 * np.finfo(np.float32).eps * (x.shape[1] + 4) * (np.sqrt(aa * most) + most) + 1e-30
+    wide += 1e-12 * (aa + most) + 1e-13 * norm * (np.sqrt(aa) + np.sqrt(most))
+    rows, cols = [], []
+    for lo in range(0, len(q), PRODUCT_ROWS):
+        some = slice(lo, lo + PRODUCT_ROWS)
+        s = left[some] @ right.T
+        reach = np.where(np.isfinite(limits[some]), limits[some], 0.0)
+        edge = np.where(np.isfinite(limits[some]), 0.5 * (aa[some] - reach**2), -np.inf)
+        blind = np.flatnonzero(np.isinf(edge))  # no limit yet: the block's own k-th row is one
+        if len(blind) and len(x) > k:
+            open_ = s[blind]
+            if folds is not None:
+                open_[folds[0][some][blind, None] == folds[1][None, :]] = -np.inf
+            edge[blind] = np.partition(open_, len(x) - k, axis=1)[:, len(x) - k]
+        row, col = np.nonzero(s >= (edge - wide[some])[:, None].astype(np.float64))
+        if folds is not None:
+            keep = folds[0][some][row] != folds[1][col]
+            row, col = row[keep], col[keep]
+        exact = np.empty(len(row))
+        for at in range(0, len(row), MEASURED):
+            part = slice(at, at + MEASURED)
+            exact[part] = np.sqrt(((q[some][row[part]] - x[col[part]]) ** 2).sum(1))
+        place = np.unique(keys[col], return_inverse=True)[1] if len(col) else col
+        order = np.lexsort((place, exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, np.arange(len(left[some])))[row] < k
+        rows.append((row[first] + lo, exact[first]))
+        cols.append(col[first])
+    row, col = np.concatenate([r for r, _ in rows]), np.concatenate(cols)
+    return qs[row], np.concatenate([e for _, e in rows]), keys[col], labels[col]
 
 
 def nearest_in_cells(

@@ -1,5 +1,7 @@
 """The cell index against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -71,3 +73,39 @@ def test_few_and_no_references(spark):
     assert sorted((r["key"], r["ref"]) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1)]
     assert cells.nearest_in_cells(refs, refs.where("false"), 5, "key", "vec", "label").count() == 0
     assert cells.nearest_in_cells(refs.where("false"), refs, 5, "key", "vec", "label").count() == 0
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e25])
+@pytest.mark.parametrize("limited", [False, True])
+def test_block_search_at_any_scale(scale, limited):
+    """Single precision only narrows down: order, ties and folds are those of exact distances."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8))
+    x[200:300] = x[200]
+    x, q = x * scale, x[::6] * scale
+    keys, folds = rng.permutation(600), np.arange(600, dtype=np.int32) % 3
+    d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    d[folds[::6, None] == folds[None, :]] = np.inf
+    limits = np.sort(d, axis=1)[:, 3] if limited else np.full(len(q), np.inf)
+    got = cells._block_best(np.arange(len(q)), q, limits, keys, keys, x, 4, x.mean(0), (folds[::6], folds))
+    for i in range(len(q)):
+        want = np.lexsort((keys, d[i]))[:4]
+        assert got[2][got[0] == i].tolist() == keys[want].tolist()
+        assert got[1][got[0] == i] == pytest.approx(d[i][want], rel=1e-12)
+
+
+def test_copies_in_a_block_are_measured_in_parts():
+    """A block of copies: each is as near as the k-th, and no array holds the vectors of all pairs (1 GB here)."""
+    x = np.ones((8192, 64))
+    tracemalloc.start()
+    got = cells._block_best(np.arange(256), x[:256], np.full(256, np.inf), np.arange(8192)[::-1], np.zeros(8192), x, 3, np.zeros(64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[2][:3].tolist() == [0, 1, 2] and len(got[0]) == 768 and most < 400e6
+
+
+def test_vectors_travel_in_single_precision_where_nothing_is_lost():
+    x = np.random.default_rng(1).normal(size=(5, 3))
+    single = x.astype(np.float32).astype(float)
+    assert len(cells.as_bytes(single)) == 60 and len(cells.as_bytes(x)) == 120
+    assert np.array_equal(cells.from_bytes(cells.as_bytes(single), 5, 3), single) and np.array_equal(cells.from_bytes(cells.as_bytes(x), 5, 3), x)
