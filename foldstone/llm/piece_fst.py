@@ -49,8 +49,8 @@ META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words a generation of the cache holds (two are kept), pairs of pieces kept, and longest word kept. Every Python
-#: worker of an executor has caches of its own, beside what its heap takes.
-CACHE = 150_000
+#: worker of an executor has caches of its own; fewer words take less memory and more time.
+CACHE = 300_000
 PAIRS = 300_000
 LONGEST_KEPT = 64
 #: Documents whose ids are held at once.
@@ -105,6 +105,7 @@ class Transducer:
     older: dict[str, bytes] = field(default_factory=dict)
     inner: set[str] = field(default_factory=set)
     least: float = 0.0
+    room: int = CACHE
 
     @classmethod
     def compile(cls, raw: bytes) -> Transducer:
@@ -333,7 +334,7 @@ class Transducer:
         if ids is None:
             ids = self._parts(line)
         if len(key) <= LONGEST_KEPT:
-            if len(self.words) >= CACHE:  # what is not met for a whole generation is forgotten
+            if len(self.words) >= self.room:  # what is not met for a whole generation is forgotten
                 self.older, self.words = self.words, {}
             self.words[key] = ids
         return ids
@@ -395,12 +396,13 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: bytes
     return docs.withColumn(out, decoded(F.col(ids)))
 
 
-def coded(docs: DataFrame, model: bytes | None = None) -> DataFrame:
+def coded(docs: DataFrame, model: bytes | None = None, room: int = CACHE) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every document: encoded, and decoded again in the same task."""
     state = docs.sparkSession.sparkContext.broadcast(model or read_model())
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(state.value)
+        machine.room = room
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

@@ -251,8 +251,8 @@ def test_word_and_pair_caches_are_bounded_apart(monkeypatch):
     lines = [" ".join(f"w{i}ord{j}ing" for j in range(40)) for i in range(10)]
     whole = piece_fst.Transducer.compile(raw)
     expected = [whole.encode(x).tolist() for x in lines]
-    monkeypatch.setattr(piece_fst, "CACHE", 16)
     few = piece_fst.Transducer.compile(raw)
+    few.room = 16
     assert [few.encode(x).tolist() for x in lines] == expected
     assert len(few.words) <= 16 and len(few.older) <= 16 and len(few.pairs) == len(whole.pairs) > 16
     monkeypatch.setattr(piece_fst, "PAIRS", 8)
