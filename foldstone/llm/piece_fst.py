@@ -104,6 +104,9 @@ class Transducer:
     words: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
     inner: set[str] = field(default_factory=set)
+    halves: dict[str, tuple[str, str]] = field(default_factory=dict)
+    edges: tuple[dict, dict] = field(default_factory=lambda: ({}, {}))
+    longest: int = 0
     least: float = 0.0
     room: int = CACHE
 
@@ -139,11 +142,14 @@ class Transducer:
                 self.unknown = i
         # BPE pieces that merging never reaches from their characters are on no path
         reached = usable if self.model == UNIGRAM else [i for i in usable if len(self.merged(self.pieces[i])) == 1]
+        # a node holds its children and, where a piece ends, the piece
         for i in reached:
-            node = self.trie
-            for char in self.pieces[i]:
-                node = node.setdefault(char, {})
-            node[""] = i
+            kids, chars = self.trie, self.pieces[i]
+            for at, char in enumerate(chars, 1):
+                below, piece = kids.get(char, ({}, None))
+                kids[char] = (below, i if at == len(chars) else piece)
+                kids = below
+        self.longest = max((len(self.pieces[i]) for i in reached), default=0)
         self.inner = {c for p in self.ids if len(p) > 1 for c in p}
         # where no piece reaches across, texts are cut: the finest rule whose borders all hold
         self.parts = next((r for r in (_FINE, _COARSE) if all(len(r.findall(p)) == 1 for p in self.ids)), None)
@@ -170,13 +176,13 @@ class Transducer:
 
     def arcs(self, line: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the arcs that leave a position; fallback (-1) where its character has none."""
-        found, node, end, n = [], self.trie, at, len(line)
-        while end < n:
-            node = node.get(line[end])
+        found, kids, end = [], self.trie, at
+        for char in line[at:at + self.longest]:
+            node = kids.get(char)
             if node is None:
                 break
             end += 1
-            piece = node.get("")
+            kids, piece = node
             if piece is not None:
                 found.append((end, piece))
         if not found or found[0][0] != at + 1:
@@ -189,6 +195,7 @@ class Transducer:
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, str]] = []
+        last = None
 
         def offer(i: int) -> None:
             j = after[i]
@@ -204,6 +211,7 @@ class Transducer:
             j = after[i] if parts[i] is not None else len(parts)
             if j >= len(parts) or parts[i] + parts[j] != both:
                 continue
+            last = parts[i], parts[j]
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[j] < len(parts):
@@ -211,15 +219,56 @@ class Transducer:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return [p for p in parts if p is not None]
+        out = [p for p in parts if p is not None]
+        if len(out) == 1 and last:
+            self.halves[line] = last
+        return out
+
+    def _rank(self, piece: str) -> float:
+        """When a piece is merged; never for a character."""
+        return -self.scores[self.ids[piece]] if len(piece) > 1 else -float("inf")
+
+    def _edge(self, piece: str, side: int) -> list[tuple[str, float]] | None:
+        """What stands at the left (0) or right (1) end of a piece while it is merged, each with the rank that consumes it.
+
+        None if a merge inside has no better rank than a later one: only then are ranks not the order of time.
+        """
+        known = self.edges[side]
+        if piece not in known:
+            out = [(piece, float("inf"))]
+            todo = [piece]
+            while todo:
+                whole = todo.pop()
+                if len(whole) == 1:
+                    continue
+                parts = self.halves.get(whole)
+                if parts is None or max(map(self._rank, parts)) >= self._rank(whole):
+                    out = None
+                    break
+                todo += parts
+                if whole == out[-1][0]:
+                    out.append((parts[side], self._rank(whole)))
+            known[piece] = out and out[::-1]
+        return known[piece]
 
     def passes(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both leaves exactly these two."""
-        ids = self.ids
-        # no merge can cross where no piece does
-        if not any(left[i:] + right[:j] in ids for i in range(len(left)) for j in range(1, len(right) + 1)):
-            return True
-        return self.merged(left + right) == [left, right]
+        """Whether merging the characters of both leaves exactly these two: whether no merge crosses the border in time."""
+        a, b = self._edge(left, 1), self._edge(right, 0)
+        if a is None or b is None:
+            return self.merged(left + right) == [left, right]
+        get, i, j = self.ids.get, 0, 0
+        while True:
+            (x, x_ends), (y, y_ends) = a[i], b[j]
+            across = get(x + y)
+            # of equal ranks the leftmost comes first: what ends x, the merge across, what ends y
+            if across is not None and x_ends > -self.scores[across] <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                if x_ends == float("inf"):
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _pair(self, line: str, a: int, b: int, c: int, left: int, right: int) -> bool:
         """Whether the pair machine lets ``line[a:b]``, ``line[b:c]`` stand side by side."""

@@ -260,6 +260,40 @@ def test_word_and_pair_caches_are_bounded_apart(monkeypatch):
     assert [least.encode(x).tolist() for x in lines] == expected and len(least.pairs) <= 8
 
 
+def test_pairs_pass_without_merging_them(monkeypatch):
+    """The ranks at the border decide on a pair; characters are merged again only where ranks are not the order of time."""
+    machine = piece_fst.Transducer.compile(piece_fst.read_model())
+    pieces = [p for p in machine.halves if machine._edge(p, 0) and machine._edge(p, 1)]
+    assert len(pieces) > 0.99 * len(machine.halves)
+    rng = random.Random(7)
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(2000)]
+    for _ in range(4000):  # cut out of pieces that could cross
+        line = rng.choice(pieces) + rng.choice(pieces)
+        at = rng.randrange(1, len(line))
+        pairs += [(line[:at], line[at:])] if all(p in pieces for p in (line[:at], line[at:])) else []
+    wanted = [machine.merged(a + b) == [a, b] for a, b in pairs]
+    monkeypatch.setattr(machine, "merged", lambda line: pytest.fail(f"merged {line}"))
+    assert [machine.passes(a, b) for a, b in pairs] == wanted and {True, False} == set(wanted)
+
+
+def test_pairs_of_any_ranks_pass_as_merging_says():
+    rng = random.Random(8)
+    for draw in range(12):
+        parts = ["a", "b", "c"] + ["".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(25)]
+        parts = list(dict.fromkeys(parts))
+        # ranks in the order of lengths, in any order, and with ties
+        scores = [-float(len(p) * 10 if draw % 3 == 0 else rng.randint(0, 40) if draw % 3 == 1 else len(p) * 100 + i) for i, p in enumerate(parts)]
+        machine = piece_fst.Transducer(parts, scores, [piece_fst.NORMAL] * len(parts), piece_fst.BPE, dummy=False)
+        machine._build()
+        single = [p for p in parts if len(machine.merged(p)) == 1]
+        for a in single:
+            for b in single:
+                assert machine.passes(a, b) == (machine.merged(a + b) == [a, b]), (draw, a, b)
+        for _ in range(100):
+            line = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
+            assert [parts[i] for i in machine.path(line)] == machine.merged(line)
+
+
 def test_pieces_equal_the_library_and_decode(spark, make_docs):
     raw = piece_fst.read_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=raw)
