@@ -11,10 +11,16 @@ into the Gray-order index of :mod:`simhash`; those within ``distance`` bits
 form one bucket.
 
 Buckets only give candidates. Every member is first compared with its bucket's
-leader; large buckets that still hold several groups get further leaders; what
-is left, members of one bucket in different groups, is compared pairwise in pages of bounded size, each page pair one small group of rows that
+leader; large buckets that still hold several groups get further leaders. What
+is left are members of one bucket in different groups. In a large bucket each
+gives its first shingles in an order of the bucket, rare ones first: two
+similar sets share one of these (prefix filter). Rare ones name the pairs to
+compare; only members that share a frequent one still meet all others of that
+kind, as all members of a small bucket do:
+pairwise in pages of bounded size, each page pair one small group of rows that
 hands on a spanning forest. So no pair of a bucket is skipped that could still
-join two groups, and a bucket of many copies costs one comparison a member.
+join two groups, and a bucket of many copies, or of many texts a little too far
+from one text, costs a few comparisons a member.
 
 Shingles are compared by 64-bit hashes. Case of A-Z and white space are
 ignored: texts that differ in nothing else are one text.
@@ -51,9 +57,12 @@ SAMPLE = 4
 DISTANCE = 1
 #: Texts of a page, about.
 PAGE = 32
-#: Buckets of more pages get further leaders first, at most so many.
+#: Buckets of more pages get further leaders first, at most so many, and are then met by first shingles.
 WIDE = 4
 LEADERS = 8
+#: Members of a large bucket that tell its frequent shingles, about, and members whose first shingles meet at once.
+TOLD = 64
+MET = 1024
 #: Shingles put in order at once.
 PART = 1 << 16
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,6 +125,53 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def common_shingles(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that at least two of the sets hold, and how many do."""
+    found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+    return found[counts > 1], counts[counts > 1]
+
+
+def first_shingles(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, shortest: int, least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order (count, hash), so many that similar sets of ``shortest`` shingles or more share one."""
+    n = len(shingles)
+    # a similar set has at least so many shingles, and shares at least so many
+    shared = least / (1 + least) * (n + max(shortest, least * n))
+    many = max(0, n - int(np.ceil(shared - 1e-6)) + 1)
+    at = np.searchsorted(common, shingles)
+    hit = at < len(common)
+    hit[hit] = common[at[hit]] == shingles[hit]
+    order = np.zeros(n, np.int64)
+    order[hit] = counts[at[hit]]
+    return shingles[np.argsort(order, kind="stable")[:many]]
+
+
+def meetings(firsts: list[np.ndarray], groups: list, most: int) -> tuple[set[tuple[int, int]], set[int]]:
+    """Pairs of members of different groups that share a shingle of at most ``most`` members, and the members that share another one."""
+    tokens = np.concatenate([np.zeros(0, np.uint64), *firsts])
+    who = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+    order = np.argsort(tokens, kind="stable")
+    tokens, who = tokens[order], who[order]
+    starts = np.nonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))[0] if len(tokens) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(tokens))
+    pairs: set[tuple[int, int]] = set()
+    crowded: set[int] = set()
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+        run = who[a:b].tolist()
+        if len({groups[i] for i in run}) == 1:
+            continue
+        if len(run) > most:
+            crowded.update(run)
+        else:
+            pairs.update((i, j) for k, i in enumerate(run) for j in run[k + 1:] if groups[i] != groups[j])
+    return pairs, crowded
+
+
+def differing(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> int:
+    """In how many shingles a set differs from those that over half as many members hold as the most frequent one."""
+    core = common[counts * 2 > counts.max(initial=0)]
+    return len(shingles) + len(core) - 2 * len(np.intersect1d(shingles, core, assume_unique=True))
+
+
 def _prints(docs: DataFrame, doc_id: str, text: str, width: int, views: int, sample: int) -> DataFrame:
     """(digest, none, id, fps) of every distinct text: its smallest id, null last, and its fingerprints."""
 
@@ -186,29 +242,117 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     return named.join(open_.select("bucket", F.col("top.g").alias("big"), F.col("top.c").alias("n_big")), "bucket")
 
 
+def _common(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of large buckets with their shingles, and (bucket, shortest, common, counts) as told by some of them.
+
+    What is told only says which leader and which order serve best; results do not depend on it.
+    """
+    placed = materialise(rows.join(sets, "digest").select(*rows.columns, "shingles"), "large")
+    told = placed.where(F.pmod(F.xxhash64("bucket", "digest"), "n") < TOLD).select("bucket", "shingles")
+
+    def common(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found, counts = common_shingles([np.frombuffer(s, np.uint64) for s in part["shingles"]])
+        return pd.DataFrame({"bucket": [key[0]], "common": [found.tobytes()], "counts": [counts.astype(np.int64).tobytes()]})
+
+    known = told.groupBy("bucket").applyInPandas(common, "bucket bigint, common binary, counts binary")
+    shortest = placed.groupBy("bucket").agg(F.min(F.length("shingles") / 8).cast("int").alias("shortest"))
+    return placed, materialise(shortest.join(known, "bucket", "left"), "common")
+
+
+def _view(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind) if value.is_valid else np.zeros(0, kind)
+
+
+def _hubs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, a, ga): of each large bucket the member that differs least from what most of its members share, and its group."""
+
+    @F.arrow_udf("bigint")
+    def distance(shingles: pa.Array, common: pa.Array, counts: pa.Array) -> pa.Array:
+        return pa.array((differing(_view(s, np.uint64), _view(c, np.uint64), _view(k, np.int64)) for s, c, k in zip(shingles, common, counts)), pa.int64())
+
+    placed, known = _common(rows, sets)
+    far = placed.join(known, "bucket").select("bucket", "digest", "g", distance("shingles", "common", "counts").alias("far"))
+    lead = F.min_by(F.struct(F.col("digest").alias("a"), F.col("g").alias("ga")), F.struct("far", "digest")).alias("lead")
+    return far.groupBy("bucket").agg(lead).select("bucket", "lead.*")
+
+
 def _more_leaders(members: DataFrame, sets: DataFrame, found: DataFrame, groups: DataFrame, least: float, page: int) -> tuple[DataFrame, DataFrame]:
     """Links and groups after further leaders of buckets that hold several groups and many pages.
 
-    A leader from outside the largest group is compared with all members of
-    other groups: a comparison a member. In a bucket of copies of one text a few
-    leaders join nearly all; what they do not join is left to the pages.
+    The first is the member nearest to what most of the bucket share, each later one any from
+    outside the largest group; it is compared with all members of other groups: a comparison a
+    member. In a bucket of copies of one text a few leaders join nearly all; what they do not
+    join is left to the first shingles and the pages.
     """
     for turn in range(LEADERS):
         rows = materialise(_open_members(members, groups).where(F.col("n") > WIDE * page), "open")
-        leader = F.min_by(F.struct(F.col("digest").alias("a"), F.col("g").alias("ga")), F.xxhash64(F.lit(turn), "digest")).alias("lead")
-        leads = rows.where("g <> big").groupBy("bucket").agg(leader).select("bucket", "lead.*")
+        if rows.isEmpty():
+            break
+        if turn:
+            leader = F.min_by(F.struct(F.col("digest").alias("a"), F.col("g").alias("ga")), F.xxhash64(F.lit(turn), "digest")).alias("lead")
+            leads = rows.where("g <> big").groupBy("bucket").agg(leader).select("bucket", "lead.*")
+        else:
+            leads = _hubs(rows, sets)
         pairs = materialise(rows.join(leads, "bucket").where("g <> ga").select("a", F.col("digest").alias("b")).distinct(), "pairs")
         new = materialise(_verified(pairs, sets, least), "links")
-        if new.isEmpty():
+        if not new.isEmpty():
+            found = found.union(new)
+            groups = materialise(components(found), "groups")
+        elif turn:
             break
-        found = found.union(new)
-        groups = materialise(components(found), "groups")
     return found, groups
 
 
+def _met_by_shingles(rows: DataFrame, sets: DataFrame, least: float, page: int) -> DataFrame:
+    """(bucket, a, b) of the pairs of large buckets to compare; without b, members that must meet all others without it.
+
+    A part of a bucket's first shingles is one group of rows, of about
+    :data:`MET` members' worth; a member travels once for each part it has
+    shingles in, so rows grow with the shingles and not with pairs.
+    """
+    placed, known = _common(rows, sets)
+
+    @F.arrow_udf("array<struct<part:int,firsts:binary>>")
+    def firsts(shingles: pa.Array, common: pa.Array, counts: pa.Array, shortest: pa.Array, parts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("part", pa.int32()), ("firsts", pa.binary())]))
+        out = []
+        for s, c, k, short, many in zip(shingles, common, counts, shortest.to_pylist(), parts.to_pylist()):
+            first = first_shingles(_view(s, np.uint64), _view(c, np.uint64), _view(k, np.int64), short, least)
+            part = (first % np.uint64(many)).astype(np.int32)
+            out.append([{"part": p, "firsts": first[part == p].tobytes()} for p in np.unique(part).tolist()])
+        return pa.array(out, kind)
+
+    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        names = part["digest"].tolist()
+        pairs, crowded = meetings([np.frombuffer(f, np.uint64) for f in part["firsts"]], part["g"].tolist(), page)
+        found = [(key[0], *sorted((names[i], names[j]))) for i, j in pairs] + [(key[0], names[i], None) for i in crowded]
+        return pd.DataFrame(found, columns=["bucket", "a", "b"])
+
+    parts = F.ceil(F.col("n") / MET).cast("int")
+    cut = placed.join(known, "bucket").select(
+        "bucket", "digest", "g", F.explode(firsts("shingles", "common", "counts", "shortest", parts)).alias("cut")
+    )
+    cut = cut.select("bucket", "digest", "g", "cut.*")
+    return materialise(cut.groupBy("bucket", "part").applyInPandas(meet, "bucket bigint, a binary, b binary"), "met")
+
+
 def _rest_links(members: DataFrame, sets: DataFrame, groups: DataFrame, least: float, page: int) -> DataFrame:
-    """Verified links (a, b) between members of one bucket whose groups differ, as a forest for each pair of pages."""
-    rows = _open_members(members, groups)
+    """Verified links (a, b) between members of one bucket whose groups differ."""
+    rows = materialise(_open_members(members, groups), "open")
+    large = rows.where(F.col("n") > WIDE * page)
+    rows = rows.where(F.col("n") <= WIDE * page)
+    if large.isEmpty():
+        return _page_links(rows, sets, least, page)
+    met = _met_by_shingles(large, sets, least, page)
+    pairs = materialise(met.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    crowded = met.where("b IS NULL").select("bucket", F.col("a").alias("digest")).distinct()
+    crowded = materialise(crowded.join(crowded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket"), "crowded")
+    rows = rows.unionByName(_open_members(crowded, groups))
+    return _verified(pairs, sets, least).union(_page_links(rows, sets, least, page))
+
+
+def _page_links(rows: DataFrame, sets: DataFrame, least: float, page: int) -> DataFrame:
+    """Verified links (a, b) between open members whose groups differ, as a forest for each pair of pages."""
     # pages of the largest group come after those of the others; they need not meet each other
     small, large = F.ceil((F.col("n") - F.col("n_big")) / page).cast("int"), F.ceil(F.col("n_big") / page).cast("int")
     inside, at = F.col("g") == F.col("big"), F.xxhash64("digest")

@@ -90,6 +90,56 @@ def test_large_buckets_are_joined_by_more_leaders(make_docs, monkeypatch):
     assert 0 < made[0] < 110 * 28 / 2  # every member in every page before
 
 
+def test_first_shingles_miss_no_similar_pair():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 120, np.uint64)
+    for least in (0.5, 0.8, 0.9):
+        sets = [np.zeros(0, np.uint64)]
+        for i in range(90):  # changes from a small stock, so that changed texts share some
+            own = rng.integers(0, 2**63, 400, np.uint64)[:4] if i % 2 else np.arange(400, dtype=np.uint64)
+            kept = rng.choice(base, 120 - rng.integers(0, 40), replace=False)
+            sets.append(np.unique(np.concatenate([kept, rng.choice(own, min(len(own), rng.integers(1, 30)), replace=False)])))
+        order = near_copies.common_shingles(sets[:20])
+        shortest = min(map(len, sets[1:]))
+        firsts = [near_copies.first_shingles(s, *order, shortest, least) for s in sets]
+        similar = {(i, j) for j in range(len(sets)) for i in range(j) if near_copies.similar(sets[i], sets[j], least)}
+        for most in (3, 30, 1000):
+            pairs, crowded = near_copies.meetings(firsts, list(range(len(sets))), most)
+            met = {tuple(sorted(p)) for p in pairs}
+            assert similar and all(p in met or crowded.issuperset(p) for p in similar)
+        assert not near_copies.meetings(firsts, [0] * len(sets), 3)[1]
+
+
+def test_texts_a_little_too_far_do_not_meet_all_others(make_docs, monkeypatch):
+    """Many texts near one text, most of them similar to nothing: rows for pages do not grow with their square."""
+    rng = random.Random(2)
+    base = rng.choices([f"w{i}" for i in range(400)], k=120)
+    texts = [" ".join(base)]
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 6), rng.choice((1, 2, 4, 5, 6))):
+            words[at] = f"own{i}" if i % 3 else "shared"
+        texts.append(" ".join(words))
+    docs = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])
+    monkeypatch.setattr(near_copies, "_members", lambda texts, distance: _one_bucket(texts))
+    made, keep = [], near_copies._page_links
+
+    def counted(rows, *rest):
+        rows = rows.collect()
+        page = rest[-1]
+        made.append(sum(-(-(r["n"] - r["n_big"]) // page) if r["g"] == r["big"] else -(-r["n"] // page) + 1 for r in rows))
+        return keep(rows_of(rows), *rest)
+
+    def rows_of(rows):
+        kind = "bucket bigint, n bigint, digest binary, g binary, big binary, n_big bigint"
+        return docs.sparkSession.createDataFrame(rows, kind)
+
+    monkeypatch.setattr(near_copies, "_page_links", counted)
+    want = {i for i, top in enumerate(_brute(texts)) if i == top}
+    assert {r["doc_id"] for r in near_copies.deduplicated(docs, page=4).collect()} == want
+    assert len(want) > 60 and made[0] < 4 * len(texts)
+
+
 def _one_bucket(texts):
     from pyspark.sql import functions as F
 
