@@ -283,11 +283,14 @@ def framing(spark, d):
 SELECT key, n // 128 + 1 AS frames, coalesce(energy, 0) AS energy FROM files LEFT JOIN (SELECT key, sum(y * y) AS energy FROM cut JOIN files USING (key) WHERE frame_idx <= n // 128 GROUP BY key) AS _e USING (key)""", "energy", digits=3))
 def framing_by_ranges(spark, d):
     """Frames of files on the shared folder, read by byte ranges of 2,048 samples: their number and the sum of their squares."""
-    root = scratch_path(spark, "wavs")
-    name = F.concat(F.col("key").cast("string"), F.lit(".wav"))
-    written = RC.write_files(wav_files(spark, d), root, name, F.col("content"))
+    root, files = scratch_path(spark, "wavs"), wav_files(spark, d)
+    n = files.count()
+    name = F.concat(RC.folder_of(F.col("key"), n), F.lit("/"), F.col("key").cast("string"), F.lit(".wav"))
+    written = RC.write_files(files, root, name, F.col("content"))
     written.agg(F.sum("bytes")).collect()
-    frames = RC.range_frames(RC.plan(RC.list_files(spark, root)), 256, 128, samples=2048)
+    # rows of ranges are small, whatever they name: their size does not say how many tasks they need
+    tasks = max(spark.sparkContext.defaultParallelism, n // (4 * RC.FOLDER_FILES))
+    frames = RC.range_frames(RC.plan(RC.list_files(spark, root)), 256, 128, samples=2048, partitions=tasks)
     key = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
     energy = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     return tidy(frames.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("frames"), F.sum(energy).alias("energy")), 3)

@@ -11,26 +11,68 @@ Files are opened by URI through pyarrow's file systems, on executors only.
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+from functools import reduce
+from itertools import groupby
+from operator import attrgetter
+
 import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import containers as C
 
 #: Samples of one channel a task holds at a time: about 4 MB decoded.
 RANGE_SAMPLES = 1 << 20
 #: Rows of frames handed over at once.
 BATCH_ROWS = 256
+#: Files that are written to a folder, about.
+FOLDER_FILES = 1024
+#: Paths that are handed over at once, and folders that a task lists at most where there are many.
+LISTED_ROWS, LISTED_FOLDERS = 1 << 14, 64
 
 _PLAN = "path string, rate int, channels int, tag int, bits int, offset bigint, frames bigint, load_error string"
 
 
+def _uri(root: str) -> str:
+    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
-    """(path) of the matching files below ``root``; no content is read. Spark leaves out files of no bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return files.load(root).select("path")
+    """(path) of the matching files below ``root``; no content is read. As by Spark, files of no bytes and hidden ones are left out.
+
+    Folders are listed in tasks, a level of folders at a time, and what they
+    hold is stored; the driver learns only how many folders a level has. A
+    folder is listed by one task, so many files belong in many folders.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for uri in pdf["path"]:
+                system, base = fs.FileSystem.from_uri(uri)
+                found = []
+                for info in system.get_file_info(fs.FileSelector(base)):
+                    folder = info.type == fs.FileType.Directory
+                    if not info.base_name.startswith(("_", ".")) and (folder or info.size and fnmatchcase(info.base_name, glob)):
+                        found.append((f"{uri.rstrip('/')}/{info.base_name}", folder))
+                for at in range(0, len(found), LISTED_ROWS):
+                    yield pd.DataFrame(found[at : at + LISTED_ROWS], columns=["path", "folder"])
+
+    level, files = spark.createDataFrame([(_uri(root),)], "path string"), []
+    while n := level.count():
+        tasks = min(n, max(spark.sparkContext.defaultParallelism, -(-n // LISTED_FOLDERS)))
+        seen = materialise(level.repartition(tasks).mapInPandas(run, "path string, folder boolean"), "listed")
+        files.append(seen.where("NOT folder").select("path"))
+        level = seen.where("folder").select("path")
+    return reduce(DataFrame.unionByName, files)
+
+
+def folder_of(key: Column, n: int) -> Column:
+    """A folder for each of ``n`` files, :data:`FOLDER_FILES` of them in each, about."""
+    return F.pmod(F.xxhash64(key), F.lit(n // FOLDER_FILES + 1)).cast("string")
 
 
 def _open(uri: str):
@@ -100,9 +142,9 @@ def range_frames(
         held, count = [], 0
         for pdf in batches:
             # ranges of one file that came to one task share its handle
-            for path, own in pdf.groupby("path", sort=False):
+            for path, own in groupby(pdf.sort_values(keys).itertuples(index=False), attrgetter("path")):
                 with _open(path) as handle:
-                    for row in own.itertuples(index=False):
+                    for row in own:
                         for index, cut in _range_blocks(handle, row, window, hop):
                             held.append((path, index, cut))
                             count += len(cut)
@@ -141,16 +183,21 @@ def _frame_rows(held: list) -> pd.DataFrame:
 def write_files(rows: DataFrame, root: str, name: Column, content: Column) -> DataFrame:
     """(path, bytes) after writing each row as a file below ``root``.
 
-    Names must be distinct. A task that runs again writes the same bytes under
-    the same names, so the result does not depend on lost executors.
+    Names must be distinct and may begin with folders (see :func:`folder_of`).
+    A task that runs again writes the same bytes under the same names, so the
+    result does not depend on lost executors.
     """
 
     def run(batches):
-        system, folder = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        system, folder = fs.FileSystem.from_uri(_uri(root))
         system.create_dir(folder, recursive=True)
+        made = set()
         for pdf in batches:
             sizes = []
             for leaf, blob in zip(pdf["name"], pdf["content"]):
+                if (inner := leaf.rpartition("/")[0]) and inner not in made:
+                    system.create_dir(f"{folder}/{inner}", recursive=True)
+                    made.add(inner)
                 with system.open_output_stream(f"{folder}/{leaf}") as out:
                     out.write(bytes(blob))
                 sizes.append(len(blob))

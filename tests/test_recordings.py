@@ -74,6 +74,23 @@ def test_ranges_cut_the_same_frames(spark, files, tmp_path, window, hop, samples
     assert got.keys() == want.keys() and all(got[k] == want[k] for k in want)
 
 
+def test_files_are_listed_in_tasks(spark, files, tmp_path):
+    """The driver holds no list of the files: what is read is a stored table of paths, not the files."""
+    root = str(tmp_path / "wavs")
+    nested = F.concat(R.folder_of(F.col("name"), 5000), F.lit("/in/"), "name", F.lit(".wav"))
+    R.write_files(files.where("name <> 'null'"), root, nested, F.col("content")).collect()
+    R.write_files(files.where("name = 'plain'"), root, F.lit("top.wav"), F.col("content")).collect()
+    for hidden in ("_of/a.wav", ".of/a.wav", "in/_a.wav", "in/a.txt"):
+        R.write_files(files.where("name = 'plain'"), root, F.lit(hidden), F.col("content")).collect()
+    listed = R.list_files(spark, root)
+    paths = [r["path"] for r in listed.collect()]
+    want = {"plain", "listed", "extensible", "float", "double", "eight", "piped", "empty", "alaw", "text", "cut", "top"}
+    assert sorted(p.split("/")[-1][:-4] for p in paths) == sorted(want) and len({p.split("/")[-3] for p in paths}) > 2
+    assert not [f for f in listed.inputFiles() if f.endswith(".wav")]
+    (tmp_path / "none").mkdir()
+    assert R.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_a_range_reads_its_own_bytes(monkeypatch):
     """Finding the samples of an hour at 48 kHz reads headers only."""
     blob, seen = wav(np.zeros(10), before=[(b"LIST", b"y" * 1000)]), []
