@@ -842,11 +842,9 @@ def layer_curve(spark, d):
 @query("diag_09")
 def ablation(spark, d):
     from ..plans.ablation import ablation as run
-    from ..sources import audio as W
     from .storage import SMALL, wav_files
 
-    files = wav_files(spark, d)
-    return tidy(run(W.decode(files, "key"), files.select("key", "lang", "source"), "key", "source", "lang", SMALL.replace(extras=())))
+    return tidy(run(wav_files(spark, d), "source", "lang", SMALL.replace(extras=())))
 
 
 @query("diag_10", rounded(f"""WITH {RESULTS}, s AS (SELECT model, avg(accuracy) AS found FROM res GROUP BY 1)

@@ -18,6 +18,8 @@ from ..session import settle
 from ..vocab import GROUP_EPS, NORMALISATIONS, POOLINGS
 from .ranking import _cols, attach, vocabulary
 
+EPS = float(np.finfo(float).eps)
+
 
 def moments(df: DataFrame, by, vec: str, extremes: bool = False) -> DataFrame:
     """n, mean, m2 (and min, max) arrays per group.
@@ -56,7 +58,13 @@ def leave_out_moments(parts: DataFrame, fold: str, by=()) -> DataFrame:
         F.col("_out") != F.col(fold)
     )
     # at most one entry per fold: a bounded list
-    listed = spread.groupBy("_out", *by).agg(F.collect_list(F.struct("n", "mean", "m2")).alias("_parts"))
+    return merge_moments(spread.withColumn(fold, F.col("_out")), [fold, *by])
+
+
+def merge_moments(parts: DataFrame, by) -> DataFrame:
+    """(by, n, mean, m2) of all rows of ``by``, from the moments of its parts, which must be few."""
+    by = _cols(by)
+    listed = parts.groupBy(*by).agg(F.collect_list(F.struct("n", "mean", "m2")).alias("_parts"))
     zero = F.transform(F.col("_parts")[0]["mean"], lambda _: F.lit(0.0))
     n = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
     sums = F.aggregate("_parts", zero, lambda a, p: F.zip_with(a, p["mean"], lambda x, m: x + m * p["n"]))
@@ -73,22 +81,27 @@ def leave_out_moments(parts: DataFrame, fold: str, by=()) -> DataFrame:
             ),
         ),
     )
-    return centred.select(
-        F.col("_out").alias(fold), *by, F.col("_n").alias("n"), F.col("_mean").alias("mean"), m2.alias("m2")
-    )
+    return centred.select(*by, F.col("_n").alias("n"), F.col("_mean").alias("mean"), m2.alias("m2"))
+
 
+def fit_scaler(train: DataFrame, vec: str | None, mode: str = "global", by=()) -> DataFrame | None:
+    """(by, mean, scale) from train rows, one row in all or per ``by``; population sd, constant dims scale 1.
 
-def fit_scaler(train: DataFrame, vec: str, mode: str = "global") -> DataFrame | None:
-    """One row (mean, scale) from train rows; population sd, constant dims scale 1."""
+    Without ``vec``, ``train`` holds the moments of parts of the train rows.
+    """
     if mode not in NORMALISATIONS:
         raise ValueError(f"unknown normalisation {mode!r}")
     if mode == "none":
         return None
     if mode == "per_speaker":
         raise ValueError("per-group normalisation needs groups: use per_group_normalise")
-    table = moments(train, [], vec)
-    sd = population_sd(F.col("n"), F.col("m2"))
-    return table.select("mean", F.transform(sd, lambda s: F.when(s > 0, s).otherwise(1.0)).alias("scale"))
+    by = _cols(by)
+    table = merge_moments(train, by) if vec is None else moments(train, by, vec)
+    n = F.col("n")
+    # merged parts of a constant leave a rest of rounding, which is no spread
+    rest = F.transform("mean", lambda m: F.abs(m) * n * EPS) if vec is None else F.transform("mean", lambda _: F.lit(0.0))
+    scale = F.zip_with(population_sd(n, F.col("m2")), rest, lambda s, r: F.when(s > r, s).otherwise(1.0))
+    return table.select(*by, "mean", scale.alias("scale"))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame | None, vec: str) -> DataFrame:
